@@ -74,7 +74,7 @@ def op_fingerprint(line: Column) -> Column:
     because they belong to the type and the operation.
     """
     body = instruction_text(line)
-    body = F.regexp_replace(body, rf"%{NAME}|![0-9]+|#[0-9]+", "_")
+    body = F.regexp_replace(body, rf"[%@]{NAME}|![0-9]+|#[0-9]+", "_")
     body = F.regexp_replace(
         body, r"(?<!align )(?<!\[)(?<![\w.@-])-?[0-9]+(?:\.[0-9]+)?(?:e[+-]?[0-9]+)?\b(?! x )", "_"
     )
