@@ -96,17 +96,40 @@ def walk_pairs(commits: DataFrame) -> DataFrame:
 def history_diff(commits: DataFrame, entries: DataFrame) -> DataFrame:
     """Changed paths of every step of the walk: previously visited tree -> this tree.
 
-    Steps with equal trees are dropped before any entry is read, so a long run of commits
-    sharing one tree costs nothing.
+    Steps with equal trees are dropped before any entry is read. Both trees of a step fetch
+    their entries in one join, and one aggregation by (repo, step, path) puts them side by
+    side, so the entries are scanned and shuffled once.
     """
     pairs = walk_pairs(commits)
+    wanted = pairs.select(
+        "repo",
+        "ord",
+        F.inline(
+            F.array(
+                F.struct(F.lit(True).alias("_is_old"), F.col("old_tree").alias("tree_oid")),
+                F.struct(F.lit(False).alias("_is_old"), F.col("new_tree").alias("tree_oid")),
+            )
+        ),
+    )
     files = entries.select("repo", "tree_oid", "path", "oid")
-
-    def side(tree: str) -> DataFrame:
-        wanted = pairs.select("repo", "ord", F.col(tree).alias("tree_oid"))
-        return salted_join(wanted, files, ["repo", "tree_oid"], "inner").drop("tree_oid")
-
-    return tree_diff(side("old_tree"), side("new_tree"), ["repo", "ord", "path"])
+    old_oid, new_oid = F.col("old_oid"), F.col("new_oid")
+    return (
+        salted_join(wanted, files, ["repo", "tree_oid"], "inner")
+        .groupBy("repo", "ord", "path")
+        .agg(
+            F.max(F.when(F.col("_is_old"), F.col("oid"))).alias("old_oid"),
+            F.max(F.when(~F.col("_is_old"), F.col("oid"))).alias("new_oid"),
+        )
+        .where(~old_oid.eqNullSafe(new_oid))
+        .select(
+            "repo",
+            "ord",
+            "path",
+            F.when(old_oid.isNull(), "added").when(new_oid.isNull(), "deleted").otherwise("modified").alias("change"),
+            "old_oid",
+            "new_oid",
+        )
+    )
 
 
 def touches_build(df: DataFrame, old: str = "old_path", new: str = "new_path", names=None) -> DataFrame:

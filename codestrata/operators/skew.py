@@ -18,15 +18,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> Data
     """Keys with more than ``1/share`` of all rows.
 
     Fewer than ``share`` keys can qualify, whatever the data, so the result may be
-    broadcast. The count is aggregated on the map side and reads the key columns only.
+    broadcast. The count is aggregated on the map side and reads the key columns only; the
+    total is the sum of the same counts, so the shuffle is reused.
     """
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") * share > total)
-        .select(*keys)
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    return counts.where(F.col("_n") * share > total).select(*keys)
 
 
 def salted_join(
@@ -34,7 +31,7 @@ def salted_join(
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    share: int = HOT_SHARE,
+    hot: DataFrame | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``probe`` with ``lookup`` on ``keys``, spreading hot probe keys over ``salts`` tasks.
@@ -42,9 +39,13 @@ def salted_join(
     Only hot lookup rows are copied. The salt of a probe row is its partition number, which
     a retried task computes again in the same way. Probe rows with a null key match nothing;
     they are spread too. Use with ``how`` in left, inner, left_semi, left_anti.
+
+    Give ``hot``, the ``hot_keys`` of a cheaper frame with the same key distribution, when
+    ``probe`` is itself a long computation that should not run again to be counted.
     """
     keys = list(keys)
-    hot = F.broadcast(hot_keys(probe, keys, share).withColumn(HOT, F.lit(True)))
+    hot = hot_keys(probe, keys) if hot is None else hot
+    hot = F.broadcast(hot.withColumn(HOT, F.lit(True)))
     spread = F.pmod(F.spark_partition_id(), F.lit(salts))
     no_key = any_of([F.col(k).isNull() for k in keys])
     salted = (

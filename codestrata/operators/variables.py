@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.functions import ir
 from codestrata.operators.ordered import carry_down, first_wins
-from codestrata.operators.skew import salted_join
+from codestrata.operators.skew import hot_keys, salted_join
 from codestrata.operators.snapshots import union_all
 
 
@@ -196,7 +196,8 @@ def resolve_names(
     """
     local = local_names.select(*local_keys, F.col(value).alias("_local"))
     shared = global_names.select(*global_keys, F.col(value).alias("_global"))
-    found = salted_join(salted_join(uses, local, local_keys, "left"), shared, global_keys, "left")
+    near = salted_join(uses, local, local_keys, "left")
+    found = salted_join(near, shared, global_keys, "left", hot=hot_keys(uses, global_keys))
     return (
         found.withColumn(
             "scope",
@@ -354,7 +355,8 @@ def rename_candidates(
     keys = [*within, var]
     names = _sides(old, new, keys).where(F.col("_old") != F.col("_new"))
     ops = _sides(old, new, [*keys, op]).where(F.col(op).isNotNull())
-    own = salted_join(ops.select(*keys, op), names.select(*keys, "_old"), keys, "inner")
+    hot = hot_keys(ops, keys)
+    own = salted_join(ops.select(*keys, op), names.select(*keys, "_old"), keys, "inner", hot)
     digest = F.xxhash64(op)
     signed = own.groupBy(*keys, "_old").agg(
         F.count(F.lit(1)).alias("_size"),
@@ -376,7 +378,7 @@ def rename_candidates(
     def paired(side: Column, name: str) -> DataFrame:
         """Operations of one side, labelled with the old name of their pair."""
         labels = pairs.select(*within, F.col(name).alias(var), F.col("old_name").alias("_pair"), "_size")
-        return salted_join(own.where(side).select(*keys, op), labels, keys, "inner")
+        return salted_join(own.where(side).select(*keys, op), labels, keys, "inner", hot)
 
     left = paired(F.col("_old"), "old_name").select(*within, "_pair", op)
     right = paired(~F.col("_old"), "new_name").select(*within, "_pair", op, "_size", F.col(var).alias("new_name"))

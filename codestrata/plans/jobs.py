@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.operators import commands, corpus, findings as fnd, graph, history, ordered, symbols, variables
 from codestrata.operators.snapshots import snapshot_diff
+from codestrata.session import stored
 
 
 class Dashboard(NamedTuple):
@@ -46,9 +47,15 @@ class VariableChanges(NamedTuple):
     renames: DataFrame  # function, old_name, new_name
 
 
+def scoped_lines(lines: DataFrame) -> DataFrame:
+    """Lines with their function and block, written once: declarations, operands, calls and
+    reports all start from this table."""
+    return stored(variables.with_scope(lines), "scoped")
+
+
 def _operations(lines: DataFrame) -> DataFrame:
     """Every variable with its operations; a variable without uses has one row with null op."""
-    names, uses = variables.variable_map(variables.with_scope(lines))
+    names, uses = variables.variable_map(scoped_lines(lines))
     return names.select("function", "var", F.lit(None).cast("string").alias("op")).unionByName(
         uses.select("function", "var", "op")
     )
@@ -71,7 +78,7 @@ def commits_to_analyze(walk: DataFrame, entries: DataFrame, limit: int | None =
 
 def rw_reports(lines: DataFrame, swap: bool = False) -> DataFrame:
     """One read/write report per module."""
-    scoped = variables.with_scope(lines)
+    scoped = scoped_lines(lines)
     declared, uses, _ = variables.rw_uses(scoped, swap)
     counted = variables.rw_counts(uses, ["module", "function", "var"])
     named = declared.select("module", "function", "var").distinct()

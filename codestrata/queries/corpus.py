@@ -382,7 +382,7 @@ def ir_declarations(spark, d):
 )
 def ir_rw_counts(spark, d):
     """A store's first resolving operand is the value it writes, so %size counts, not the slot."""
-    _, uses, _ = variables.rw_uses(variables.with_scope(_ir_listings(spark, d)))
+    _, uses, _ = variables.rw_uses(jobs.scoped_lines(_ir_listings(spark, d)))
     return variables.rw_counts(uses, ["module", "function", "var"])
 
 

@@ -188,16 +188,11 @@ def history_lookup(spark, d):
     return history.lookup(customers, table(spark, d, "events").select("event_id", "user_id"), ["user_id"])
 
 
-@query(
-    """
-    SELECT DISTINCT c_custkey, 'no such commit' AS error FROM customer
-    ANTI JOIN (SELECT DISTINCT o_custkey AS c_custkey FROM orders) USING (c_custkey)
-    """
-)
+@query("SELECT doc_id, 'no such commit' AS error FROM documents ANTI JOIN labels USING (doc_id)")
 def history_missing(spark, d):
-    """Requested ids without a row: customers that never ordered."""
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return history.missing(orders, table(spark, d, "customer").select("c_custkey"), ["c_custkey"], "no such commit")
+    """Requested ids without a row: documents nobody labelled."""
+    requests = table(spark, d, "documents").select("doc_id")
+    return history.missing(table(spark, d, "labels"), requests, ["doc_id"], "no such commit")
 
 
 @query(
@@ -248,7 +243,7 @@ def history_ancestors(spark, d):
 @query(
     """
     SELECT split_part(url, '/', 3) AS root, 
-           array_to_string(list_slice(string_split(url, '/'), 4, NULL), '/') AS path, count(*) AS n
+           array_to_string(string_split(url, '/')[4:], '/') AS path, count(*) AS n
     FROM pages GROUP BY ALL
     """
 )

@@ -31,7 +31,7 @@ def stream_counts(spark, d):
     logged = _event_stream(spark, d).select(
         F.when(F.col("event_type") != "signup", ident).alias("cweID"),
         F.concat(F.lit("/data/micros/user"), F.col("user_id").cast("string"), F.lit("/a.c")).alias("fileName"),
-        F.unix_millis("ts").alias("time"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("time"),
         F.col("event_type").alias("msg"),
     )
     log, result = work_path(spark, "log"), work_path(spark, "counts")

@@ -56,3 +56,15 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    For a parsed table that several later steps read: columnar, so each reader scans only
+    its columns, and independent of the executors that wrote it.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
