@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from codestrata.functions.text import flatten_path
@@ -21,24 +23,12 @@ def tokens(command: Column) -> Column:
 def flag_values(command: Column, flag: str = "-l") -> Column:
     """Values of a flag in order: ``flag X`` and ``flagX`` both give X, a last bare flag nothing.
 
-    A token taken as a value is not read again as a flag, so the tokens are folded in order.
+    A match starts at a token and takes the value with it, so a token used as a value is
+    never read again as a flag.
     """
-    start = F.struct(
-        F.lit(False).alias("expect"), F.array().cast("array<string>").alias("found")
-    )
-
-    def step(state: Column, token: Column) -> Column:
-        value = F.when(state["expect"], token).when(
-            token.startswith(flag) & (token != flag), F.substr(token, F.lit(len(flag) + 1))
-        )
-        return F.struct(
-            (~state["expect"] & (token == flag)).alias("expect"),
-            F.when(value.isNull(), state["found"])
-            .otherwise(F.concat(state["found"], F.array(value)))
-            .alias("found"),
-        )
-
-    return F.aggregate(tokens(command), start, step, lambda state: state["found"])
+    name = re.escape(flag)
+    used = F.regexp_extract_all(command, F.lit(f"(?:^| ){name}(?: [^ ]*|[^ ]+)"), 0)
+    return F.transform(used, lambda m: F.regexp_replace(m, f"^ ?{name} ?", ""))
 
 
 def rewrite_command(command: Column) -> Column:

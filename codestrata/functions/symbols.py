@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # The listing's field order and its type names.
-SYMBOL_LINE = (
-    r"^\s*(\d+):\s+([0-9a-fA-F]+)\s+(\d+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)[ \t]+(\S.*)$"
-)
+SYMBOL_LINE = r"^\s*\d+:\s+[0-9a-fA-F]{1,16}\s+\d+(?:\s+\S+){4}[ \t]+\S"
 SYMBOL_FIELDS = ("num", "value", "size", "type", "bind", "vis", "ndx", "name")
 SYMBOL_TYPES = {"FUNC": "Function", "OBJECT": "Variable", "COMMON": "Common"}
 TABLE_TITLE = "Symbol table"

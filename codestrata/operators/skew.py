@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from codestrata.functions.text import any_of
 
@@ -14,16 +14,23 @@ HOT_SHARE = 1000  # a key is hot when it holds more than 1/1000 of the rows
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys with more than ``1/share`` of all rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> list[Row]:
+    """Keys with more than ``1/share`` of all rows, counted by one job.
 
-    Fewer than ``share`` keys can qualify, whatever the data, so the result may be
-    broadcast. The count is aggregated on the map side and reads the key columns only; the
-    total is the sum of the same counts, so the shuffle is reused.
+    Fewer than ``share`` keys can qualify, whatever the data, so the answer fits the driver
+    and a broadcast. The count reads the key columns only and is aggregated on the map side;
+    the total is the sum of the same counts, so the shuffle is reused.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") * share > total).select(*keys)
+    return counts.where(F.col("_n") * share > total).select(*keys).collect()
+
+
+def will_broadcast(df: DataFrame) -> bool:
+    """Is the planner's own size estimate below its broadcast threshold?"""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= conf.autoBroadcastJoinThreshold()
 
 
 def salted_join(
@@ -31,36 +38,45 @@ def salted_join(
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    hot: DataFrame | None = None,
+    hot: list[Row] | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``probe`` with ``lookup`` on ``keys``, spreading hot probe keys over ``salts`` tasks.
 
-    Only hot lookup rows are copied. The salt of a probe row is its partition number, which
-    a retried task computes again in the same way. Probe rows with a null key match nothing;
-    they are spread too. Use with ``how`` in left, inner, left_semi, left_anti.
+    ``how``: left, inner, left_semi or left_anti. Three cases, cheapest first:
+
+    * the planner will broadcast ``lookup``: a plain join, skew does not matter;
+    * no hot key: a plain join, left to Catalyst and AQE;
+    * hot keys: their probe rows get their partition number as salt (a retried task computes
+      the same salt again) and only the hot lookup rows are copied, once per salt. Probe rows
+      with a null key match nothing; they are spread as well when they are many.
 
-    Give ``hot``, the ``hot_keys`` of a cheaper frame with the same key distribution, when
-    ``probe`` is itself a long computation that should not run again to be counted.
+    ``hot`` takes the ``hot_keys`` of a cheaper frame with the same key distribution, when
+    ``probe`` is a long computation that should not run once more just to be counted.
     """
     keys = list(keys)
+    if probe.isStreaming or will_broadcast(lookup):
+        return probe.join(lookup, keys, how)
     hot = hot_keys(probe, keys) if hot is None else hot
-    hot = F.broadcast(hot.withColumn(HOT, F.lit(True)))
+    if not hot:
+        return probe.join(lookup, keys, how)
+
+    spark = probe.sparkSession
+    marked = F.broadcast(
+        spark.createDataFrame([tuple(r) for r in hot], probe.select(*keys).schema)
+        .withColumn(HOT, F.lit(True))
+    )
     spread = F.pmod(F.spark_partition_id(), F.lit(salts))
-    no_key = any_of([F.col(k).isNull() for k in keys])
+    is_hot = F.col(HOT)
+    if any(value is None for row in hot for value in row):
+        is_hot = is_hot | any_of([F.col(k).isNull() for k in keys])
     salted = (
-        probe.join(hot, keys, "left")
-        .withColumn(SALT, F.when(F.col(HOT) | no_key, spread).otherwise(0))
-        .drop(HOT)
+        probe.join(marked, keys, "left").withColumn(SALT, F.when(is_hot, spread).otherwise(0)).drop(HOT)
     )
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
     copies = (
-        lookup.join(hot, keys, "left")
-        .withColumn(
-            SALT,
-            F.explode(
-                F.when(F.col(HOT), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-            ),
-        )
+        lookup.join(marked, keys, "left")
+        .withColumn(SALT, F.explode(F.when(F.col(HOT), every).otherwise(F.array(F.lit(0)))))
         .drop(HOT)
     )
     return salted.join(copies, [*keys, SALT], how).drop(SALT)

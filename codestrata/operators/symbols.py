@@ -38,9 +38,9 @@ def parse_symbols(dumps: DataFrame, path: str = "path", body: str = "body") -> D
     lines = dumps.select(
         F.col(path).alias("library"), F.posexplode(F.split(rest, "\n")).alias("ord", "line")
     ).where(F.col("line").rlike(SYMBOL_LINE))
-    field = {
-        name: F.regexp_extract("line", SYMBOL_LINE, i) for i, name in enumerate(SYMBOL_FIELDS, 1)
-    }
+    split = F.split(F.ltrim("line"), r"\s+", len(SYMBOL_FIELDS))  # the name is the rest of the line
+    field = {name: F.get(F.col("_f"), F.lit(i)) for i, name in enumerate(SYMBOL_FIELDS)}
+    lines = lines.select("library", "ord", split.alias("_f"))
     return lines.select(
         "library",
         "ord",

@@ -312,13 +312,17 @@ def variable_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("functi
     does not matter. A variable without operations is a row with a null ``op``.
     """
     keys = list(keys)
-    names = _sides(old, new, keys)
-    changed = (
-        _sides(old, new, [*keys, op])
-        .where(F.col(op).isNotNull() & (F.col("_old") != F.col("_new")))
-        .select(*keys, F.when(F.col("_old"), "removed").otherwise("added").alias("change"), op)
+    sides = _sides(old, new, [*keys, op])
+    in_old, in_new = F.col("_old"), F.col("_new")
+    common = (
+        sides.groupBy(*keys)
+        .agg(F.bool_or("_old").alias("_old"), F.bool_or("_new").alias("_new"))
+        .where(in_old & in_new)
+        .select(*keys)
+    )
+    changed = sides.where(F.col(op).isNotNull() & (in_old != in_new)).select(
+        *keys, F.when(in_old, "removed").otherwise("added").alias("change"), op
     )
-    common = names.where(F.col("_old") & F.col("_new")).select(*keys)
     return salted_join(changed, common, keys, "left_semi")
 
 
@@ -353,41 +357,43 @@ def rename_candidates(
     """
     within = list(within)
     keys = [*within, var]
-    names = _sides(old, new, keys).where(F.col("_old") != F.col("_new"))
-    ops = _sides(old, new, [*keys, op]).where(F.col(op).isNotNull())
-    hot = hot_keys(ops, keys)
-    own = salted_join(ops.select(*keys, op), names.select(*keys, "_old"), keys, "inner", hot)
+    sides = _sides(old, new, [*keys, op])
+    in_old = F.col("_old")
     digest = F.xxhash64(op)
-    signed = own.groupBy(*keys, "_old").agg(
-        F.count(F.lit(1)).alias("_size"),
-        F.bit_xor(digest).alias("_xor"),
-        F.sum(digest.cast("decimal(20,0)")).alias("_sum"),
+    has_op = F.col(op).isNotNull()
+    signed = (
+        sides.groupBy(*keys)
+        .agg(
+            F.bool_or("_old").alias("_old"),
+            F.bool_or("_new").alias("_new"),
+            F.count(op).alias("_size"),
+            F.bit_xor(F.when(has_op, digest)).alias("_xor"),
+            F.sum(F.when(has_op, digest.cast("decimal(20,0)"))).alias("_sum"),
+        )
+        .where((in_old != F.col("_new")) & (F.col("_size") > 0))
     )
     pairs = (
         signed.groupBy(*within, "_size", "_xor", "_sum")
         .agg(
-            F.count_if(F.col("_old")).alias("_n_old"),
-            F.count_if(~F.col("_old")).alias("_n_new"),
-            F.min(F.when(F.col("_old"), F.col(var))).alias("old_name"),
-            F.min(F.when(~F.col("_old"), F.col(var))).alias("new_name"),
+            F.count_if(in_old).alias("_n_old"),
+            F.count_if(~in_old).alias("_n_new"),
+            F.min(F.when(in_old, F.col(var))).alias("old_name"),
+            F.min(F.when(~in_old, F.col(var))).alias("new_name"),
         )
         .where((F.col("_n_old") == 1) & (F.col("_n_new") == 1))
-        .select(*within, "old_name", "new_name", "_size")
     )
-
-    def paired(side: Column, name: str) -> DataFrame:
-        """Operations of one side, labelled with the old name of their pair."""
-        labels = pairs.select(*within, F.col(name).alias(var), F.col("old_name").alias("_pair"), "_size")
-        return salted_join(own.where(side).select(*keys, op), labels, keys, "inner", hot)
-
-    left = paired(F.col("_old"), "old_name").select(*within, "_pair", op)
-    right = paired(~F.col("_old"), "new_name").select(*within, "_pair", op, "_size", F.col(var).alias("new_name"))
-    same = left.join(right, [*within, "_pair", op])
+    ends = F.inline(F.array(*[F.struct(F.col(n).alias(var)) for n in ("old_name", "new_name")]))
+    labels = pairs.select(*within, "old_name", "new_name", "_size", ends)
+    same = (
+        salted_join(sides, labels, keys, "inner")
+        .groupBy(*within, "old_name", "new_name", "_size", op)
+        .agg(F.bool_or("_old").alias("_old"), F.bool_or("_new").alias("_new"))
+    )
     return (
-        same.groupBy(*within, "_pair", "new_name", "_size")
-        .agg(F.count(F.lit(1)).alias("_same"))
+        same.groupBy(*within, "old_name", "new_name", "_size")
+        .agg(F.count_if(in_old & F.col("_new")).alias("_same"))
         .where(F.col("_same") == F.col("_size"))
-        .select(*within, F.col("_pair").alias("old_name"), "new_name")
+        .select(*within, "old_name", "new_name")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codestrata.functions.commands import rewrite_command
+from codestrata.functions.symbols import is_exported, is_imported
 from codestrata.functions.text import flatten_path, is_dynamic, language_of
 from codestrata.operators import commands, corpus, findings as fnd, symbols, variables
 from codestrata.operators.skew import salted_join
@@ -328,10 +329,10 @@ def library_headers(spark, d):
 )
 def symbol_sides(spark, d):
     parsed = symbols.parse_symbols(_symbol_dumps(spark, d))
-    out = symbols.exported(parsed).select("library", F.lit(1).alias("e"), F.lit(0).alias("i"))
-    into = symbols.imported(parsed).select("library", F.lit(0).alias("e"), F.lit(1).alias("i"))
-    none = parsed.select("library", F.lit(0).alias("e"), F.lit(0).alias("i"))
-    return out.union(into).union(none).groupBy("library").agg(F.sum("e").alias("exported"), F.sum("i").alias("imported"))
+    return parsed.groupBy("library").agg(
+        F.count_if(is_exported(F.col("is_global"), F.col("type"))).alias("exported"),
+        F.count_if(is_imported(F.col("type"))).alias("imported"),
+    )
 
 
 def _ir_listings(spark, d):
