@@ -15,12 +15,13 @@ FUNCTION_END = r"^\s*\}"
 GLOBAL_LINE = rf"^\s*@({NAME}) = (?:[^,\"]*\s)?(global|constant)\s"
 BLOCK_LABEL = rf"^({NAME}):"
 PARAMETER = rf"%({NAME})\s*(?:,|\)|$)"
-OPERAND = rf"[%@]({NAME})"
+# a name followed by " =" is the line's result, not an operand
+OPERAND = r'[%@]((?:"[^"]++"|[-a-zA-Z$._0-9]++)(?! =))'
 DEBUG_RECORD = rf"#dbg_value\([^%@,]*[%@]({NAME}), (![0-9]+)"
 DEBUG_CALL = rf"@llvm\.dbg\.value\(metadata [^%@,]*[%@]({NAME}), metadata (![0-9]+)"
 LOCAL_METADATA = r'^(![0-9]+) = (?:distinct )?!DILocalVariable\(.*?name: "([^"]*)"'
 OPCODE_CLASSES = {"call": "Call", "load": "Load", "store": "Store", "alloca": "Alloca"}
-CALL_PREFIXES = ("tail", "musttail", "notail")
+MNEMONIC = rf"^\s*(?:%{NAME} = )?(?:(?:tail|musttail|notail) )?([a-z][a-z_.]*)\b"
 
 
 def unquoted(name: Column) -> Column:
@@ -47,24 +48,22 @@ def instruction_text(line: Column) -> Column:
 
 def mnemonic(line: Column) -> Column:
     """The opcode word; a call's tail marker is skipped."""
-    body = F.regexp_replace(instruction_text(line), rf"^(?:{'|'.join(CALL_PREFIXES)}) ", "")
-    return extract(body, r"^([a-z][a-z_.]*)\b")
+    return extract(line, MNEMONIC)
 
 
 def opcode_class(line: Column) -> Column:
     """Call, Load, Store, Alloca or other."""
-    word = mnemonic(line)
-    kind = None
-    for name, label in OPCODE_CLASSES.items():
-        kind = F.when(word == name, label) if kind is None else kind.when(word == name, label)
-    return kind.otherwise("other")
+    classes = F.create_map(*[F.lit(part) for pair in OPCODE_CLASSES.items() for part in pair])
+    return F.coalesce(F.try_element_at(classes, F.regexp_extract(line, MNEMONIC, 1)), F.lit("other"))
 
 
-def operands(line: Column) -> Column:
-    """Names of the values an instruction reads, in text order."""
-    return F.transform(
-        F.regexp_extract_all(instruction_text(line), F.lit(OPERAND), 1), unquoted
-    )
+def operand_values(line: Column) -> Column:
+    """The values an instruction reads, with their sigil, in text order."""
+    return F.regexp_extract_all(line, F.lit(OPERAND), 0)
+
+
+def is_function_start(line: Column) -> Column:
+    return F.ltrim(line).startswith("define")
 
 
 def op_fingerprint(line: Column) -> Column:

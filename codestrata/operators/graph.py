@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from codestrata.operators.skew import salted_join
+from codestrata.operators.skew import hot_keys, salted_join
 from codestrata.session import durable
 
 
@@ -108,12 +108,13 @@ def call_paths(edges: DataFrame, roots: DataFrame, by: Sequence[str] = ("module"
     frontier = durable(
         roots.select(*by, "function", F.array("function").alias("path")).dropDuplicates([*by, "function"])
     )
+    hot = hot_keys(hops, [*by, "function"])
     reached, depth = frontier, 0
     while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
         # the path of a function grows by one name per round, never the number of rows
         step = (
-            salted_join(hops, frontier, [*by, "function"], "inner")
+            salted_join(hops, frontier, [*by, "function"], "inner", hot)
             .groupBy(*by, F.col("callee").alias("function"))
             .agg(F.min("path").alias("path"))
             .withColumn("path", F.concat("path", F.array("function")))

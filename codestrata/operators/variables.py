@@ -14,15 +14,16 @@ from codestrata.functions import ir
 from codestrata.operators.ordered import carry_down, first_wins
 from codestrata.operators.skew import hot_keys, salted_join
 from codestrata.operators.snapshots import union_all
+from codestrata.session import stored
 
 
 
 def with_scope(lines: DataFrame, keys=("module",), order=("line_no",), line: str = "line", chunk: Column | None = None) -> DataFrame:
     """Carry the enclosing function and block down to each line; null outside functions."""
     text = F.col(line)
-    starts, ends = text.rlike(ir.FUNCTION_START), text.rlike(ir.FUNCTION_END)
+    starts, ends = ir.is_function_start(text), F.ltrim(text).startswith("}")
     name = ir.unquoted(F.regexp_extract(text, ir.FUNCTION_START, 1))
-    label = F.regexp_extract(text, ir.BLOCK_LABEL, 1)
+    label = F.when(text.contains(":"), F.regexp_extract(text, ir.BLOCK_LABEL, 1)).otherwise("")
     scoped = carry_down(
         lines,
         list(keys),
@@ -40,9 +41,13 @@ def declarations(scoped: DataFrame, include_constants: bool = False) -> DataFram
     """Declared variables: (module, function, block, var, kind, line_no).
 
     Globals, parameters and local allocations; nameless and dot names left out, constants
-    too unless asked for. Each line is read once and yields all its declarations.
+    too unless asked for. Each line is read once and yields all its declarations; plain
+    string tests discard the other lines before any pattern runs.
     """
     line = F.col("line")
+    at_global = F.ltrim(line).startswith("@")
+    at_function = ir.is_function_start(line)
+    at_slot = F.col("function").isNotNull() & line.contains(" alloca ")
     word = F.regexp_extract(line, ir.GLOBAL_LINE, 2)
     is_global = (word == "global") | (F.lit(include_constants) & (word == "constant"))
     result = ir.unquoted(F.regexp_extract(line, rf"^\s*%({ir.NAME}) = ", 1))
@@ -50,19 +55,18 @@ def declarations(scoped: DataFrame, include_constants: bool = False) -> DataFram
     params = F.transform(F.regexp_extract_all(signature, F.lit(ir.PARAMETER), 1), ir.unquoted)
     none = F.array().cast("array<string>")
     names = (
-        F.when(is_global, F.array(ir.unquoted(F.regexp_extract(line, ir.GLOBAL_LINE, 1))))
-        .when(line.rlike(ir.FUNCTION_START), params)
-        .when(F.col("function").isNotNull() & (ir.opcode_class(line) == "Alloca"), F.array(result))
+        F.when(at_function, params)
+        .when(at_global & is_global, F.array(ir.unquoted(F.regexp_extract(line, ir.GLOBAL_LINE, 1))))
+        .when(at_slot & (ir.opcode_class(line) == "Alloca"), F.array(result))
         .otherwise(none)
     )
-    kind = (
-        F.when(is_global, "Global").when(line.rlike(ir.FUNCTION_START), "FnParam").otherwise("Block")
-    )
+    kind = F.when(at_function, "FnParam").when(at_global, "Global").otherwise("Block")
     return (
-        scoped.select(
+        scoped.where(at_global | at_function | at_slot)
+        .select(
             "module",
-            F.when(~is_global, F.col("function")).alias("function"),
-            F.when(~is_global, F.col("block")).alias("block"),
+            F.when(~at_global, F.col("function")).alias("function"),
+            F.when(~at_global, F.col("block")).alias("block"),
             kind.alias("kind"),
             "line_no",
             F.explode(names).alias("var"),
@@ -81,7 +85,7 @@ def instructions(scoped: DataFrame) -> DataFrame:
         & ~text.startswith(";")
         & ~text.startswith("#dbg")
         & ~text.contains("@llvm.dbg.")
-        & ~F.col("line").rlike(ir.FUNCTION_START)
+        & ~ir.is_function_start(F.col("line"))
         & ~F.col("line").rlike(ir.BLOCK_LABEL)
     )
     return scoped.where(is_code).select(
@@ -97,9 +101,13 @@ def instructions(scoped: DataFrame) -> DataFrame:
 
 def operands(insts: DataFrame) -> DataFrame:
     """One row per operand: value (with sigil), name (without) and position."""
-    values = F.regexp_extract_all(ir.instruction_text(F.col("line")), F.lit(ir.OPERAND), 0)
     return insts.select(
-        "module", "function", "inst_id", "opcode", "op", F.posexplode(values).alias("pos", "value")
+        "module",
+        "function",
+        "inst_id",
+        "opcode",
+        "op",
+        F.posexplode(ir.operand_values(F.col("line"))).alias("pos", "value"),
     ).withColumn("name", ir.unquoted(F.substr("value", F.lit(2))))
 
 
@@ -230,16 +238,15 @@ def rw_uses(scoped: DataFrame, swap: bool = False, include_constants: bool = Tru
     kinds = ("write", "read") if swap else ("read", "write")
     uses = (
         found.where(F.col("var").isNotNull())
-        .groupBy("module", "function", "inst_id", "opcode", "op")
-        .agg(F.min_by(F.struct("var", "scope"), "pos").alias("_first"))
+        .groupBy("module", "function", "inst_id")
+        .agg(F.min_by(F.struct("var", "scope", "opcode"), "pos").alias("_first"))
         .select(
             "module",
             F.when(F.col("_first")["scope"] == "local", F.col("function")).alias("function"),
             F.col("_first")["var"].alias("var"),
             "inst_id",
-            "opcode",
-            "op",
-            F.when(F.col("opcode") == "Load", kinds[0]).otherwise(kinds[1]).alias("use_kind"),
+            F.col("_first")["opcode"].alias("opcode"),
+            F.when(F.col("_first")["opcode"] == "Load", kinds[0]).otherwise(kinds[1]).alias("use_kind"),
         )
     )
     unknown = found.where(F.col("var").isNull() & ir.is_named(F.col("name"))).select(
@@ -357,7 +364,7 @@ def rename_candidates(
     """
     within = list(within)
     keys = [*within, var]
-    sides = _sides(old, new, [*keys, op])
+    sides = stored(_sides(old, new, [*keys, op]), "operations")  # read three times below
     in_old = F.col("_old")
     digest = F.xxhash64(op)
     has_op = F.col(op).isNotNull()
@@ -418,7 +425,7 @@ def call_arguments(called: DataFrame) -> DataFrame:
 
 def functions_of(scoped: DataFrame) -> DataFrame:
     """Functions defined or declared in each module."""
-    found = F.regexp_extract("line", ir.DEFINE_LINE, 1)
-    return (
-        scoped.where(found != "").select("module", ir.unquoted(found).alias("function")).distinct()
-    )
+    text = F.ltrim("line")
+    named = scoped.where(text.startswith("define") | text.startswith("declare"))
+    found = ir.unquoted(F.regexp_extract("line", ir.DEFINE_LINE, 1))
+    return named.select("module", found.alias("function")).where(F.col("function") != "").distinct()

@@ -282,11 +282,16 @@ def _symbol_dumps(spark, d):
     kind = F.when(flag == "A", "FUNC").when(flag == "N", "OBJECT").otherwise("NOTYPE")
     lines = table(spark, d, "lineitem").select(
         "l_orderkey",
-        F.format_string(
-            "  %d: %016x %5d %-7s %s DEFAULT %s part_%d",
-            F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_partkey"), kind,
+        F.concat_ws(
+            " ",
+            F.concat(F.col("l_linenumber").cast("string"), F.lit(":")),
+            F.lpad(F.hex("l_orderkey"), 16, "0"),
+            F.lpad(F.col("l_partkey").cast("string"), 5, " "),
+            kind,
             F.when(F.col("l_linestatus") == "F", "GLOBAL").otherwise("LOCAL"),
-            F.when(F.col("l_discount") > 0.05, "UND").otherwise("7"), F.col("l_suppkey"),
+            F.lit("DEFAULT"),
+            F.when(F.col("l_discount") > 0.05, "UND").otherwise("7"),
+            F.concat(F.lit("part_"), F.col("l_suppkey").cast("string")),
         ).alias("line"),
     )
     header = "ELF Header:\n  Machine:  Order machine \n\nSymbol table '.symtab' contains entries:\n   Num:    Value Size Type Bind Vis Ndx Name\n"

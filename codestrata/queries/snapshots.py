@@ -160,7 +160,7 @@ def union_of_parts(spark, d):
 
 def _turn_words(spark, d, role):
     turns = table(spark, d, "conversations").where(F.col("role") == role)
-    return turns.select(F.col("conv_id"), F.explode(F.split("text", " ")).alias("op"))
+    return turns.select(F.col("conv_id"), F.explode(F.array_distinct(F.split("text", " "))).alias("op"))
 
 
 WORDS_SQL = """
@@ -223,7 +223,7 @@ def op_renames(spark, d):
     labelled = table(spark, d, "labels").select("doc_id").distinct()
 
     def words(df):
-        return df.select("lang", F.col("doc_id").alias("var"), F.explode(F.split("text", " ")).alias("op"))
+        return df.select("lang", F.col("doc_id").alias("var"), F.explode(F.array_distinct(F.split("text", " "))).alias("op"))
 
     return variables.rename_candidates(
         words(docs.join(labelled, "doc_id", "left_semi")),

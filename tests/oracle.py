@@ -1,4 +1,4 @@
-"""Run every query next to its SQL: python tests/oracle.py [folder] [name ...]"""
+"""Run every query next to its SQL: python tests/oracle.py [--no-broadcast] [folder] [name ...]"""
 
 from __future__ import annotations
 
@@ -65,10 +65,12 @@ if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
     from codestrata.session import local_session
 
-    folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    picked = sys.argv[2:]
+    args = [a for a in sys.argv[1:] if a != "--no-broadcast"]
+    folder, picked = (args[0] if args else "/root/testdata/sf0.01"), args[1:]
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
+    if "--no-broadcast" in sys.argv:  # the joins a cluster would plan for large sides
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     con, sql, bad = connect(folder), oracle_sql(), 0
     for name, query in queries().items():
         if picked and name not in picked:
