@@ -29,7 +29,8 @@ def ancestors(commits: DataFrame, heads: DataFrame, by: str = "repo", oid: str =
 
     jumps = []
     jump = durable(first.distinct())
-    while not jump.isEmpty():
+    longest = jump.count()  # no chain has more steps, even if damaged data holds a cycle
+    while 2 ** len(jumps) <= longest and not jump.isEmpty():
         jumps.append(jump)
         onward = jump.select(by, F.col(oid).alias("target"), F.col("target").alias("_far"))
         jump = durable(

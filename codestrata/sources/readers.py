@@ -67,8 +67,8 @@ def read_compile_records(spark: SparkSession, path) -> DataFrame:
 
 
 def _whole_text(spark: SparkSession, path, **options) -> DataFrame:
-    reader = spark.read.options(**options).option("wholetext", True)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    whole = spark.read.options(**options).text(path, wholetext=True)
+    return whole.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
 def read_symbol_dumps(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
