@@ -316,7 +316,8 @@ def variable_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("functi
     """Operations of common variables that only one version has: keys, change, op.
 
     removed = in old, not in new; added = in new, not in old; how often an operation occurs
-    does not matter. A variable without operations is a row with a null ``op``.
+    does not matter. A variable without operations is a row with a null ``op``; keys must not
+    be null (give the module scope a name, such as '').
     """
     keys = list(keys)
     sides = _sides(old, new, [*keys, op])
@@ -392,7 +393,7 @@ def rename_candidates(
     ends = F.inline(F.array(*[F.struct(F.col(n).alias(var)) for n in ("old_name", "new_name")]))
     labels = pairs.select(*within, "old_name", "new_name", "_size", ends)
     same = (
-        salted_join(sides, labels, keys, "inner")
+        salted_join(sides.where(has_op), labels, keys, "inner")
         .groupBy(*within, "old_name", "new_name", "_size", op)
         .agg(F.bool_or("_old").alias("_old"), F.bool_or("_new").alias("_new"))
     )

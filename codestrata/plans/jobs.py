@@ -54,10 +54,14 @@ def scoped_lines(lines: DataFrame) -> DataFrame:
 
 
 def _operations(lines: DataFrame) -> DataFrame:
-    """Every variable with its operations; a variable without uses has one row with null op."""
+    """Every variable with its operations; a variable without uses has one row with null op.
+
+    The module scope is the function ''.
+    """
     names, uses = variables.variable_map(scoped_lines(lines))
-    return names.select("function", "var", F.lit(None).cast("string").alias("op")).unionByName(
-        uses.select("function", "var", "op")
+    owner = F.coalesce("function", F.lit("")).alias("function")
+    return names.select(owner, "var", F.lit(None).cast("string").alias("op")).unionByName(
+        uses.select(owner, "var", "op")
     )
 
 

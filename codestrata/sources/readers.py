@@ -74,7 +74,7 @@ def _whole_text(spark: SparkSession, path, **options) -> DataFrame:
 def read_symbol_dumps(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
     """(listings, empty listings with an error); a missing path fails when the plan is built."""
     whole = _whole_text(spark, path)
-    empty = F.btrim("body") == ""
+    empty = ~F.col("body").rlike(r"\S")
     return whole.where(~empty), whole.where(empty).select("path", F.lit("io_error").alias("error"))
 
 
