@@ -177,14 +177,17 @@ def skipped_steps(df, keys, order, hit: Column, chunk: Column | None = None) ->
 def limit_after(df, keys, order, hit: Column, n: int, chunk: Column | None = None) -> DataFrame:
     """The first ``n`` rows after the first hit of each group.
 
-    The rank filter becomes a window group limit, so at most ``n`` rows per group and
-    input task are shuffled for the final ranking.
+    For a small ``n`` the rank filter becomes a window group limit: at most ``n`` rows per
+    group and input task are shuffled for the final ranking. For a large one, where Spark
+    would not push the limit down, rows are numbered cell by cell instead.
     """
     after = skip_until(df, keys, order, hit, chunk)
-    ranked = after.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    )
-    return ranked.where(F.col("_rank") <= n).drop("_rank")
+    pushed = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if keys and n <= pushed:
+        ranking = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return after.withColumn("_rank", ranking).where(F.col("_rank") <= n).drop("_rank")
+    placed = with_position(after, keys, order, "_position", chunk)
+    return placed.where(F.col("_position") < n).drop("_position")
 
 
 def batches(df, keys, order, size: int = 30, out: str = "batch", chunk: Column | None = None) -> DataFrame:

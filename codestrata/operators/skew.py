@@ -45,7 +45,7 @@ def salted_join(
 
     ``how``: left, inner, left_semi or left_anti. Three cases, cheapest first:
 
-    * the planner will broadcast ``lookup``: a plain join, skew does not matter;
+    * the planner will broadcast one side: a plain join, skew does not matter;
     * no hot key: a plain join, left to Catalyst and AQE;
     * hot keys: their probe rows get their partition number as salt (a retried task computes
       the same salt again) and only the hot lookup rows are copied, once per salt. Probe rows
@@ -55,7 +55,7 @@ def salted_join(
     ``probe`` is a long computation that should not run once more just to be counted.
     """
     keys = list(keys)
-    if probe.isStreaming or will_broadcast(lookup):
+    if probe.isStreaming or will_broadcast(lookup) or (how == "inner" and will_broadcast(probe)):
         return probe.join(lookup, keys, how)
     hot = hot_keys(probe, keys) if hot is None else hot
     if not hot:

@@ -11,7 +11,6 @@ from codestrata.operators import commands, corpus, findings as fnd, symbols, var
 from codestrata.operators.skew import salted_join
 from codestrata.plans import jobs
 from codestrata.queries import Catalog, table
-from codestrata.sources.readers import listing_lines
 
 CATALOG = Catalog()
 query = CATALOG.add
@@ -341,25 +340,35 @@ def symbol_sides(spark, d):
 
 
 def _ir_listings(spark, d):
-    """An IR listing per conversation: one function per turn, loads and stores of its globals and locals."""
-    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
-    fn = F.concat(F.lit("turn_"), F.col("turn").cast("string"))
-    body = F.concat_ws(
-        "\n",
-        F.concat(F.lit("define i32 @"), fn, F.lit("(i32 noundef %size, ptr %0) {")),
-        F.concat(F.lit("  %"), F.col("role"), F.lit(" = alloca i32, align 4")),
-        F.concat(F.lit("  store i32 %size, ptr %"), F.col("role"), F.lit(", align 4, !dbg !7")),
-        F.when(F.col("role") == "user", F.concat(F.lit("  %1 = load i32, ptr @total, align 4"))),
-        F.when(F.col("n") > 100, F.lit("  store i32 5, ptr @total, align 4")),
-        F.when(F.col("turn") > 0, F.concat(F.lit("  %r = tail call i32 @turn_"), (F.col("turn") - 1).cast("string"), F.lit("(i32 %size, ptr %0)"))),
-        F.lit("  ret i32 0\n}"),
+    """IR listing lines, a module per conversation and a function per turn: loads and stores of
+    a global and of locals, and a call of the turn before. Lines are numbered by turn, so no
+    listing is gathered."""
+    n = F.length("text")
+    number = F.col("turn").cast("string")
+    before = (F.col("turn") - 1).cast("string")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    head = F.array(
+        F.lit("@total = dso_local global i32 0, align 4"),
+        F.lit('@.str = private constant [3 x i8] c"%d\\00", align 1'),
     )
-    head = "@total = dso_local global i32 0, align 4\n@.str = private constant [3 x i8] c\"%d\\00\", align 1\n\n"
-    whole = turns.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", body.alias("b")))), lambda s: s["b"]), "\n\n").alias("b")
+    body = F.array_compact(
+        F.array(
+            text("define i32 @turn_", number, "(i32 noundef %size, ptr %0) {"),
+            text("  %", F.col("role"), " = alloca i32, align 4"),
+            text("  store i32 %size, ptr %", F.col("role"), ", align 4, !dbg !7"),
+            F.when(F.col("role") == "user", "  %1 = load i32, ptr @total, align 4"),
+            F.when(n > 100, "  store i32 5, ptr @total, align 4"),
+            F.when(F.col("turn") > 0, text("  %r = tail call i32 @turn_", before, "(i32 %size, ptr %0)")),
+            F.lit("  ret i32 0"),
+            F.lit("}"),
+            F.lit(""),
+        )
     )
-    return listing_lines(
-        whole.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("module"), F.concat(F.lit(head), F.col("b")).alias("body"))
+    lines = F.when(F.col("turn") == 0, F.concat(head, body)).otherwise(body)
+    return (
+        table(spark, d, "conversations")
+        .select(text("conv", F.col("conv_id").cast("string")).alias("module"), "turn", F.posexplode(lines).alias("i", "line"))
+        .select("module", (F.col("turn") * 16 + F.col("i")).alias("line_no"), "line")
     )
 
 

