@@ -1,12 +1,13 @@
 """Operators over ordered rows of a group.
 
-A plain ``Window.partitionBy(group)`` sorts a whole group in one task, which fails when one
-repository, user or file holds a third of the data. Here a group is cut into *cells*: runs
-of neighbouring rows given by ``chunk``, any non-decreasing function of the first order
-column. Rows are shuffled once, by (group, cell). What a cell must know about the cells
-before and after it (a row count, "was there a hit", the neighbouring row) is computed on
-one pre-aggregated row per cell and travels with the cell as one extra carry row, so the
-big side needs no join and null groups keep together.
+``Window.partitionBy(group)`` sorts a whole group in one task, which fails when one
+repository, user or file holds a third of the data. So the groups are counted first, by key
+and on the map side. Without a hot group the plain window is the plan. Rows of a hot group
+are cut into *cells*: runs of neighbouring rows given by ``chunk``, any non-decreasing
+function of the first order column. Rows are still shuffled once, by (group, cell). What a
+cell must know about the cells before and after it (a row count, "was there a hit", the
+neighbouring row) is computed on one pre-aggregated row per cell and travels with the cell
+as one extra carry row, so the big side needs no join and null groups keep together.
 
 ``order`` must be a total order inside a group (append the key as tie-break).
 """
@@ -17,6 +18,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from codestrata.operators.skew import HOT, HotKeys, hot_keys
+
 CELL = "_cell"
 CARRY = "_carry"
 IS_ROW = "_is_row"
@@ -50,21 +53,37 @@ def _cells(
     chunk: Column | None,
     summarise: list[Column],
     carry: Callable[[Window], list[Column]],
+    hot: HotKeys | None = None,
 ):
-    """Rows plus one carry row per cell; returns them with the window over one cell."""
-    chunk = default_chunk(df, order) if chunk is None else chunk
-    rows = df.withColumn(CELL, chunk)
+    """Rows, plus one carry row for each cell of a hot group; with the windows over one cell.
+
+    ``_carry`` is null in groups that are not hot. Without keys all rows are one hot group.
+    """
+    if keys:
+        hot = hot_keys(df, keys) if hot is None else hot
+        chunk = default_chunk(df, order) if chunk is None and hot else chunk
+        marked = hot.mark(df) if hot else df.withColumn(HOT, F.lit(None).cast("int"))
+    else:
+        chunk = default_chunk(df, order) if chunk is None else chunk
+        marked = df.withColumn(HOT, F.lit(1))
+    is_hot = F.col(HOT).isNotNull()
+    split = not keys or bool(hot)
+    inside = Window.partitionBy(*keys, CELL) if split else Window.partitionBy(*keys)
+    inside = inside.orderBy(IS_ROW, *order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = marked.withColumn(CELL, F.when(is_hot, chunk) if split else F.lit(None))
     along = Window.partitionBy(*keys).orderBy(CELL)
     carried = (
-        rows.groupBy(*keys, CELL)
+        rows.where(is_hot)
+        .groupBy(*keys, CELL)
         .agg(*summarise)
         .select(*keys, CELL, F.struct(*carry(along)).alias(CARRY))
     )
-    both = rows.withColumn(IS_ROW, F.lit(1)).unionByName(
-        carried.withColumn(IS_ROW, F.lit(0)), allowMissingColumns=True
-    )
-    inside = Window.partitionBy(*keys, CELL).orderBy(IS_ROW, *order)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.drop(HOT).withColumn(IS_ROW, F.lit(1))
+    if not split:
+        nothing = F.lit(None).cast(carried.schema[CARRY].dataType)
+        return rows.withColumn(CARRY, nothing), inside, so_far
+    both = rows.unionByName(carried.withColumn(IS_ROW, F.lit(0)), allowMissingColumns=True)
     return both.withColumn(CARRY, F.first(CARRY).over(so_far)), inside, so_far
 
 
@@ -72,6 +91,16 @@ def _rows_only(df: DataFrame, *dropped: str) -> DataFrame:
     return df.where(F.col(IS_ROW) == 1).drop(CELL, CARRY, IS_ROW, *dropped)
 
 
+def _place(inside: Window) -> Column:
+    """0-based place among the rows of the cell; a carry row, where there is one, comes first."""
+    return F.row_number().over(inside) - 1 - F.col(CARRY).isNotNull().cast("int")
+
+
+def _carried(name: str, default=None) -> Column:
+    """A carried value, or the default in groups without carry rows."""
+    return F.coalesce(F.col(CARRY)[name], F.lit(default))
+
+
 def _before(along: Window) -> Window:
     return along.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -85,8 +114,7 @@ def with_position(df, keys, order, out: str = "position", chunk: Column | None =
     both, inside, _ = _cells(
         df, keys, order, chunk, [F.count(F.lit(1)).alias("_n")], lambda along: [_rows_before(along)]
     )
-    # the carry row is number 1 of its cell, so the first real row is number 2
-    place = F.col(CARRY)["base"] + F.row_number().over(inside) - 2
+    place = _carried("base", 0) + _place(inside)
     return _rows_only(both.withColumn(out, place.cast("bigint")))
 
 
@@ -109,11 +137,11 @@ def cursor(df, keys, order, columns: Sequence[str], chunk: Column | None = None)
             F.lead("_head").over(along).alias("after"),
         ],
     )
-    number = F.row_number().over(inside)
+    place = _place(inside)
     last = F.lead(IS_ROW).over(inside).isNull()
-    out = both.withColumn("position", (F.col(CARRY)["base"] + number - 2).cast("bigint"))
+    out = both.withColumn("position", (_carried("base", 0) + place).cast("bigint"))
     for name in columns:
-        prev = F.when(number == 2, F.col(CARRY)["before"][name]).otherwise(F.lag(name).over(inside))
+        prev = F.when(place == 0, F.col(CARRY)["before"][name]).otherwise(F.lag(name).over(inside))
         following = F.when(last, F.col(CARRY)["after"][name]).otherwise(F.lead(name).over(inside))
         out = out.withColumn(f"prev_{name}", prev).withColumn(f"next_{name}", following)
     return _rows_only(out)
@@ -136,7 +164,7 @@ def take_while(
     )
     in_cell = F.coalesce(F.max("_failed").over(so_far), F.lit(0))
     return _rows_only(
-        both.withColumn("_stopped", F.greatest(F.col(CARRY)["stopped"], in_cell)).where(
+        both.withColumn("_stopped", F.greatest(_carried("stopped", 0), in_cell)).where(
             F.col("_stopped") == 0
         ),
         "_failed",
@@ -156,7 +184,7 @@ def skip_until(df, keys, order, hit: Column, chunk: Column | None = None) -> Dat
     )
     earlier = F.coalesce(F.max("_hit").over(_before(inside)), F.lit(0))
     return _rows_only(
-        both.withColumn("_seen", F.greatest(F.col(CARRY)["seen"], earlier)).where(
+        both.withColumn("_seen", F.greatest(_carried("seen", 0), earlier)).where(
             F.col("_seen") == 1
         ),
         "_hit",

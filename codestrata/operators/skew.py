@@ -1,29 +1,55 @@
-"""Equi joins that survive a key holding a large share of the probe rows."""
+"""Finding hot keys, and equi joins that survive them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Row, functions as F
-
-from codestrata.functions.text import any_of
+from pyspark.sql import Column, DataFrame, functions as F
 
 HOT = "_hot"
 SALT = "_salt"
-HOT_SHARE = 1000  # a key is hot when it holds more than 1/1000 of the rows
-SALTS = 64
+HOT_SHARE = 1000  # at least this many parts; more when the session shuffles into more
+HOT_ROWS = 1_000_000  # a key with fewer rows is no burden for one task
+
+
+class HotKeys(NamedTuple):
+    """Hot keys with the number of parts each should be split into."""
+
+    columns: list[str]
+    rows: list[tuple]  # key values, then the number of parts
+
+    def __bool__(self) -> bool:
+        return bool(self.rows)
 
+    def mark(self, df: DataFrame) -> DataFrame:
+        """``df`` with the number of parts in ``_hot``, null for rows of other keys."""
+        names = [f"_hot_{c}" for c in self.columns]
+        kinds = ", ".join(
+            f"`{n}` {df.schema[c].dataType.simpleString()}" for n, c in zip(names, self.columns)
+        )
+        small = F.broadcast(df.sparkSession.createDataFrame(self.rows, f"{kinds}, {HOT} int"))
+        same: Column = F.lit(True)
+        for name, column in zip(names, self.columns):
+            same = same & df[column].eqNullSafe(small[name])
+        return df.join(small, same, "left").drop(*names)
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> list[Row]:
-    """Keys with more than ``1/share`` of all rows, counted by one job.
 
-    Fewer than ``share`` keys can qualify, whatever the data, so the answer fits the driver
-    and a broadcast. The count reads the key columns only and is aggregated on the map side;
-    the total is the sum of the same counts, so the shuffle is reused.
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> HotKeys:
+    """Keys too large for one task, counted by one job.
+
+    With P shuffle partitions (1,000 at least) a key is hot when it holds more than 1/P of
+    all rows, so fewer than P keys can qualify, whatever the data: the answer fits the
+    driver and a broadcast. A hot key is split into parts of about half a partition, so all
+    keys together need at most 3P parts. The count reads the key columns only and is
+    aggregated on the map side; the total is the sum of the same counts.
     """
+    parts = max(HOT_SHARE, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") * share > total).select(*keys).collect()
+    split = F.ceil(2 * F.col("_n") * parts / total).cast("int")
+    hot = counts.where((F.col("_n") > HOT_ROWS) & (F.col("_n") * parts > total)).select(*keys, split)
+    return HotKeys(list(keys), [tuple(r) for r in hot.collect()])
 
 
 def will_broadcast(df: DataFrame) -> bool:
@@ -38,17 +64,16 @@ def salted_join(
     lookup: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    hot: list[Row] | None = None,
-    salts: int = SALTS,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Join ``probe`` with ``lookup`` on ``keys``, spreading hot probe keys over ``salts`` tasks.
+    """Join ``probe`` with ``lookup`` on ``keys``; no key's probe rows end up in one task.
 
     ``how``: left, inner, left_semi or left_anti. Three cases, cheapest first:
 
     * the planner will broadcast one side: a plain join, skew does not matter;
     * no hot key: a plain join, left to Catalyst and AQE;
     * hot keys: their probe rows get their partition number as salt (a retried task computes
-      the same salt again) and only the hot lookup rows are copied, once per salt. Probe rows
+      the same salt again) and only the hot lookup rows are copied, once per part. Probe rows
       with a null key match nothing; they are spread as well when they are many.
 
     ``hot`` takes the ``hot_keys`` of a cheaper frame with the same key distribution, when
@@ -60,23 +85,12 @@ def salted_join(
     hot = hot_keys(probe, keys) if hot is None else hot
     if not hot:
         return probe.join(lookup, keys, how)
-
-    spark = probe.sparkSession
-    marked = F.broadcast(
-        spark.createDataFrame([tuple(r) for r in hot], probe.select(*keys).schema)
-        .withColumn(HOT, F.lit(True))
-    )
-    spread = F.pmod(F.spark_partition_id(), F.lit(salts))
-    is_hot = F.col(HOT)
-    if any(value is None for row in hot for value in row):
-        is_hot = is_hot | any_of([F.col(k).isNull() for k in keys])
-    salted = (
-        probe.join(marked, keys, "left").withColumn(SALT, F.when(is_hot, spread).otherwise(0)).drop(HOT)
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    part = F.pmod(F.spark_partition_id(), F.col(HOT))
+    salted = hot.mark(probe).withColumn(SALT, F.coalesce(part, F.lit(0))).drop(HOT)
+    every = F.sequence(F.lit(0), F.col(HOT) - 1)
     copies = (
-        lookup.join(marked, keys, "left")
-        .withColumn(SALT, F.explode(F.when(F.col(HOT), every).otherwise(F.array(F.lit(0)))))
+        hot.mark(lookup)
+        .withColumn(SALT, F.explode(F.when(F.col(HOT).isNotNull(), every).otherwise(F.array(F.lit(0)))))
         .drop(HOT)
     )
     return salted.join(copies, [*keys, SALT], how).drop(SALT)

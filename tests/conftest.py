@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
+from codestrata.operators import skew  # noqa: E402
 from codestrata.session import local_session  # noqa: E402
 
 
@@ -16,6 +17,12 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(params=["hot groups", "no hot group"])
+def hotness(request, monkeypatch):
+    """Run once with every group treated as hot, once with the plain plans."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 0 if request.param == "hot groups" else 10**9)
+
+
 @pytest.fixture
 def rows():
     """Collect as a sorted list of tuples, nulls first."""

@@ -1,4 +1,4 @@
-"""Run every query next to its SQL: python tests/oracle.py [--no-broadcast] [folder] [name ...]"""
+"""Run every query next to its SQL: python tests/oracle.py [--large] [folder] [name ...]"""
 
 from __future__ import annotations
 
@@ -63,14 +63,16 @@ def compare(spark, con, folder, name, query, sql):
 
 if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
+    from codestrata.operators import skew
     from codestrata.session import local_session
 
-    args = [a for a in sys.argv[1:] if a != "--no-broadcast"]
+    args = [a for a in sys.argv[1:] if a != "--large"]
     folder, picked = (args[0] if args else "/root/testdata/sf0.01"), args[1:]
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
-    if "--no-broadcast" in sys.argv:  # the joins a cluster would plan for large sides
+    if "--large" in sys.argv:  # the joins a cluster would plan for large sides
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        skew.HOT_ROWS = 0  # and every key with a share of the rows treated as hot
     con, sql, bad = connect(folder), oracle_sql(), 0
     for name, query in queries().items():
         if picked and name not in picked:

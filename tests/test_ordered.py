@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codestrata.operators import ordered as o
+from codestrata.operators import ordered as o, skew
 
 SCHEMA = "k string, ord bigint, tag string, v int"
 
@@ -37,6 +37,7 @@ def data(spark, request):
 
 
 CHUNKS = [37, None]
+pytestmark = pytest.mark.usefixtures("hotness")
 
 
 def chunk(size):
@@ -128,8 +129,14 @@ def test_no_keys_and_no_default_chunk(spark, rows):
     assert rows(o.with_position(df, [], ["s"], chunk=F.substring("s", 1, 1))) == [("a", 0), ("b", 1), ("c", 2)]
 
 
-def test_no_task_gets_a_whole_group(data):
-    """The only exchange of data rows is by group and cell."""
+def test_plan_depends_on_the_groups(data, monkeypatch):
+    """Hot groups are shuffled by group and cell; without one the plain window is the plan."""
     df, _ = data
-    plan = o.with_position(df, ["k"], ["ord"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "windowspecdefinition(k#" in plan and "_cell" in plan
+
+    def plan():
+        return o.with_position(df, ["k"], ["ord"])._jdf.queryExecution().optimizedPlan().toString()
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 0)
+    assert "_cell" in plan() and "Union" in plan()
+    monkeypatch.setattr(skew, "HOT_ROWS", 10**9)
+    assert "Union" not in plan() and "Join" not in plan()
