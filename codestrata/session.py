@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -25,6 +26,12 @@ def local_session(cores: int | str = "*", app: str = "codestrata") -> SparkSessi
     )
 
 
+@functools.cache
+def _local_folder(application: str) -> str:
+    """One temporary folder per local session."""
+    return tempfile.mkdtemp(prefix=f"codestrata-{application}-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
@@ -36,9 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    fallback = tempfile.mkdtemp(prefix="codestrata-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return _local_folder(spark.sparkContext.applicationId)
 
 
 def work_path(spark: SparkSession, label: str) -> str:
