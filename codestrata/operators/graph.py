@@ -1,7 +1,8 @@
 """Reachability, tree flattening and call paths.
 
-Rounds are Spark jobs over the whole frontier; each round's result goes to the reliable
-checkpoint folder, so plans stay short and a lost executor does not replay earlier rounds.
+Rounds are Spark jobs over the whole frontier; each round's result is written as a table in
+the shared folder, so plans stay short, a lost executor does not replay earlier rounds, and
+the planner knows the true size of a frontier when it picks the next join.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from codestrata.operators.skew import hot_keys, salted_join
-from codestrata.session import durable
+from codestrata.session import stored
 
 
 def ancestors(commits: DataFrame, heads: DataFrame, by: str = "repo", oid: str = "oid", parents: str = "parents") -> DataFrame:
@@ -25,30 +26,30 @@ def ancestors(commits: DataFrame, heads: DataFrame, by: str = "repo", oid: str =
         by, F.col(oid), F.try_element_at(parents, F.lit(1)).alias("target")
     ).where(F.col("target").isNotNull())
     others = commits.select(by, F.col(oid), F.explode(F.slice(parents, 2, 2**30)).alias("target"))
-    others = durable(others)
+    others = stored(others)
 
     jumps = []
-    jump = durable(first.distinct())
+    jump = stored(first.distinct())
     longest = jump.count()  # no chain has more steps, even if damaged data holds a cycle
     while 2 ** len(jumps) <= longest and not jump.isEmpty():
         jumps.append(jump)
         onward = jump.select(by, F.col(oid).alias("target"), F.col("target").alias("_far"))
-        jump = durable(
+        jump = stored(
             jump.join(onward, [by, "target"]).select(by, oid, F.col("_far").alias("target"))
         )
 
     reached = None
-    frontier = durable(heads.select(by, oid).distinct())
+    frontier = stored(heads.select(by, oid).distinct())
     while not frontier.isEmpty():
         closed = frontier
         for table in jumps:
             further = closed.join(table, [by, oid]).select(by, F.col("target").alias(oid))
-            closed = durable(closed.union(further).distinct())
+            closed = stored(closed.union(further).distinct())
         new = closed if reached is None else closed.join(reached, [by, oid], "left_anti")
-        new = durable(new)
-        reached = new if reached is None else durable(reached.union(new))
+        new = stored(new)
+        reached = new if reached is None else reached.union(new)  # a union of stored rounds
         sideways = new.join(others, [by, oid]).select(by, F.col("target").alias(oid)).distinct()
-        frontier = durable(sideways.join(reached, [by, oid], "left_anti"))
+        frontier = stored(sideways.join(reached, [by, oid], "left_anti"))
     known = commits.select(by, oid).distinct()
     return reached.join(known, [by, oid], "left_semi") if reached is not None else heads.select(by, oid).limit(0)
 
@@ -67,7 +68,7 @@ def flatten_trees(roots: DataFrame, entries: DataFrame, keys: Sequence[str] = ("
     ).distinct()
     found = None
     while True:
-        level = durable(
+        level = stored(
             salted_join(frontier, nodes, [*keys, "tree_oid"], "inner").select(
                 *keys, "root", "kind", "oid", F.concat("_prefix", "name").alias("path")
             )
@@ -105,8 +106,8 @@ def call_paths(edges: DataFrame, roots: DataFrame, by: Sequence[str] = ("module"
     cycles end by themselves and the result has one row per function. ``roots(by, function)``.
     """
     by = list(by)
-    hops = durable(edges.select(*by, F.col("caller").alias("function"), "callee").distinct())
-    frontier = durable(
+    hops = stored(edges.select(*by, F.col("caller").alias("function"), "callee").distinct())
+    frontier = stored(
         roots.select(*by, "function", F.array("function").alias("path")).dropDuplicates([*by, "function"])
     )
     hot = hot_keys(hops, [*by, "function"])
@@ -120,6 +121,6 @@ def call_paths(edges: DataFrame, roots: DataFrame, by: Sequence[str] = ("module"
             .agg(F.min("path").alias("path"))
             .withColumn("path", F.concat("path", F.array("function")))
         )
-        frontier = durable(step.join(reached.select(*by, "function"), [*by, "function"], "left_anti"))
-        reached = durable(reached.unionByName(frontier))
+        frontier = stored(step.join(reached.select(*by, "function"), [*by, "function"], "left_anti"))
+        reached = reached.unionByName(frontier)  # a union of stored rounds
     return reached

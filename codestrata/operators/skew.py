@@ -35,6 +35,13 @@ class HotKeys(NamedTuple):
         return df.join(small, same, "left").drop(*names)
 
 
+def will_broadcast(df: DataFrame) -> bool:
+    """Is the planner's own size estimate below its broadcast threshold?"""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= conf.autoBroadcastJoinThreshold()
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> HotKeys:
     """Keys too large for one task, counted by one job.
 
@@ -42,8 +49,11 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> HotKeys:
     all rows, so fewer than P keys can qualify, whatever the data: the answer fits the
     driver and a broadcast. A hot key is split into parts of about half a partition, so all
     keys together need at most 3P parts. The count reads the key columns only and is
-    aggregated on the map side; the total is the sum of the same counts.
+    aggregated on the map side; the total is the sum of the same counts. An input below the
+    broadcast threshold cannot hold a group that hurts, and is not counted.
     """
+    if will_broadcast(df):
+        return HotKeys(list(keys), [])
     parts = max(HOT_SHARE, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
@@ -52,13 +62,6 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> HotKeys:
     return HotKeys(list(keys), [tuple(r) for r in hot.collect()])
 
 
-def will_broadcast(df: DataFrame) -> bool:
-    """Is the planner's own size estimate below its broadcast threshold?"""
-    conf = df.sparkSession._jsparkSession.sessionState().conf()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= conf.autoBroadcastJoinThreshold()
-
-
 def salted_join(
     probe: DataFrame,
     lookup: DataFrame,

@@ -51,23 +51,12 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from there.
-
-    Used between the rounds of an iterative operator: the plan stays small, and a lost
-    executor costs a re-read of the checkpoint, not a replay of every round.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    For a parsed table that several later steps read: columnar, so each reader scans only
-    its columns, and independent of the executors that wrote it.
+    Cuts lineage between the rounds of an iterative operator, and keeps a parsed table that
+    several later steps read: columnar, so each reader scans only its columns, and
+    independent of the executors that wrote it. The folder is the caller's to clear.
     """
     spark = df.sparkSession
     path = work_path(spark, label)

@@ -18,9 +18,12 @@ def spark():
 
 
 @pytest.fixture(params=["hot groups", "no hot group"])
-def hotness(request, monkeypatch):
+def hotness(request, monkeypatch, spark):
     """Run once with every group treated as hot, once with the plain plans."""
     monkeypatch.setattr(skew, "HOT_ROWS", 0 if request.param == "hot groups" else 10**9)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
 
 
 @pytest.fixture
