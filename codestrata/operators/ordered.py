@@ -118,8 +118,13 @@ def with_position(df, keys, order, out: str = "position", chunk: Column | None =
     return _rows_only(both.withColumn(out, place.cast("bigint")))
 
 
-def cursor(df, keys, order, columns: Sequence[str], chunk: Column | None = None) -> DataFrame:
-    """Position, and the previous/next row's columns as ``prev_*`` / ``next_*`` (null at the ends)."""
+def cursor(
+    df, keys, order, columns: Sequence[str], chunk: Column | None = None, clamp: bool = False
+) -> DataFrame:
+    """Position, and the previous/next row's columns as ``prev_*`` / ``next_*``.
+
+    Null at the ends; with ``clamp`` going back from the first row stays on the first row.
+    """
     key, row = order_key(order), F.struct(*columns)
     both, inside, _ = _cells(
         df,
@@ -142,6 +147,8 @@ def cursor(df, keys, order, columns: Sequence[str], chunk: Column | None = None)
     out = both.withColumn("position", (_carried("base", 0) + place).cast("bigint"))
     for name in columns:
         prev = F.when(place == 0, F.col(CARRY)["before"][name]).otherwise(F.lag(name).over(inside))
+        if clamp:
+            prev = F.when(F.col("position") == 0, F.col(name)).otherwise(prev)
         following = F.when(last, F.col(CARRY)["after"][name]).otherwise(F.lead(name).over(inside))
         out = out.withColumn(f"prev_{name}", prev).withColumn(f"next_{name}", following)
     return _rows_only(out)

@@ -107,10 +107,6 @@ def scan_requests(files: DataFrame, mutate: bool = False) -> DataFrame:
 
 
 Analyzer = Callable[..., DataFrame]
-RULES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "C": lambda files: corpus.inject_race(files),
-    "C++": lambda files: corpus.inject_race(files),
-}
 ANALYZERS: dict[str, Analyzer] = {
     "rwop": rw_reports,
     "infer": commands.marked_commands,

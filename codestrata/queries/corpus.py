@@ -31,14 +31,14 @@ NEXT_TOKEN = "(?:^| )of(?: [^ ]*|[^ ]+)"
 
 @query(
     f"""
-    WITH t AS (SELECT doc_id, regexp_extract_all(text, '{NEXT_TOKEN}') AS ms FROM documents WHERE lang = 'en'),
+    WITH t AS (SELECT doc_id, regexp_extract_all(text, '{NEXT_TOKEN}') AS ms FROM documents),
          m AS (SELECT doc_id, unnest(range(len(ms))) AS flag_pos, unnest(ms) AS m FROM t)
     SELECT doc_id, CAST(flag_pos AS INTEGER) AS flag_pos, regexp_replace(m, '^ ?of ?', '') AS name FROM m
     """
 )
 def next_token(spark, d):
-    """Values of the marker word 'of' in every English document, as a flag and glued."""
-    docs = table(spark, d, "documents").where(F.col("lang") == "en").select("doc_id", "text")
+    """Values of the marker word 'of' in every document, as a flag and glued."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return commands.library_flags(docs, "text", "of")
 
 
@@ -411,9 +411,22 @@ def ir_call_edges(spark, d):
     return jobs.call_graph(_ir_listings(spark, d))
 
 
-@query()
+@query(
+    """
+    WITH f AS (SELECT conv_id, text, role, 'turn_' || turn AS fn, '"size":{"read":[],"write":["size"]}' AS s,
+                      '"' || role || '":{"read":[],"write":[]}' AS slot FROM conversations),
+         g AS (SELECT conv_id, repeat('"total",', CAST(count(*) FILTER (WHERE role = 'user') AS INTEGER)) AS r,
+                      repeat('"total",', CAST(count(*) FILTER (WHERE length(text) > 100) AS INTEGER)) AS w,
+                      string_agg('"' || fn || '":{' || CASE WHEN role < 'size' THEN slot || ',' || s ELSE s || ',' || slot END || '}',
+                                 ',' ORDER BY fn) AS fns
+               FROM f GROUP BY conv_id)
+    SELECT 'conv' || conv_id AS module, '{"global_var":{"total":{"read":[' || rtrim(r, ',') || '],"write":[' || rtrim(w, ',')
+           || ']}},"function_var":{' || fns || '}}' AS report
+    FROM g
+    """
+)
 def ir_reports(spark, d):
-    """The nested report per module (checked against the counts in the tests)."""
+    """The nested report per module."""
     return jobs.rw_reports(_ir_listings(spark, d))
 
 

@@ -70,6 +70,8 @@ def test_cursor(data, size):
             n = g[i + 1] if i + 1 < len(g) else (None,) * 4
             want[(k, r[1])] = (p[2], n[2], p[3], n[3], i)
     assert got == want
+    held = {(r.k, r.ord): r.prev_v for r in o.cursor(df, ["k"], ["ord"], ["v"], chunk(size), clamp=True).collect()}
+    assert held == {(k, r[1]): g[max(i - 1, 0)][3] for k, g in groups.items() for i, r in enumerate(g)}
 
 
 @pytest.mark.parametrize("size", CHUNKS)
