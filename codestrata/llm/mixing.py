@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from codestrata.llm.storage import stored
 
 EPOCHS = 3  # no source is repeated more often
-SLICES = 4096  # of the shuffled order of a source, and of the queue
+SLICES = 16**3  # of the shuffled order of a source, and of the queue
 SEED = "mix-1"
 
 
@@ -45,9 +45,9 @@ def targets(sources: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     return ranked.withColumn("level", level).select("source", "source_size", "weight", share.alias("target"))
 
 
-def _slice(of: Column) -> Column:
-    """The first bits of a 32-digit hex digest as a slice number."""
-    return (F.conv(F.substring(of, 1, 8), 16, 10).cast("long") % SLICES).cast("int")
+def _slice(place: Column) -> Column:
+    """The first bits of a place (32 hex digits): as many slices as SLICES, in the order of the places."""
+    return F.conv(F.substring(place, 1, 3), 16, 10).cast("int")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codestrata.llm.binary_tokens import binary_tokens
 from codestrata.llm.exact_dedup import exact_dedup
+from codestrata.llm.line_dedup import line_dedup
 from codestrata.llm.mixing import mix_plan
 from codestrata.llm.ngram_join import ngram_join
 from codestrata.llm.token_counts import token_counts
@@ -73,7 +74,7 @@ def op6_token_binary(spark: SparkSession, folder: str) -> DataFrame:
          FROM documents),
        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
        w AS (SELECT source, source_size, 3 * source_size AS cap,
-                    [5.0, 2.0, 1.0]::DOUBLE[][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS weight FROM s),
+                    CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight FROM s),
        r AS (SELECT *, row_number() OVER t AS rank,
                     (sum(source_size) OVER () - coalesce(sum(cap) OVER (t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                       / (sum(weight) OVER () - coalesce(sum(weight) OVER (t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS fair
@@ -93,3 +94,18 @@ def op6_token_binary(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix_plan(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query(
+    """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+       k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+       g AS (SELECT key, min(doc_id) AS first_doc FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+       d AS (SELECT k.*, first_doc IS NOT NULL AND first_doc <> doc_id AS dropped FROM k LEFT JOIN g USING (key))
+       SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(dropped AS INT)) AS BIGINT) AS n_dropped,
+              sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+       FROM d GROUP BY doc_id"""
+)
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
