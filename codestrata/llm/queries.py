@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codestrata.llm.binary_tokens import binary_tokens
+from codestrata.llm.decontaminate import find_leaks
 from codestrata.llm.exact_dedup import exact_dedup
 from codestrata.llm.line_dedup import line_dedup
 from codestrata.llm.mixing import mix_plan
 from codestrata.llm.ngram_join import ngram_join
+from codestrata.llm.quality import ACCEPT, held_out, learn, score
 from codestrata.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +111,17 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_dedup(table(spark, folder, "documents").select("doc_id", "text"))
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return cleaned.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
+@query()
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, folder, "labels"))
+    return score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= ACCEPT, 1).otherwise(0).alias("predicted")
+    )
