@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codestrata.llm.binary_tokens import binary_tokens
 from codestrata.llm.decontaminate import find_leaks
 from codestrata.llm.exact_dedup import exact_dedup
+from codestrata.llm.html_extract import extract_pages
 from codestrata.llm.line_dedup import line_dedup
 from codestrata.llm.mixing import mix_plan
 from codestrata.llm.ngram_join import ngram_join
 from codestrata.llm.quality import ACCEPT, held_out, learn, score
+from codestrata.llm.substring_dedup import repeated_spans
 from codestrata.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +127,14 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= ACCEPT, 1).otherwise(0).alias("predicted")
     )
+
+
+@query()
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_spans(table(spark, folder, "documents"))
+
+
+@query()
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
