@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from codestrata.llm import textkit
 from codestrata.llm.components import components
@@ -22,11 +22,11 @@ PROBES = 2048  # documents that probe one trie in one task
 NO_ID = -(2**63)  # a null id inside packed arrays
 
 _PACKED = pa.schema(
-    [("slot", pa.int32()), ("known", pa.bool_()), ("rows", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("grams", pa.binary())]
+    [("slot", pa.int32()), ("known", pa.bool_()), ("rows", pa.binary()), ("lens", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary()), ("sizes", pa.binary()), ("grams", pa.binary())]
 )
-_PACKED_SQL = "slot int, known boolean, rows binary, lens binary, ids binary, sizes binary, grams binary"
-_SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("grams", pa.binary())])
-_SETS_SQL = "row long, doc_id long, size long, grams binary"
+_PACKED_SQL = "slot int, known boolean, rows binary, lens binary, ids binary, marks binary, sizes binary, grams binary"
+_SETS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("size", pa.int64()), ("grams", pa.binary())])
+_SETS_SQL = "row long, doc_id long, mark long, size long, grams binary"
 
 
 def needed(size_x, size_y, percent: int):
@@ -55,7 +55,7 @@ def _by_slot(slots: np.ndarray, rows: np.ndarray, grams: np.ndarray, known: bool
         starts, ends = _ranges(rows[a:b])
         out.append(
             {"slot": int(slots[a]), "known": known, "rows": rows[a:b][starts].tobytes(), "lens": (ends - starts).astype(np.int32).tobytes(),
-             "ids": b"", "sizes": b"", "grams": grams[a:b].tobytes()}
+             "ids": b"", "marks": b"", "sizes": b"", "grams": grams[a:b].tobytes()}
         )
     return out
 
@@ -65,8 +65,8 @@ def _pack(size: int, slots: int):
     it goes with its texts, and only once (row -1) to its slot, so a frequent n-gram costs a slot one
     entry for each flush and not one for each document."""
 
-    def flush(rows, ids, sizes, grams) -> pa.RecordBatch:
-        rows, ids, sizes = (np.array(x, np.int64) for x in (rows, ids, sizes))
+    def flush(rows, ids, marks, sizes, grams) -> pa.RecordBatch:
+        rows, ids, marks, sizes = (np.array(x, np.int64) for x in (rows, ids, marks, sizes))
         grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         owner = np.repeat(rows, sizes)
         order = np.argsort(grams, kind="stable")
@@ -89,28 +89,29 @@ def _pack(size: int, slots: int):
         for a, b in zip(*_ranges(home[ordered_home])):
             own = ordered_home[a:b]
             out.append(
-                {"slot": int(home[own[0]]), "known": True, "rows": rows[own].tobytes(), "ids": ids[own].tobytes(), "sizes": sizes[own].tobytes(),
+                {"slot": int(home[own[0]]), "known": True, "rows": rows[own].tobytes(), "ids": ids[own].tobytes(), "marks": marks[own].tobytes(), "sizes": sizes[own].tobytes(),
                  "lens": (kept[ends[own]] - kept[ends[own] - sizes[own]]).astype(np.int32).tobytes(),
                  "grams": b"".join(grams[ends[k] - sizes[k] : ends[k]][shared[ends[k] - sizes[k] : ends[k]]].tobytes() for k in own)}
             )
         return pa.RecordBatch.from_pylist(out, _PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, ids, sizes, grams, held = [], [], [], [], 0
+        rows, ids, marks, sizes, grams, held = [], [], [], [], [], 0
         for batch in batches:
-            row, doc = batch["row"].to_numpy(), batch["doc_id"].fill_null(NO_ID).to_numpy()
+            row, doc, mark = batch["row"].to_numpy(), batch["doc_id"].fill_null(NO_ID).to_numpy(), batch["mark"].to_numpy()
             for first, data, offsets in textkit.chunks(batch["text"]):
                 sets, counts = textkit.shingle_sets(data, offsets, size)
                 rows.extend(row[first : first + len(counts)])
                 ids.extend(doc[first : first + len(counts)])
+                marks.extend(mark[first : first + len(counts)])
                 sizes.extend(counts)
                 grams.append(sets)
                 held += len(sets)
                 if held >= FLUSH_HASHES:
-                    yield flush(rows, ids, sizes, grams)
-                    rows, ids, sizes, grams, held = [], [], [], [], 0
+                    yield flush(rows, ids, marks, sizes, grams)
+                    rows, ids, marks, sizes, grams, held = [], [], [], [], [], 0
         if rows:
-            yield flush(rows, ids, sizes, grams)
+            yield flush(rows, ids, marks, sizes, grams)
 
     return run
 
@@ -145,7 +146,7 @@ def _gather(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         heads = table.filter(table["known"])
-        rows, ids, sizes = (_arrays(heads, c, np.int64) for c in ("rows", "ids", "sizes"))
+        rows, ids, marks, sizes = (_arrays(heads, c, np.int64) for c in ("rows", "ids", "marks", "sizes"))
         owner, grams = np.repeat(_arrays(table, "rows", np.int64), _arrays(table, "lens", np.int32)), _arrays(table, "grams", np.uint64)
         order = np.lexsort((grams, owner))
         owner, grams = owner[order], grams[order]
@@ -155,6 +156,7 @@ def _gather(percent: int):
             [
                 pa.array(rows),
                 pa.array(ids, mask=ids == NO_ID),
+                pa.array(marks),
                 pa.array(sizes),
                 pa.array([grams[a:b].tobytes() if e else None for a, b, e in zip(first, last, enough)], pa.binary()),
             ],
@@ -165,17 +167,23 @@ def _gather(percent: int):
 
 
 def shared_sets(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, size, grams) for each document: set size, and the sorted hashes that occur in
+    """(row, doc_id, mark, size, grams) for each document: a hash of its text, its set's size, and the sorted hashes that occur in
     other documents, null unless they are percent of the set (less cannot be linked)."""
     slots = 2 * shuffle_parts(docs.sparkSession)
     picked = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    )
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), _mark(F.col(text_col)).alias("mark"),
+        F.col(text_col).cast("string").alias("text"),
+    )
     packed = picked.mapInArrow(_pack(size, slots), _PACKED_SQL)
     told = packed.groupBy("slot").applyInArrow(_find_shared(slots), _PACKED_SQL)
     return told.groupBy("slot").applyInArrow(_gather(percent), _SETS_SQL)
 
 
+def _mark(text):
+    """Tells apart the texts of rows that repeat a doc_id."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 class Trie:
     """A path-compressed prefix tree of globally ordered n-gram sets."""
 
@@ -325,7 +333,8 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; sets and similarity are exact up to
     collisions of 64-bit hashes. Returns one row per row of `docs`: doc_id, n_shingles, component_id
-    (the smallest doc_id reachable by links), and row, a number that tells rows apart.
+    (the smallest doc_id reachable by links), and mark (a hash of the text), row (tells rows
+    apart) and group (a number for each component).
 
     A null or empty text, or one without words, has the empty set and no link; fewer words than
     `size` are one shingle. Rows that repeat a doc_id are documents of their own, linked if alike. A
@@ -404,7 +413,29 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         "row", "doc_id", F.coalesce("component", "first").alias("component")
     )
     smallest = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = labels.join(smallest, "component").select("row", "component_id")
+    labels = labels.join(smallest, "component").select("row", "component_id", "component")
     return every.join(labels, "row", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row"
+        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "mark", "row",
+        F.coalesce("component", "row").alias("group"),
+    )
+
+
+def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay when one document of each group of linked ones does, the one of
+    smallest doc_id, null last; all columns stay. Of rows that repeat doc_id and text one stays, unless
+    they have no words: those are linked with nothing, so all stay."""
+    linked = ngram_join(docs, size, percent, id_col, text_col)
+    no_id = F.lit(NO_ID)
+    # A group is named by its smallest doc_id; a group without any, by nothing: then texts tell.
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    groups = linked.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("group")).alias("group")).agg(F.min(first).alias("first"))
+    stay = groups.select(F.coalesce("first.doc_id", no_id).alias("_id"), F.col("first.mark").alias("_mark"), F.lit(1).alias("_most"))
+    bare = linked.where("n_shingles = 0").select(F.coalesce("doc_id", no_id).alias("_id"), F.col("mark").alias("_mark"), F.lit(None).cast("int").alias("_most"))
+    stay = stay.unionByName(bare).groupBy("_id", "_mark").agg(F.max("_most").alias("_most"))
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    given = docs.select(
+        *(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.coalesce(F.col(id_col).cast("long"), no_id).alias("_id"), _mark(F.col(text_col)).alias("_mark")
     )
+    same = Window.partitionBy("_id", "_mark").orderBy("_mark")
+    kept = given.join(stay, ["_id", "_mark"]).withColumn("_nth", F.row_number().over(same)).where("_most is null or _nth <= _most")
+    return kept.select([F.col(n).alias(c) for c, n in names.items()])
