@@ -18,7 +18,8 @@ from codestrata.llm.storage import ship, shuffle_parts, stored
 
 FLUSH_HASHES = 1 << 21  # n-gram hashes a task packs at a time
 BLOCK = 512  # documents of one trie
-PROBES = 2048  # documents that probe one trie in one task
+PROBES = 512  # documents that probe one trie in one task
+TABLE_CELLS = 1 << 22  # of the table of probes against a trie's n-grams, at a time
 NO_ID = -(2**63)  # a null id inside packed arrays
 
 _PACKED = pa.schema(
@@ -184,63 +185,104 @@ def _mark(text):
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges starts to ends, one range after the other."""
+    n = ends - starts
+    return np.repeat(starts - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class Trie:
-    """A path-compressed prefix tree of globally ordered n-gram sets."""
+    """A path-compressed prefix tree of globally ordered n-gram sets, none empty.
+
+    Nodes are numbered level by level, so the children of a node are side by side, and arrays hold for
+    each node: the grams on its edge (as numbers in `known`), its children, the sets that end at it, and of the sets at or
+    below it the smallest size and the most grams that follow the edge.
+    """
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
-        self.sets, self.sizes = sets, sizes
-        self.order = sorted(range(len(sets)), key=lambda k: sets[k].tobytes())
-        self.lengths = np.array([len(sets[k]) for k in self.order], np.int64)
-        self.lcp = np.zeros(len(sets), np.int64)
+        order = sorted(range(len(sets)), key=lambda k: sets[k].tobytes())
+        lengths = np.array([len(sets[k]) for k in order], np.int64)
+        lcp = np.zeros(len(sets), np.int64)
         for i in range(1, len(sets)):
-            a, b = sets[self.order[i - 1]], sets[self.order[i]]
+            a, b = sets[order[i - 1]], sets[order[i]]
             n = min(len(a), len(b))
             other = np.flatnonzero(a[:n] != b[:n])
-            self.lcp[i] = other[0] if len(other) else n
-        self.nodes: list[tuple] = []  # (grams on the edge, smallest set, longest rest below, sets that end here, children)
-        self.roots = self._children(0, len(sets), 0) if sets else []
-
-    def _children(self, lo: int, hi: int, depth: int) -> list[int]:
-        """The nodes below `depth` of the sets lo to hi, which agree so far; iterative, as a chain may be deep."""
-        top: list[int] = []
-        todo = [(lo, hi, depth, top)]
-        while todo:
-            lo, hi, depth, into = todo.pop()
-            cuts = [lo, *(i for i in range(lo + 1, hi) if self.lcp[i] == depth), hi]
-            for a, b in zip(cuts, cuts[1:]):
-                end = int(self.lcp[a + 1 : b].min()) if b - a > 1 else int(self.lengths[a])
-                own = [self.order[i] for i in range(a, b) if self.lengths[i] == end]
-                rest = a + len(own)  # sets that end here sort first
-                below: list[int] = []
-                into.append(len(self.nodes))
-                sizes = self.sizes[[self.order[i] for i in range(a, b)]]
-                self.nodes.append((self.sets[self.order[a]][depth:end], int(sizes.min()), int(self.lengths[a:b].max()) - end, own, below))
-                if rest < b:
-                    todo.append((rest, b, end, below))
-        return top
-
-    def matches(self, grams: np.ndarray, size: int, percent: int, skip) -> Iterator[int]:
-        """Sets whose similarity with the probe reaches percent; skip(k) leaves out a set.
-
-        Overlap is counted once for sets that share a path. A subtree is left when even all that
-        remains, of the probe after its last match or of the longest set below, cannot reach the
-        intersection that its smallest set needs."""
-        place = np.argsort(grams)
-        ordered = grams[place]
-        todo = [(node, 0, -1) for node in self.roots]
-        while todo:
-            node, overlap, last = todo.pop()
-            edge, smallest, rest, own, below = self.nodes[node]
-            if len(edge) and len(ordered):
-                at = np.minimum(np.searchsorted(ordered, edge), len(ordered) - 1)
-                hits = place[at[ordered[at] == edge]]
-                if len(hits):
-                    overlap, last = overlap + len(hits), int(hits.max())
-            for k in own:
-                if 100 * overlap >= percent * (size + int(self.sizes[k]) - overlap) and not skip(k):
-                    yield k
-            if below and overlap + min(len(ordered) - 1 - last, rest) >= needed(size, smallest, percent):
-                todo.extend((child, overlap, last) for child in below)
+            lcp[i] = other[0] if len(other) else n
+        sizes = np.asarray(sizes)[order]
+        edges, edge, child, ends, smallest, rest = [], [0], {}, [], [], []
+        level, made = ([(-1, 0, len(sets), 0)] if sets else []), 0
+        while level:
+            below = []
+            for parent, lo, hi, depth in level:
+                cuts = [lo, *(lo + 1 + np.flatnonzero(lcp[lo + 1 : hi] == depth)), hi]
+                first = made
+                for a, b in zip(cuts, cuts[1:]):
+                    end = int(lcp[a + 1 : b].min()) if b - a > 1 else int(lengths[a])
+                    here = int((lengths[a:b] == end).sum())  # sets that end here sort first
+                    edges.append(sets[order[a]][depth:end])
+                    edge.append(edge[-1] + end - depth)
+                    ends.append((a, a + here))
+                    smallest.append(int(sizes[a:b].min()))
+                    rest.append(int(lengths[a:b].max()) - end)
+                    if a + here < b:
+                        below.append((made, a + here, b, end))
+                    made += 1
+                child[parent] = first, made
+            level = below
+        self.roots = child.get(-1, (0, 0))[1]
+        self.order, self.sizes = np.array(order, np.int64), sizes
+        grams = np.concatenate(edges) if edges else np.zeros(0, np.uint64)
+        self.known, self.grams = np.unique(grams, return_inverse=True)
+        self.edge = np.array(edge, np.int64)
+        self.ends = np.array(ends, np.int64).reshape(-1, 2)
+        self.smallest, self.rest = np.array(smallest, np.int64), np.array(rest, np.int64)
+        self.child = np.zeros((made, 2), np.int64)
+        for node, span in child.items():
+            if node >= 0:
+                self.child[node] = span
+
+    def matches(self, probes: list[np.ndarray], sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(probe, set) of all pairs whose similarity reaches percent, some probes at a time.
+
+        Goes down level by level, with many probes side by side. Overlap is counted once for all sets
+        that share a path. A probe leaves a subtree when even all that remains, of the probe after its
+        last match or of the longest set below, cannot reach what the smallest set there needs."""
+        step = max(1, TABLE_CELLS // max(1, len(self.known)))
+        for a in range(0, len(probes) if len(self.known) else 0, step):
+            who, what = self._descend(probes[a : a + step], np.asarray(sizes[a : a + step]), percent)
+            yield who + a, self.order[what]
+
+    def _descend(self, probes: list[np.ndarray], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        # places[p, g]: where probe p has gram g of the trie, -1 if it has not.
+        places = np.full((len(probes), len(self.known)), -1, np.int32)
+        for p, grams in enumerate(probes):
+            at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+            has = np.flatnonzero(self.known[at] == grams)
+            places[p, at[has]] = has
+        lengths = np.array([len(g) for g in probes])
+        nodes, who = np.tile(np.arange(self.roots), len(probes)), np.repeat(np.arange(len(probes)), self.roots)
+        overlap, last = np.zeros(len(nodes), np.int64), np.full(len(nodes), -1, np.int64)
+        found = []
+        while len(nodes):
+            starts, stops = self.edge[nodes], self.edge[nodes + 1]
+            at = places[np.repeat(who, stops - starts), self.grams[_spread(starts, stops)]]
+            cut = np.concatenate(([0], np.cumsum(stops - starts)[:-1]))
+            overlap = overlap + np.add.reduceat(at >= 0, cut, dtype=np.int64)
+            last = np.maximum(last, np.maximum.reduceat(at, cut))
+            own = self.ends[nodes]
+            sets = _spread(own[:, 0], own[:, 1])
+            if len(sets):
+                n = own[:, 1] - own[:, 0]
+                shared, asked = np.repeat(overlap, n), np.repeat(who, n)
+                same = 100 * shared >= percent * (sizes[asked] + self.sizes[sets] - shared)
+                found.append((asked[same], sets[same]))
+            reach = overlap + np.minimum(lengths[who] - 1 - last, self.rest[nodes])
+            go = (reach >= needed(sizes[who], self.smallest[nodes], percent)) & (self.child[nodes, 1] > 0)
+            down = self.child[nodes[go]]
+            n = down[:, 1] - down[:, 0]
+            nodes, who, overlap, last = _spread(down[:, 0], down[:, 1]), np.repeat(who[go], n), np.repeat(overlap[go], n), np.repeat(last[go], n)
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none)
 
 
 class _Union:
@@ -273,11 +315,11 @@ def _link(percent: int):
             probes = members
         trie = Trie([sets[k] for k in members], sizes[members])
         tied, links = _Union(), []
-        for p in probes:
-            own = int(comps[p])
-            for k in trie.matches(sets[p], int(sizes[p]), percent, lambda k: tied.find(int(comps[members[k]])) == tied.find(own)):  # noqa: B023
-                tied.join(own, int(comps[members[k]]))
-                links.append((int(rows[p]), int(rows[members[k]])))
+        for who, what in trie.matches([sets[p] for p in probes], sizes[probes], percent):
+            for p, k in zip(probes[who].tolist(), members[what].tolist()):
+                if tied.find(int(comps[k])) != tied.find(int(comps[p])):
+                    tied.join(int(comps[p]), int(comps[k]))
+                    links.append((int(rows[p]), int(rows[k])))
         return pa.Table.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=schema)
 
     return run
@@ -346,8 +388,9 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     2. Equal sets become one. What is left is ordered globally by (document frequency, hash).
        Documents that share one of their rarest hashes, as many as a link cannot do without, are
        candidates (prefix filter).
-    3. A document goes with the candidate of smallest row it shares most rare hashes with, in
-       blocks of bounded size; each block's tries are probed (`Trie`). Links give components.
+    3. A document goes with one of the candidates that are the first with a rare hash, the one most
+       documents share, in blocks of bounded size; each block's trie is probed (`Trie`). Links give
+       components.
     4. Candidates still in different components, if any, are checked likewise, block by block, so
        that no link is lost; a large group of near copies was tied before and needs no pairs.
     """
@@ -382,7 +425,8 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
 
     centers = rare.groupBy("gram").agg(F.min("row").alias("home"), F.count("*").alias("n")).where("n > 1").drop("n")
     votes = rare.join(centers, "gram").groupBy("row", "home").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("row").agg(F.max_by("home", F.struct("votes", -F.col("home"))).alias("home"))
+    popular = votes.groupBy("home").agg(F.count("*").alias("fans"))
+    best = votes.join(popular, "home").groupBy("row").agg(F.max_by("home", F.struct("fans", "votes", -F.col("home"))).alias("home"))
     many = best.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     homes = stored(
         best.join(many, "home").select("home", F.expr("int(pmod(xxhash64(row), blocks))").alias("block"), "row", F.lit(True).alias("own"))
@@ -401,9 +445,14 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     mixed = apart.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("gram")
     apart = stored(apart.join(mixed, "gram"), "ngram-apart")
     where = homes.where("own").drop("own")
-    # Which blocks hold, under the same rare hash, a document of a larger component?
+    # Which blocks hold, under the same rare hash, a document of a larger component? Put together for each
+    # hash first, then for each document, as near copies share many hashes.
     seats = apart.select("gram", "row", "comp").join(where, "row").groupBy("gram", "home", "block").agg(F.max("comp").alias("top"))
-    asks = apart.join(seats, "gram").where("comp < top").select("home", "block", "row", "comp").distinct()
+    seats = seats.groupBy("gram").agg(F.collect_list(F.struct("home", "block", "top")).alias("seats"))
+    larger = F.transform(F.filter("seats", lambda s: s["top"] > F.col("comp")), lambda s: F.struct(s["home"].alias("home"), s["block"].alias("block")))
+    asks = apart.join(seats, "gram").select("row", "comp", larger.alias("seats")).where("size(seats) > 0").groupBy("row", "comp").agg(
+        F.array_distinct(F.flatten(F.collect_list("seats"))).alias("seats")
+    ).select("row", "comp", F.inline("seats")).select("home", "block", "row", "comp")
     asked = stored(asks, "ngram-asks")
     seated = labelled(where, tied).join(asked.select("home", "block").distinct(), ["home", "block"], "left_semi")
     more = _blocks(sets, seated.select("home", "block", "row", "comp"), asked, percent)
