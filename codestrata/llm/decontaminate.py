@@ -53,10 +53,10 @@ class HammingIndex:
         self.prints, self.radius, self.blocks = prints, radius, []
         n, at = radius + 1, 0
         for k in range(n):
-            bits = 64 // n + (k < 64 % n)
-            order = np.argsort(self._value(prints, at, bits), kind="stable")
-            starts = np.searchsorted(self._value(prints, at, bits)[order], np.arange(2**bits + 1))
-            self.blocks.append((at, bits, order, starts))
+            bits, used = 64 // n + (k < 64 % n), min(16, 64 // n + (k < 64 % n))  # of a wide block the first 16 are looked up
+            order = np.argsort(self._value(prints, at, used), kind="stable")
+            starts = np.searchsorted(self._value(prints, at, used)[order], np.arange(2**used + 1))
+            self.blocks.append((at, used, order, starts))
             at += bits
 
     @staticmethod

@@ -131,8 +131,14 @@ def scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str, ...
 
 
 def best(points: dict[tuple[str, ...], float]) -> tuple[str, ...]:
-    """The path with most points; of equal ones the longer, then the first by name."""
-    return min(points, key=lambda p: (-points[p], -len(p), p), default=())
+    """The path with most points; of equal ones the longer, then the first by name. Within an article, or
+    else a main element, that element is the container."""
+    path = min(points, key=lambda p: (-points[p], -len(p), p), default=())
+    for tag in ("article", "main"):
+        for k, name in enumerate(path):
+            if name.partition(".")[0] == tag:
+                return path[: k + 1]
+    return path
 
 
 def text_under(found: list[tuple[tuple[str, ...], str, int]], path: tuple[str, ...]) -> str:
@@ -147,7 +153,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for host, page in zip(batch["host"][a : a + 64].to_pylist(), batch["page"].slice(a, 64)):
                 points = scores(list(blocks(page.as_py())))
                 if points and (path := best(points)):
-                    rows.append((host, ">".join(path), points[path]))
+                    rows.append((host, ">".join(path), points.get(path, 0.0)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["host", "path", "points"])
 
 

@@ -36,8 +36,8 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Chunk ends over texts laid end to end, each text's end among them, ascending.
 
-    A chunk may end after a byte where the first bits of the hash are zero, if it has MIN_BYTES; it ends
-    at MAX_BYTES at the latest. Only a text's own bytes decide: hashes that reach before its start are
+    A chunk may end after a byte where the first bits of the hash are zero, if it has MIN_BYTES; a longer
+    one than MAX_BYTES is split at each MAX_BYTES, whatever is left. Only a text's own bytes decide: hashes that reach before its start are
     not used, so equal passages are cut alike wherever they stand, but for their edges.
     """
     marks = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - CUT_BITS) == 0) + 1
