@@ -3,7 +3,8 @@
 ``Window.partitionBy(group)`` sorts a whole group in one task, which fails when one
 repository, user or file holds a third of the data. So the groups are counted first, by key
 and on the map side. Without a hot group the plain window is the plan. Rows of a hot group
-are cut into *cells*: runs of neighbouring rows given by ``chunk``, any non-decreasing
+are cut into *cells*: runs of neighbouring rows between bounds taken from a sample of the
+group's own order values, of any type that can be compared, or by ``chunk``, a non-decreasing
 function of the first order column. Rows are still shuffled once, by (group, cell). What a
 cell must know about the cells before and after it (a row count, "was there a hit", the
 neighbouring row) is computed on one pre-aggregated row per cell and travels with the cell
@@ -16,34 +17,49 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codestrata.operators import skew
 from codestrata.operators.skew import HOT, HotKeys, hot_keys
 
 CELL = "_cell"
 CARRY = "_carry"
 IS_ROW = "_is_row"
-CELL_BITS = 16  # integer orders: 65,536 consecutive values per cell
+SAMPLE = 40  # sampled order values for each cell
 
 
 def order_key(order: Sequence[str]) -> Column:
-    """One comparable value for the order columns."""
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
-
-
-def default_chunk(df: DataFrame, order: Sequence[str]) -> Column:
-    """Hours for timestamps, days for dates, runs of 65,536 values for integers."""
-    lead, kind = F.col(order[0]), df.schema[order[0]].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_trunc("hour", lead)
-    if isinstance(kind, T.DateType):
-        return lead
-    if isinstance(kind, T.IntegralType):
-        return F.shiftright(lead.cast("bigint"), CELL_BITS)
-    raise ValueError(
-        f"give chunk: a non-decreasing function of {order[0]!r}, fine enough that one "
-        "chunk of one group fits a task"
-    )
+    """One comparable value for the order columns; never null itself, nulls inside come first."""
+    return F.struct(*order)
+
+
+def _bounds(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotKeys) -> DataFrame:
+    """For each hot group the lower bounds of its cells but the first, and how many of them make a row of
+    the two-step search.
+
+    The bounds are every SAMPLE-th of about SAMPLE values for each cell, chosen by a hash of the order
+    values, so that a retried task chooses the same. The list is as long as all parts together.
+    """
+    marked = hot.mark(df) if keys else df.withColumn(HOT, F.lit(hot.rows[0][-1]))
+    marked = marked.where(F.col(HOT).isNotNull())
+    # The parts hold HOT_ROWS / 2 rows or more each, whatever the group's size.
+    share = F.lit(min(1.0, 2.0 * SAMPLE / max(1, skew.HOT_ROWS)))
+    chosen = F.pmod(F.xxhash64(*order, F.lit("cell")), F.lit(1 << 30)) < share * (1 << 30)
+    values = marked.where(chosen).groupBy(*keys).agg(F.sort_array(F.collect_list(order_key(order))).alias("_values"), F.max(HOT).alias("_parts"))
+    step = F.greatest(F.lit(1), F.floor(F.size("_values") / F.col("_parts"))).cast("int")
+    places = F.when(F.size("_values") > step, F.sequence(step, F.size("_values") - 1, step)).otherwise(F.array().cast("array<int>"))
+    bounds = F.array_distinct(F.transform(places, lambda i: F.get("_values", i)))
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_bounds")))).cast("int")
+    return values.withColumn("_bounds", bounds).select(*keys, "_bounds", width.alias("_width"))
+
+
+def _cell(order: Sequence[str]) -> Column:
+    """How many of ``_bounds`` are not above the row: among every ``_width``-th first, then in between."""
+    key = order_key(order)
+    rows = F.filter(F.transform(F.sequence(F.lit(0), F.floor((F.size("_bounds") - 1) / F.col("_width")).cast("int")), lambda i: F.get("_bounds", i * F.col("_width"))), lambda b: b <= key)
+    first = F.greatest(F.size(rows) - 1, F.lit(0)) * F.col("_width")
+    inner = F.filter(F.slice("_bounds", first + 1, F.col("_width")), lambda b: b <= key)
+    return F.when(F.size("_bounds") == 0, F.lit(0)).otherwise(first + F.size(inner)).cast("int")
 
 
 def _cells(
@@ -57,17 +73,24 @@ def _cells(
 ):
     """Rows, plus one carry row for each cell of a hot group; with the windows over one cell.
 
-    ``_carry`` is null in groups that are not hot. Without keys all rows are one hot group.
+    ``_carry`` is null in groups that are not hot. Without keys all rows are one group.
     """
-    if keys:
-        hot = hot_keys(df, keys) if hot is None else hot
-        chunk = default_chunk(df, order) if chunk is None and hot else chunk
-        marked = hot.mark(df) if hot else df.withColumn(HOT, F.lit(None).cast("int"))
+    hot = hot_keys(df, keys) if hot is None else hot
+    if not hot:
+        marked = df.withColumn(HOT, F.lit(None).cast("int"))
+    elif chunk is None:
+        names = {k: f"_bound_{k}" for k in keys}
+        bounds = F.broadcast(_bounds(df, keys, order, hot).withColumnsRenamed(names))
+        same: Column = F.lit(True)
+        for k, n in names.items():
+            same = same & df[k].eqNullSafe(bounds[n])
+        # A hot group none of whose values was chosen is one cell.
+        marked = (hot.mark(df) if keys else df.withColumn(HOT, F.lit(1))).join(bounds, same, "left").drop(*names.values())
+        chunk = F.coalesce(_cell(order), F.lit(0))
     else:
-        chunk = default_chunk(df, order) if chunk is None else chunk
-        marked = df.withColumn(HOT, F.lit(1))
+        marked = hot.mark(df) if keys else df.withColumn(HOT, F.lit(1))
     is_hot = F.col(HOT).isNotNull()
-    split = not keys or bool(hot)
+    split = bool(hot)
     inside = Window.partitionBy(*keys, CELL) if split else Window.partitionBy(*keys)
     inside = inside.orderBy(IS_ROW, *order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -79,7 +102,7 @@ def _cells(
         .agg(*summarise)
         .select(*keys, CELL, F.struct(*carry(along)).alias(CARRY))
     )
-    rows = rows.drop(HOT).withColumn(IS_ROW, F.lit(1))
+    rows = rows.drop(HOT, "_bounds", "_width").withColumn(IS_ROW, F.lit(1))
     if not split:
         nothing = F.lit(None).cast(carried.schema[CARRY].dataType)
         return rows.withColumn(CARRY, nothing), inside, so_far

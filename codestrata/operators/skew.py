@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 HOT = "_hot"
 SALT = "_salt"
-HOT_SHARE = 1000  # at least this many parts; more when the session shuffles into more
-HOT_ROWS = 1_000_000  # a key with fewer rows is no burden for one task
+HOT_ROWS = 1_000_000  # rows of one key that one task may get
+MOST_HOT = 100_000  # hot keys at most: what bounds the list that is sent around
 
 
 class HotKeys(NamedTuple):
@@ -43,23 +43,21 @@ def will_broadcast(df: DataFrame) -> bool:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str]) -> HotKeys:
-    """Keys too large for one task, counted by one job.
-
-    With P shuffle partitions (1,000 at least) a key is hot when it holds more than 1/P of
-    all rows, so fewer than P keys can qualify, whatever the data: the answer fits the
-    driver and a broadcast. A hot key is split into parts of about half a partition, so all
-    keys together need at most 3P parts. The count reads the key columns only and is
-    aggregated on the map side; the total is the sum of the same counts. An input below the
-    broadcast threshold cannot hold a group that hurts, and is not counted.
+    """Keys too large for one task, counted by one job, with the parts to split each into.
+
+    A key is hot when it holds more rows than HOT_ROWS, whatever its share; a part gets half of
+    that. Only beyond MOST_HOT * HOT_ROWS rows in all does the limit of a task grow, so that
+    the list stays below MOST_HOT keys and a few MB. The count reads the key columns only and
+    is aggregated on the map side. An input below the broadcast threshold fits one task and is
+    not counted.
     """
+    keys = list(keys)
     if will_broadcast(df):
-        return HotKeys(list(keys), [])
-    parts = max(HOT_SHARE, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return HotKeys(keys, [])
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    split = F.ceil(2 * F.col("_n") * parts / total).cast("int")
-    hot = counts.where((F.col("_n") > HOT_ROWS) & (F.col("_n") * parts > total)).select(*keys, split)
-    return HotKeys(list(keys), [tuple(r) for r in hot.collect()])
+    found = counts.where(F.col("_n") > HOT_ROWS).orderBy(F.desc("_n")).limit(MOST_HOT).collect()
+    limit = HOT_ROWS if len(found) < MOST_HOT else max(HOT_ROWS, found[-1]["_n"])
+    return HotKeys(keys, [(*r[:-1], -(-2 * r["_n"] // max(1, limit))) for r in found if r["_n"] > limit])
 
 
 def salted_join(

@@ -124,11 +124,47 @@ def test_first_and_last_wins(data):
     assert last == {k: (g[-1][1], g[-1][2]) for k, g in groups.items()}
 
 
-def test_no_keys_and_no_default_chunk(spark, rows):
-    df = spark.createDataFrame([("b",), ("a",), ("c",)], "s string")
-    with pytest.raises(ValueError):
-        o.with_position(df, [], ["s"])
-    assert rows(o.with_position(df, [], ["s"], chunk=F.substring("s", 1, 1))) == [("a", 0), ("b", 1), ("c", 2)]
+def test_no_keys(spark, rows):
+    df = spark.createDataFrame([("b",), ("a",), ("c",), (None,)], "s string")
+    want = [(None, 0), ("a", 1), ("b", 2), ("c", 3)]
+    assert rows(o.with_position(df, [], ["s"])) == want
+    assert rows(o.with_position(df, [], ["s"], chunk=F.substring("s", 1, 1))) == want
+
+
+ORDERS = {
+    "string": lambda: F.concat(F.lit("id-"), F.col("ord").cast("string")),
+    "double": lambda: F.col("ord") / 7.0,
+    "decimal": lambda: F.col("ord").cast("decimal(20,3)"),
+    "struct": lambda: F.struct((F.col("ord") % 3).alias("a"), F.col("ord").alias("b")),
+    "sparse integer": lambda: F.col("ord") * 1_000_000_007,
+    "one busy hour": lambda: F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("ord")),
+    "with nulls": lambda: F.when(F.col("ord") > 200, F.col("ord")),
+}
+
+
+@pytest.mark.parametrize("kind", ORDERS)
+def test_any_order_that_can_be_compared(data, kind):
+    df, _ = data
+    df = df.withColumn("place", ORDERS[kind]())
+    plain = F.row_number().over(o.Window.partitionBy("k").orderBy("place", "ord")) - 1
+    want = {(r.k, r.ord): r.p for r in df.withColumn("p", plain).collect()}
+    got = {(r.k, r.ord): r.position for r in o.with_position(df, ["k"], ["place", "ord"]).collect()}
+    assert got == want
+
+
+def test_cells_are_even_and_few(spark, monkeypatch):
+    """A hot group of sparse ids is cut by rows: parts of about half of what a task may get."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 2000)
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), (F.col("id") * F.col("id") * 1_000_003).alias("ord"))
+    both, _, _ = o._cells(df, ["k"], ["ord"], None, [F.count(F.lit(1)).alias("_n")], lambda along: [o._rows_before(along)])
+    sizes = [r["count"] for r in both.where(F.col(o.IS_ROW) == 1).groupBy(o.CELL).count().collect()]
+    assert sum(sizes) == 20_000 and 10 <= len(sizes) <= 60 and max(sizes) <= 3000
+
+
+def test_a_null_order_value_is_a_value(spark):
+    df = spark.createDataFrame([("a", None, "x"), ("b", None, "y"), ("b", 1, "z")], "k string, ord int, v string")
+    assert {r.k: r.v for r in o.first_wins(df, ["k"], ["ord"]).collect()} == {"a": "x", "b": "y"}
+    assert {r.k: r.v for r in o.last_wins(df, ["k"], ["ord"]).collect()} == {"a": "x", "b": "z"}
 
 
 def test_plan_depends_on_the_groups(data, monkeypatch):
