@@ -20,6 +20,7 @@ from codestrata.functions.text import (
 from codestrata.operators.skew import salted_join
 
 NULL_GROUP = "null"
+OTHER_GROUPS = "other"
 
 
 def not_null(df: DataFrame, column: str) -> DataFrame:
@@ -92,10 +93,15 @@ def pivot_counts(
     """Rows = ``index``, one count column per ``on`` value (sorted), absent cells 0.
 
     Counting happens first, so only (index, on, count) rows reach the pivot. With
-    ``values`` the plan is fully lazy; without, the distinct group names are read once,
-    bounded by ``spark.sql.pivotMaxValues``.
+    ``values`` the plan is fully lazy: rows without a group count in column ``null``, rows of
+    groups that are not listed in column ``other``. Without, the distinct group names are
+    read once; more than ``spark.sql.pivotMaxValues`` are an error.
     """
-    counted = value_counts(df.withColumn(on, F.coalesce(F.col(on).cast("string"), F.lit(NULL_GROUP))), [index], on, "_n")
+    named = F.coalesce(F.col(on).cast("string"), F.lit(NULL_GROUP))
+    if values is not None:
+        values = sorted({*map(str, values), NULL_GROUP, OTHER_GROUPS})
+        named = F.when(named.isin(values), named).otherwise(OTHER_GROUPS)
+    counted = value_counts(df.withColumn(on, named), [index], on, "_n")
     if values is None:
         limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
         names = counted.select(on).distinct().limit(limit + 1).collect()

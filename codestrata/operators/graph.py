@@ -58,25 +58,26 @@ def flatten_trees(roots: DataFrame, entries: DataFrame, keys: Sequence[str] = ("
     """Full path of every blob below each root tree.
 
     ``roots(keys, tree_oid)``; ``entries(keys, tree_oid, name, oid, kind)`` with kind 'tree'
-    for a subtree. One round per directory level; a subtree shared by very many roots is
-    salted. Result: keys, root, path, oid.
+    for a subtree; anything else, also null, is a file. One round per directory level; a subtree
+    shared by very many roots is salted. A tree inside itself (damaged data) is not entered
+    again. Result: keys, root, path, oid.
     """
     keys = list(keys)
     nodes = entries.select(*keys, "tree_oid", "name", "oid", "kind")
     frontier = roots.select(
         *keys, F.col("tree_oid").alias("root"), "tree_oid", F.lit("").alias("_prefix")
-    ).distinct()
+    ).distinct().withColumn("_above", F.array("tree_oid"))
     found = None
     while True:
         level = stored(
             salted_join(frontier, nodes, [*keys, "tree_oid"], "inner").select(
-                *keys, "root", "kind", "oid", F.concat("_prefix", "name").alias("path")
+                *keys, "root", F.coalesce(F.col("kind") == "tree", F.lit(False)).alias("_down"), "oid", F.concat("_prefix", "name").alias("path"), "_above"
             )
         )
-        files = level.where(F.col("kind") != "tree").select(*keys, "root", "path", "oid")
+        files = level.where(~F.col("_down")).select(*keys, "root", "path", "oid")
         found = files if found is None else found.union(files)
-        frontier = level.where(F.col("kind") == "tree").select(
-            *keys, "root", F.col("oid").alias("tree_oid"), F.concat("path", F.lit("/")).alias("_prefix")
+        frontier = level.where(F.col("_down") & ~F.array_contains("_above", F.col("oid"))).select(
+            *keys, "root", F.col("oid").alias("tree_oid"), F.concat("path", F.lit("/")).alias("_prefix"), F.array_append("_above", F.col("oid")).alias("_above")
         )
         if frontier.isEmpty():
             return found

@@ -48,8 +48,8 @@ def parse_symbols(dumps: DataFrame, path: str = "path", body: str = "body") -> D
         symbol_type(field["type"], field["ndx"]).alias("type"),
         (field["bind"] == "GLOBAL").alias("is_global"),
         hex_u64(field["value"]).alias("address"),
-        field["size"].try_cast("bigint").alias("size"),
-    ).where(F.col("address").isNotNull() & F.col("size").isNotNull())
+        field["size"].try_cast("decimal(20,0)").alias("size"),
+    ).where(F.col("address").isNotNull() & F.expr("size < 18446744073709551616BD"))
 
 
 def exported(symbols: DataFrame) -> DataFrame:

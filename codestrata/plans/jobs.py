@@ -35,16 +35,21 @@ def dashboard(logged: DataFrame, repos: Sequence[str] | None = None) -> Dashboar
     )
 
 
-def compare_libraries(old_dumps: DataFrame, new_dumps: DataFrame) -> DataFrame:
-    """Symbol changes between two listings of a library (last duplicate on the old side wins)."""
-    old, new = symbols.parse_symbols(old_dumps), symbols.parse_symbols(new_dumps)
+def compare_libraries(old_dumps: DataFrame, new_dumps: DataFrame, library: Column | None = None) -> DataFrame:
+    """Symbol changes of each library between two sets of listings: library, name, change, fields.
+
+    Listings are paired by ``library``, an expression over the column ``library`` (a path); the file
+    name by default. Of duplicates in an old listing the last wins.
+    """
+    named = F.element_at(F.split("library", "/"), -1) if library is None else library
+    old, new = (symbols.parse_symbols(d).withColumn("library", named) for d in (old_dumps, new_dumps))
     fields = ["type", "is_global", "address", "size"]
-    return snapshot_diff(old, new, ["name"], fields, left_order=["ord"])
+    return snapshot_diff(old, new, ["library", "name"], fields, left_order=["ord"])
 
 
 class VariableChanges(NamedTuple):
-    diff: DataFrame  # function, var, change, op
-    renames: DataFrame  # function, old_name, new_name
+    diff: DataFrame  # module, function, var, change, op
+    renames: DataFrame  # module, function, old_name, new_name
 
 
 def scoped_lines(lines: DataFrame) -> DataFrame:
@@ -60,15 +65,18 @@ def _operations(lines: DataFrame) -> DataFrame:
     """
     names, uses = variables.variable_map(scoped_lines(lines))
     owner = F.coalesce("function", F.lit("")).alias("function")
-    return names.select(owner, "var", F.lit(None).cast("string").alias("op")).unionByName(
-        uses.select(owner, "var", "op")
+    return names.select("module", owner, "var", F.lit(None).cast("string").alias("op")).unionByName(
+        uses.select("module", owner, "var", "op")
     )
 
 
 def variable_changes(old_lines: DataFrame, new_lines: DataFrame) -> VariableChanges:
-    """Changed operations per common variable, and rename candidates, between two listings."""
+    """Changed operations per common variable, and rename candidates, between two versions of modules."""
     old, new = _operations(old_lines), _operations(new_lines)
-    return VariableChanges(variables.variable_diff(old, new), variables.rename_candidates(old, new))
+    return VariableChanges(
+        variables.variable_diff(old, new, ["module", "function", "var"]),
+        variables.rename_candidates(old, new, within=["module", "function"]),
+    )
 
 
 def commits_to_analyze(walk: DataFrame, entries: DataFrame, limit: int | None = None) -> DataFrame:

@@ -312,7 +312,7 @@ SYMBOLS_SQL = """(SELECT 'lib' || l_orderkey || CASE WHEN l_orderkey > 100 THEN
 @query(f"SELECT library, name, type, is_global, CAST(address AS BIGINT) AS address, size FROM {SYMBOLS_SQL}")
 def parse_symbols(spark, d):
     parsed = symbols.parse_symbols(_symbol_dumps(spark, d)).drop("ord")
-    return parsed.withColumn("address", F.col("address").cast("bigint"))
+    return parsed.withColumns({c: F.col(c).cast("bigint") for c in ("address", "size")})
 
 
 @query(

@@ -13,7 +13,7 @@ CATALOG = Catalog()
 query = CATALOG.add
 
 SOURCE_ID = r"(src\d+)"
-LANGS = ["de", "en", "es", "fr"]  # fixed domain of documents.lang
+LANGS = ["de", "en", "es", "fr"]  # columns of the flagship pivot; other languages share one
 HOST = r"^https?://([^/]+)/"
 SECTION = r"^https?://[^/]+/([^/?#]+)"
 
@@ -65,7 +65,8 @@ def findings_extract(spark, d):
     """
     SELECT nullif(regexp_extract(source, '(src[0-9]+)', 1), '') AS src_id,
            count(*) FILTER (WHERE lang = 'de') AS de, count(*) FILTER (WHERE lang = 'en') AS en,
-           count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr
+           count(*) FILTER (WHERE lang = 'es') AS es, count(*) FILTER (WHERE lang = 'fr') AS fr,
+           count(*) FILTER (WHERE lang IS NULL) AS "null", count(*) FILTER (WHERE lang NOT IN ('de', 'en', 'es', 'fr')) AS other
     FROM documents WHERE source IS NOT NULL AND regexp_matches(source, '(src[0-9]+)') GROUP BY 1
     """
 )
@@ -111,15 +112,15 @@ def findings_unnest(spark, d):
     WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL),
          g AS (SELECT s.source, l.lang, coalesce(c.n, 0) AS n
                FROM (SELECT DISTINCT source FROM documents) s
-               CROSS JOIN (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang) l
-               LEFT JOIN c ON c.source = s.source AND c.lang = l.lang)
-    SELECT lang, string_agg(source, ',' ORDER BY source) AS ids,
+               CROSS JOIN (SELECT DISTINCT lang FROM documents) l
+               LEFT JOIN c ON c.source = s.source AND c.lang IS NOT DISTINCT FROM l.lang)
+    SELECT coalesce(lang, 'null') AS lang, string_agg(source, ',' ORDER BY source) AS ids,
            string_agg(CAST(n AS VARCHAR), ',' ORDER BY source) AS counts
     FROM g GROUP BY lang
     """
 )
 def findings_series(spark, d):
-    wide = fnd.pivot_counts(table(spark, d, "documents"), "source", "lang", LANGS)
+    wide = fnd.pivot_counts(table(spark, d, "documents"), "source", "lang")
     series = fnd.chart_series(wide, "source", "lang")
     return series.select(
         "lang",
@@ -156,8 +157,11 @@ def findings_ratio(spark, d):
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '(?i)the')) AS hits FROM documents")
 def findings_height(spark, d):
+    """Height of the whole table and of the rows that match."""
     docs = table(spark, d, "documents")
-    return fnd.hit_ratio(docs, F.col("text").rlike("(?i)the")).select(F.col("total").alias("n"), "hits")
+    flagged = docs.select(F.col("text").rlike("(?i)the").alias("hit"))
+    counted = fnd.height(flagged.where("hit"), "hits").withColumn("n", F.lit(0)).unionByName(fnd.height(flagged).withColumn("hits", F.lit(0)))
+    return counted.agg(F.max("n").alias("n"), F.max("hits").alias("hits"))
 
 
 @query(r"SELECT count(DISTINCT nullif(regexp_extract(p_brand, '(Brand#\d+)', 1), '')) AS ids FROM part")

@@ -153,19 +153,23 @@ def imported_rows(spark, d):
 
 @query("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def union_of_parts(spark, d):
+    """Two parts by a rule that every row, also one without a language, satisfies or not."""
     docs = table(spark, d, "documents").select("lang", "n_chars")
-    whole = snapshots.union_all([docs.where(F.col("lang") == code) for code in ("de", "en", "es", "fr")])
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    whole = snapshots.union_all([docs.where(english), docs.where(~english)])
     return whole.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-def _turn_words(spark, d, role):
-    turns = table(spark, d, "conversations").where(F.col("role") == role)
+def _turn_words(spark, d, asked):
+    """Words of the user's turns, or of all others."""
+    user = F.coalesce(F.col("role") == "user", F.lit(False))
+    turns = table(spark, d, "conversations").where(user if asked else ~user)
     return turns.select(F.col("conv_id"), F.explode(F.array_distinct(F.split("text", " "))).alias("op"))
 
 
 WORDS_SQL = """
   u AS (SELECT DISTINCT conv_id, unnest(string_split(text, ' ')) AS op FROM conversations WHERE role = 'user'),
-  a AS (SELECT DISTINCT conv_id, unnest(string_split(text, ' ')) AS op FROM conversations WHERE role = 'assistant'),
+  a AS (SELECT DISTINCT conv_id, unnest(string_split(text, ' ')) AS op FROM conversations WHERE role IS DISTINCT FROM 'user'),
   diff AS (
     SELECT conv_id, 'removed' AS change, op FROM u ANTI JOIN a USING (conv_id, op)
     WHERE conv_id IN (SELECT conv_id FROM a)
@@ -176,7 +180,7 @@ WORDS_SQL = """
 
 @query(f"WITH {WORDS_SQL} SELECT * FROM diff")
 def op_diff(spark, d):
-    return variables.variable_diff(_turn_words(spark, d, "user"), _turn_words(spark, d, "assistant"), ["conv_id"])
+    return variables.variable_diff(_turn_words(spark, d, True), _turn_words(spark, d, False), ["conv_id"])
 
 
 @query(f"WITH {WORDS_SQL} SELECT DISTINCT conv_id FROM diff")
@@ -194,15 +198,15 @@ def added_ops(spark, d):
     """
     SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, CASE WHEN a.conv_id IS NULL THEN 'old' ELSE 'new' END AS side
     FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system') u
-    FULL JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant') a USING (conv_id)
+    FULL JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role IS DISTINCT FROM 'system' AND turn > 1) a USING (conv_id)
     WHERE u.conv_id IS NULL OR a.conv_id IS NULL
     """
 )
 def one_sided_names(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", "role")
-    return variables.one_sided(
-        turns.where(F.col("role") == "system"), turns.where(F.col("role") == "assistant"), ["conv_id"]
-    )
+    """Conversations with a system turn against those with a later turn of anyone else."""
+    turns = table(spark, d, "conversations").select("conv_id", "role", "turn")
+    system = F.coalesce(F.col("role") == "system", F.lit(False))
+    return variables.one_sided(turns.where(system), turns.where(~system & (F.col("turn") > 1)), ["conv_id"])
 
 
 @query(

@@ -8,15 +8,16 @@ from codestrata.queries import Catalog, table
 from codestrata.session import work_path
 from codestrata.sources.readers import stream_findings
 from codestrata.sources.writers import append_stream
-from codestrata.streaming.logs import check_records, drain_to_table, finding_counts, run_status
+from codestrata.streaming.logs import check_records, drain_to_table, finding_counts, read_drained, run_status, windowed_counts
 
 CATALOG = Catalog()
 query = CATALOG.add
 
 
 def _event_stream(spark, d):
-    schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The table's own path, one file or a folder of part files: a pattern that only it matches, as a
+    stream of one file must be a pattern."""
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
 
 
 @query(
@@ -37,7 +38,7 @@ def stream_counts(spark, d):
     log, result = work_path(spark, "log"), work_path(spark, "counts")
     append_stream(logged, log).awaitTermination()
     drain_to_table(finding_counts(stream_findings(spark, log)), result).awaitTermination()
-    return spark.read.parquet(result)
+    return read_drained(spark, result, ["repo", "cwe_id"])
 
 
 @query(
@@ -52,13 +53,45 @@ def stream_status(spark, d):
     result = work_path(spark, "status")
     latest = run_status(_event_stream(spark, d), "user_id", "event_type", ["ts", "event_id"], "error")
     drain_to_table(latest, result).awaitTermination()
-    return spark.read.parquet(result)
+    return read_drained(spark, result, ["user_id"])
 
 
-@query("SELECT event_id, 'WrongFieldValueType' AS reason FROM events")
+@query(
+    """
+    SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS cwe_id, count(*) AS cwe_id_occur
+    FROM events WHERE event_type <> 'signup' GROUP BY ALL
+    """
+)
+def stream_windows(spark, d):
+    """Events per day and kind, by event time; the lateness covers the whole log."""
+    logged = _event_stream(spark, d).select(
+        F.when(F.col("event_type") != "signup", F.concat(F.lit("CWE-1 "), F.col("event_type"))).alias("cweID"),
+        F.concat(F.lit("/data/micros/"), F.col("event_type"), F.lit("/a.c")).alias("fileName"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("time"),
+    )
+    result = work_path(spark, "windows")
+    drain_to_table(windowed_counts(logged, "36500 days", "1 day"), result).awaitTermination()
+    counts = read_drained(spark, result, ["window", "repo", "cwe_id"])
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), F.col("repo").alias("cwe_id"), "cwe_id_occur")
+
+
+@query(
+    """
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'WrongFieldValueType' WHEN 2 THEN 'UnknownField' WHEN 3 THEN 'NoCommand' END AS reason
+    FROM events
+    """
+)
 def stream_validate(spark, d):
-    """Each event's JSON checked as a record whose key must hold text."""
-    checked = check_records(_event_stream(spark, d).select("event_id", F.col("props").alias("value")), "value", ["k"])
+    """Records made of each event: as it is (a number where text must be), right, with an unknown key, and damaged."""
+    events = _event_stream(spark, d)
+    kind = F.concat(F.lit('{"k":"'), F.col("event_type"), F.lit('"'))
+    record = (
+        F.when(F.col("event_id") % 4 == 0, F.col("props"))
+        .when(F.col("event_id") % 4 == 1, F.concat(kind, F.lit("}")))
+        .when(F.col("event_id") % 4 == 2, F.concat(kind, F.lit(',"other":"x"}')))
+        .otherwise(kind)
+    )
+    checked = check_records(events.select("event_id", record.alias("value")), "value", ["k"])
     result = work_path(spark, "checked")
     append_stream(checked.select("event_id", "reason"), result, "parquet").awaitTermination()
     return spark.read.parquet(result)

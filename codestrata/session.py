@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,24 +24,18 @@ def local_session(cores: int | str = "*", app: str = "codestrata") -> SparkSessi
     )
 
 
-@functools.cache
-def _local_folder(application: str) -> str:
-    """One temporary folder per local session."""
-    return tempfile.mkdtemp(prefix=f"codestrata-{application}-")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, where driver
-    and executors are one process, may fall back to a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``. A local session, where driver and
+    executors are one process, may leave it unset: then it is a folder beside the warehouse.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_folder(spark.sparkContext.applicationId)
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-work"
 
 
 def work_path(spark: SparkSession, label: str) -> str:

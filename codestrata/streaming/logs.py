@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codestrata.operators.commands import check_records
@@ -25,10 +25,10 @@ def finding_counts(findings: DataFrame) -> DataFrame:
     return value_counts(finding_rows(findings), ["repo"], "cwe_id", "cwe_id_occur")
 
 
-def windowed_counts(findings: DataFrame, window: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
-    """Counts per event-time window. Window length and lateness are this library's choice:
-    rows more than ``lateness`` behind the newest event are dropped once their window closed,
-    which also bounds the state."""
+def windowed_counts(findings: DataFrame, lateness: str, window: str = "1 hour") -> DataFrame:
+    """Counts per event-time window. A stream drops rows more than ``lateness`` behind the newest
+    event once their window closed, which also bounds the state; a batch has no late rows. Rows
+    without a time have no window: ``untimed_counts`` has them."""
     stamped = finding_rows(findings).withColumn("ts", F.timestamp_millis("time"))
     return (
         stamped.withWatermark("ts", lateness)
@@ -37,6 +37,11 @@ def windowed_counts(findings: DataFrame, window: str = "1 hour", lateness: str =
     )
 
 
+def untimed_counts(findings: DataFrame) -> DataFrame:
+    """Counts of the findings that ``windowed_counts`` leaves out, having no time."""
+    return value_counts(finding_rows(findings).where(F.col("time").isNull()), ["repo"], "cwe_id", "cwe_id_occur")
+
+
 def run_status(events: DataFrame, run: str = "run", kind: str = "kind", order: str | Sequence[str] = "seq", error_kind: str = "EncounterError") -> DataFrame:
     """Latest kind per run, number of events, and whether an error was seen."""
     key = F.col(order) if isinstance(order, str) else F.struct(*order)
@@ -50,16 +55,25 @@ def run_status(events: DataFrame, run: str = "run", kind: str = "kind", order: s
 def drain_to_table(df: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
     """Run an aggregating stream over what is available.
 
-    The complete result replaces the table after every batch, so a repeated batch is harmless.
+    A batch writes the groups it changed, once, to a folder of its own, which replaces what an
+    earlier try of the same batch left; ``read_drained`` takes each group from its last batch.
     """
 
-    def replace(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def changed(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        df.writeStream.outputMode("complete")
+        df.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint or work_path(df.sparkSession, "state"))
-        .foreachBatch(replace)
+        .foreachBatch(changed)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_drained(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The table that ``drain_to_table`` keeps: each group as the last batch that changed it has it."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    rest = [c for c in rows.columns if c not in keys and c != "batch"]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch").cast("bigint")).alias("_row"))
+    return last.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])

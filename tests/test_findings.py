@@ -56,6 +56,9 @@ def test_dashboard(spark, tmp_path, rows):
     assert board.table.count() == 6
     lazy = dashboard(readers.read_findings(spark, log_dir_again(tmp_path)), ["alpha", "beta"])
     assert rows(lazy.pivot, "cwe_id", "alpha", "beta") == [("CWE-1", 0, 0), ("CWE-362", 2, 0), ("CWE-667", 0, 1)]
+    one = dashboard(readers.read_findings(spark, log_dir_again(tmp_path)), ["alpha"]).pivot
+    assert one.columns == ["cwe_id", "alpha", "null", "other"]
+    assert rows(one) == [("CWE-1", 0, 1, 0), ("CWE-362", 2, 0, 0), ("CWE-667", 0, 0, 1)]
 
 
 def test_series_and_stack(spark, rows):

@@ -126,6 +126,14 @@ def test_flatten_trees(spark, rows):
     assert rows(each_entry(flat, lambda df: F.length(df["path"])), "path", "value")[0] == ("README", 6)
 
 
+def test_trees_without_kind_or_inside_themselves(spark, rows):
+    nodes = spark.createDataFrame(
+        [("T", "odd", "b", None), ("T", "sub", "S", "tree"), ("S", "up", "T", "tree"), ("S", "x", "c", "blob")], "tree_oid string, name string, oid string, kind string"
+    )
+    roots = spark.createDataFrame([("T",)], "tree_oid string")
+    assert rows(g.flatten_trees(roots, nodes, []), "path", "oid") == [("odd", "b"), ("sub/x", "c")]
+
+
 def test_call_paths_with_cycle(spark, rows):
     edges = spark.createDataFrame(
         [("m", a, b, 1) for a, b in [("main", "f"), ("main", "g"), ("f", "h"), ("g", "h"), ("h", "main"), ("h", "h"), ("x", "y")]],

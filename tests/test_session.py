@@ -19,8 +19,8 @@ def test_a_cluster_must_name_the_shared_folder():
     assert session.work_path(fake("yarn", {"spark.checkpoint.dir": "hdfs:///work/"}), "x").startswith("hdfs:///work/x-")
 
 
-def test_local_fallback_is_one_folder_per_session():
-    assert session.shared_dir(fake("local[2]", {})) == session.shared_dir(fake("local[2]", {}))
+def test_a_local_session_uses_a_folder_beside_the_warehouse():
+    assert session.shared_dir(fake("local[2]", {"spark.sql.warehouse.dir": "file:/w/house/"})) == "file:/w/house-work"
 
 
 def test_stored_keeps_rows_and_types(spark, rows):

@@ -22,7 +22,7 @@ def test_batch_and_stream_agree_over_two_runs(spark, tmp_path, rows):
         stream = logs.finding_counts(readers.stream_findings(spark, str(log), max_files=1))
         logs.drain_to_table(stream, table, marks).awaitTermination()
         batch = logs.finding_counts(readers.read_findings(spark, str(log)))
-        assert rows(spark.read.parquet(table), "repo", "cwe_id", "cwe_id_occur") == rows(batch)
+        assert rows(logs.read_drained(spark, table, ["repo", "cwe_id"]), "repo", "cwe_id", "cwe_id_occur") == rows(batch)
     assert batch.count() == 6
 
 
@@ -30,10 +30,10 @@ def test_windowed_counts(spark, tmp_path, rows):
     log, table = tmp_path / "log", str(tmp_path / "table")
     log.mkdir()
     write_log(log / "0.json", 0, 200)
-    stream = logs.windowed_counts(readers.stream_findings(spark, str(log)))
+    stream = logs.windowed_counts(readers.stream_findings(spark, str(log)), "1 hour")
     logs.drain_to_table(stream, table).awaitTermination()
-    got = spark.read.parquet(table)
-    batch = logs.windowed_counts(readers.read_findings(spark, str(log)))
+    got = logs.read_drained(spark, table, ["window", "repo", "cwe_id"])
+    batch = logs.windowed_counts(readers.read_findings(spark, str(log)), "1 hour")
     pick = [F.col("window.start").alias("s"), "repo", "cwe_id", "cwe_id_occur"]
     assert rows(got.select(pick)) == rows(batch.select(pick))
     assert got.select("window").distinct().count() == 4
@@ -50,7 +50,7 @@ def test_run_status(spark, tmp_path, rows):
     df.repartition(3).write.json(src)
     stream = spark.readStream.schema(df.schema).json(src)
     logs.drain_to_table(logs.run_status(stream), table).awaitTermination()
-    assert rows(spark.read.parquet(table)) == want
+    assert rows(logs.read_drained(spark, table, ["run"]), "run", "status", "events", "failed") == want
 
 
 def test_record_stream_equals_batch(spark, tmp_path, rows):
@@ -75,3 +75,30 @@ def test_findings_sink_as_stream(spark, tmp_path, rows):
     write_log(log / "0.json", 0, 40)
     writers.append_stream(readers.stream_findings(spark, str(log)), out).awaitTermination()
     assert rows(logs.finding_counts(readers.read_findings(spark, out))) == rows(logs.finding_counts(readers.read_findings(spark, str(log))))
+
+
+def test_rows_without_a_time_are_counted_apart(spark):
+    df = spark.createDataFrame([("CWE-1", "/micros/a/x.c", 5), ("CWE-1", "/micros/a/x.c", None)], "cweID string, fileName string, time bigint")
+    assert [r.cwe_id_occur for r in logs.windowed_counts(df, "1 hour").collect()] == [1]
+    assert [r.cwe_id_occur for r in logs.untimed_counts(df).collect()] == [1]
+
+
+def test_a_batch_tried_again_changes_nothing(spark, tmp_path, rows):
+    path = str(tmp_path / "t")
+    for batch, value in ((0, 1), (0, 1), (1, 5)):
+        spark.createDataFrame([("a", value), (f"b{batch}", 2)], "k string, n int").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    assert rows(logs.read_drained(spark, path, ["k"])) == [("a", 5), ("b0", 2), ("b1", 2)]
+
+
+def test_file_and_folder_tables_stream(spark, tmp_path):
+    from codestrata.queries.streams import _event_stream
+
+    df = spark.range(10).selectExpr("id AS event_id")
+    df.repartition(3).write.parquet(str(tmp_path / "folder" / "events.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "file" / "events.parquet")
+    for kind in ("folder", "file"):
+        out = str(tmp_path / f"out-{kind}")
+        writers.append_stream(_event_stream(spark, str(tmp_path / kind)), out, "parquet").awaitTermination()
+        assert spark.read.parquet(out).count() == 10

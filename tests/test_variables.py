@@ -91,7 +91,7 @@ def test_older_debug_calls(spark, rows):
 def test_pure_rename(spark, rows):
     change = jobs.variable_changes(lines(spark, LOOP), lines(spark, LOOP.replace("INDEX", "arg_index")))
     assert change.diff.count() == 0
-    assert rows(change.renames) == [("main", "INDEX", "arg_index")]
+    assert rows(change.renames, "function", "old_name", "new_name") == [("main", "INDEX", "arg_index")]
 
 
 def test_added_and_removed_operations(spark, rows):
@@ -103,6 +103,15 @@ def test_added_and_removed_operations(spark, rows):
     back = jobs.variable_changes(lines(spark, after), lines(spark, LOOP))
     assert rows(back.diff, "var", "change") == [("INDEX", "removed")]
     assert rows(v.changed_names(back.diff)) == [("main", "INDEX")]
+    assert back.diff.columns == ["module", "function", "var", "change", "op"]
+
+
+def test_modules_do_not_mix(spark, rows):
+    """Two modules that swap their contents both change."""
+    one, two = LOOP, LOOP.replace("  %9 = add nuw nsw i64 %7, 1", "  %9 = mul i64 %7, 3")
+    both = lambda a, b: lines(spark, a).withColumn("module", F.lit("a")).unionByName(lines(spark, b).withColumn("module", F.lit("b")))
+    diff = jobs.variable_changes(both(one, two), both(two, one)).diff
+    assert rows(diff, "module", "var", "change") == [(m, "INDEX", c) for m in "ab" for c in ("added", "removed")]
 
 
 USES = "function string, var string, op string"
