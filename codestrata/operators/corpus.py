@@ -28,11 +28,14 @@ THREAD_FUNCTION = "ONLY_FOR_VUL"
 C_THREAD = "SPECIFIC_THREAD"
 CPP_THREAD = "_DETACH_THREAD"
 
-# TYPE ID = FUNC(ARGS); followed by another statement. ARGS may nest one pair of parentheses.
-CALL_SITE = (
+# TYPE ID = FUNC( as the head of a call site.
+CALL_HEAD = (
     r"(?<![\w.>])((?:const\s+|unsigned\s+|struct\s+)*[A-Za-z_]\w*(?:\s*\*+\s*|\s+))([A-Za-z_]\w*)"
-    r"\s*=\s*([A-Za-z_][\w:.]*)\(((?:[^();]|\([^();]*\))*)\);(?=\s*[^\s}])"
+    r"\s*=\s*([A-Za-z_][\w:.]*)\("
 )
+# Comments, then string and character literals.
+UNREAD = r"//[^\n]*|/\*.*?(?:\*/|\Z)|(\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')"
+SITE_PARTS = ("statement", "type", "id", "func", "args")
 STATEMENT_WORDS = ("return", "else", "goto", "case", "typedef")
 
 
@@ -53,50 +56,67 @@ def includes(sources: DataFrame, key: str = "path", text: str = "text") -> DataF
     return sources.select(F.col(key).alias("file"), F.explode(included_files(F.col(text))).alias("include"))
 
 
+def _site_scanner():
+    """A vectorised function from texts to call sites. All it needs travels inside it."""
+    head, unread, words = CALL_HEAD, UNREAD, STATEMENT_WORDS
+
+    def scan(texts):
+        import re
+
+        import pandas as pd
+
+        start, skip, paren, after = re.compile(head), re.compile(unread, re.S), re.compile("[()]"), re.compile(r";(?=\s*[^\s}])")
+        word = re.compile(rf"(?:{'|'.join(words)})\b")
+
+        def sites(text):
+            # Same length, so places agree: comments become blanks, literals one long word.
+            code = skip.sub(lambda m: ("_" if m[1] else " ") * len(m[0]), text or "")
+            closing, open_ = {}, []
+            for m in paren.finditer(code):
+                if m[0] == "(":
+                    open_.append(m.start())
+                elif open_:
+                    closing[open_.pop()] = m.start()
+            found = []
+            for m in start.finditer(code):
+                end = closing.get(m.end() - 1)
+                if end is not None and after.match(code, end + 1) and not word.match(m[0]):
+                    kind = re.sub(r"\s+", " ", m[1]).strip(" ")
+                    args, depth, from_ = [], 0, m.end()
+                    for k in range(m.end(), end + 1):
+                        depth += (code[k] in "([{") - (code[k] in ")]}")
+                        if k == end or depth == 0 and code[k] == ",":
+                            args.append(text[from_:k].strip(" \t\n"))
+                            from_ = k + 1
+                    found.append((m.start() + 1, text[m.start() : end + 2], kind, m[2], m[3], text[m.end() : end], [a for a in args if a]))
+            return found
+
+        for part in texts:
+            yield pd.Series([sites(t) for t in part], dtype=object)
+
+    return scan
+
+
 def _sites(text: Column) -> Column:
-    """Matched statements in text order; keyword-led ones are not declarations."""
-    found = F.regexp_extract_all(text, F.lit(CALL_SITE), 0)
-    return F.filter(found, lambda s: ~s.rlike(rf"^(?:{'|'.join(STATEMENT_WORDS)})\b"))
+    """Initialising call statements in text order: at (1-based), statement, type, id, func, args. Parentheses are
+    matched at any depth; what stands in comments or literals is not code."""
+    return F.pandas_udf(
+        _site_scanner(), "array<struct<at int, statement string, type string, id string, func string, args string, arguments array<string>>>",
+        F.PandasUDFType.SCALAR_ITER,
+    )(text)
 
 
 def call_sites(sources: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """Initialising call statements: TYPE ID = FUNC(ARGS); with a following statement."""
-    rows = sources.select(key, F.posexplode(_sites(F.col(text))).alias("pos", "statement"))
-    part = {
-        name: F.regexp_extract("statement", CALL_SITE.rsplit("(?=", 1)[0], i)
-        for i, name in enumerate(("type", "id", "func", "args"), 1)
-    }
-    return rows.select(
-        key,
-        "pos",
-        "statement",
-        F.btrim(F.regexp_replace(part["type"], r"\s+", " ")).alias("type"),
-        part["id"].alias("id"),
-        part["func"].alias("func"),
-        part["args"].alias("args"),
-    )
+    found = sources.select(key, _sites(F.col(text)).alias("_sites"))
+    rows = found.select(key, F.posexplode("_sites").alias("pos", "_site"))
+    return rows.select(key, "pos", *[F.col("_site")[c].alias(c) for c in SITE_PARTS])
 
 
 def first_call_site(sources: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """Only the first applicable statement of each file, without a shuffle."""
-    first = F.try_element_at(_sites(F.col(text)), F.lit(1))
-    one = sources.withColumn("_first", first).where(F.col("_first").isNotNull())
-    part = [F.regexp_extract("_first", CALL_SITE.rsplit("(?=", 1)[0], i) for i in (1, 2, 3, 4)]
-    return one.withColumns(
-        {
-            "statement": F.col("_first"),
-            "type": F.btrim(F.regexp_replace(part[0], r"\s+", " ")),
-            "id": part[1],
-            "func": part[2],
-            "args": part[3],
-        }
-    ).drop("_first")
-
-
-def _arguments(args: Column) -> Column:
-    """Top-level arguments: a comma inside one pair of parentheses or a string does not split."""
-    pieces = F.regexp_extract_all(args, F.lit(r'(?:[^,("]|\([^()]*\)|"(?:[^"\\]|\\.)*")+'), 0)
-    return F.filter(F.transform(pieces, lambda a: F.btrim(a, F.lit(" \t\n"))), lambda a: a != "")
+    one = sources.withColumn("_site", F.try_element_at(_sites(F.col(text)), F.lit(1))).where(F.col("_site").isNotNull())
+    return one.withColumns({c: F.col("_site")[c] for c in ("at", *SITE_PARTS, "arguments")}).drop("_site")
 
 
 def _is_literal(arg: Column) -> Column:
@@ -167,17 +187,16 @@ def inject_race(sources: DataFrame, key: str = "path", text: str = "text") -> Da
         first_call_site(sources, key, text)
         .withColumn("language", language_of(F.col(key)))
         .where(F.col("language") != "unsupported")
-        .withColumn("_at", F.locate("statement", text) if isinstance(text, Column) else F.expr(f"locate(statement, `{text}`)"))
     )
-    new = F.when(F.col("language") == "C", _threaded_c(_arguments(F.col("args")))).otherwise(_threaded_cpp())
+    new = F.when(F.col("language") == "C", _threaded_c(F.col("arguments"))).otherwise(_threaded_cpp())
     body = F.col(text)
     return sites.select(
         key,
         "language",
         F.concat(
-            F.substr(body, F.lit(1), F.col("_at") - 1),
+            F.substr(body, F.lit(1), F.col("at") - 1),
             new,
-            F.substr(body, F.col("_at") + F.length("statement")),
+            F.substr(body, F.col("at") + F.length("statement")),
         ).alias("mutated"),
     )
 

@@ -89,3 +89,24 @@ def test_analyzer_registry(spark, rows):
     cmds = spark.createDataFrame([("a.c", "cc -pthread")], "file string, command string")
     inc = spark.createDataFrame([("a.c", "x.h")], "file string, include string")
     assert rows(jobs.analyze("infer", cmds, inc)) == [("a.c", "flag")]
+
+
+def test_call_sites_at_any_depth(spark, rows):
+    text = '''// int no = comment(1); x
+int a = f(g(h(i(j(1)))), k(2, (3)));
+char *s = name("a;b)", ')'); /* int b = block(1); y */
+int c = open_end(1;
+int d = last(4);
+}'''
+    df = spark.createDataFrame([("a.c", text), ("b.c", None), ("c.c", "")], "path string, text string")
+    got = c.call_sites(df).orderBy("pos").collect()
+    assert [(r.type, r.id, r.func, r.args) for r in got] == [("int", "a", "f", "g(h(i(j(1)))), k(2, (3))"), ("char *", "s", "name", "\"a;b)\", ')'")]
+    first = c.first_call_site(df).first()
+    assert first.arguments == ["g(h(i(j(1))))", "k(2, (3))"]
+    assert "int no = comment(1);" in c.inject_race(df).first().mutated
+
+
+def test_the_site_itself_is_edited_not_an_equal_text_before_it(spark):
+    text = "// int a = f(1); kept\nint a = f(1);\nint z;\n"
+    got = c.inject_race(spark.createDataFrame([("a.cpp", text)], "path string, text string")).first().mutated
+    assert got.startswith("// int a = f(1); kept\nint a;\n")
