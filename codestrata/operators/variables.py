@@ -359,13 +359,14 @@ def rename_candidates(
     """``within``, old_name, new_name: one-sided variables whose operation sets are equal, 1:1.
 
     Sets are compared by size and two order-free hash sums, which aggregate on the map side
-    whatever the size of a set; the surviving pairs are then checked operation by operation.
+    whatever the size of a set; only the operations of surviving pairs are read again and
+    checked one by one.
     Signatures shared by several variables are ambiguous and give no pair. Variables without
     operations are not matched.
     """
     within = list(within)
     keys = [*within, var]
-    sides = stored(_sides(old, new, [*keys, op]), "operations")  # read three times below
+    sides = _sides(old, new, [*keys, op])
     in_old = F.col("_old")
     digest = F.xxhash64(op)
     has_op = F.col(op).isNotNull()
@@ -391,12 +392,9 @@ def rename_candidates(
         .where((F.col("_n_old") == 1) & (F.col("_n_new") == 1))
     )
     ends = F.inline(F.array(*[F.struct(F.col(n).alias(var)) for n in ("old_name", "new_name")]))
-    labels = pairs.select(*within, "old_name", "new_name", "_size", ends)
-    same = (
-        salted_join(sides.where(has_op), labels, keys, "inner")
-        .groupBy(*within, "old_name", "new_name", "_size", op)
-        .agg(F.bool_or("_old").alias("_old"), F.bool_or("_new").alias("_new"))
-    )
+    labels = stored(pairs.select(*within, "old_name", "new_name", "_size", ends), "renames")
+    paired = [salted_join(side.where(has_op).select(*keys, op), labels, keys, "inner") for side in (old, new)]
+    same = _sides(*paired, [*within, "old_name", "new_name", "_size", op])
     return (
         same.groupBy(*within, "old_name", "new_name", "_size")
         .agg(F.count_if(in_old & F.col("_new")).alias("_same"))

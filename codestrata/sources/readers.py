@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from codestrata.operators.commands import COMMAND_FIELDS
+from codestrata.operators.commands import COMMAND_FIELDS, validate_records
 from codestrata.operators.corpus import scan_sources
 from codestrata.operators.ordered import with_position
 
@@ -33,6 +33,18 @@ def read_findings(spark: SparkSession, path, mode: str = "PERMISSIVE") -> DataFr
     return spark.read.schema(FINDINGS_SCHEMA).option("mode", mode).json(path)
 
 
+def parse_findings(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(findings, rejected lines with ``reason``) of a text column; other columns stay, blank lines are left out.
+
+    Damaged JSON, and JSON that is no object, is rejected as ``malformed``.
+    """
+    rest = [c for c in lines.columns if c != column]
+    written = lines.where(F.col(column).rlike(r"\S"))
+    fine = F.coalesce(F.schema_of_variant(F.try_parse_json(column)).startswith("OBJECT"), F.lit(False))
+    good = written.where(fine).withColumn("_f", F.from_json(column, FINDINGS_SCHEMA)).select(*rest, "_f.*")
+    return good, written.where(~fine).withColumn("reason", F.lit("malformed"))
+
+
 def stream_findings(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """The same log as an append stream of files."""
     return (
@@ -60,6 +72,22 @@ def read_compile_db(spark: SparkSession, path) -> DataFrame:
     return records.where(F.col("command").isNotNull())
 
 
+def parse_compile_db(texts: DataFrame, path: str = "path", body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """(records, rejected elements with ``path``, ``value`` and ``reason``) of databases held as texts.
+
+    A text that is not a JSON array is rejected whole as ``NotAnArray``; an element without a command as
+    ``NoCommand``, others by the strict check of records.
+    """
+    fine = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("ARRAY"), F.lit(False))
+    elements = texts.where(fine).select(F.col(path).alias("path"), F.explode(F.from_json(body, "array<string>")).alias("value"))
+    good, bad = validate_records(elements)
+    nameless = good.where(F.col("command").isNull()).select(
+        "path", F.to_json(F.struct(*COMMAND_FIELDS)).alias("value"), F.lit("NoCommand").alias("reason")
+    )
+    whole = texts.where(~fine).select(F.col(path).alias("path"), F.col(body).alias("value"), F.lit("NotAnArray").alias("reason"))
+    return good.where(F.col("command").isNotNull()), bad.select("path", "value", "reason").unionByName(nameless).unionByName(whole)
+
+
 def read_compile_records(spark: SparkSession, path) -> DataFrame:
     """Array elements as JSON text (path, value), for strict validation."""
     whole = _whole_text(spark, path)

@@ -134,3 +134,12 @@ def test_path_predicates(spark):
 )
 def test_ids(spark, text, valid):
     assert one(spark, text, t.is_uuid) is valid
+
+
+def test_damaged_databases_are_rows(spark, rows):
+    texts = [("ok", '[{"command":"cc","file":"a.c"}]'), ("empty", "[]"), ("cut", '[{"command":"cc"'), ("number", '[{"command":5}]'), ("none", '[{"file":"a.c"}]'), ("key", '[{"command":"c","x":"y"}]'), ("object", "{}")]
+    good, bad = readers.parse_compile_db(spark.createDataFrame(texts, "path string, body string"))
+    assert rows(good, "path", "command", "file") == [("ok", "cc", "a.c")]
+    assert rows(bad, "path", "reason") == [
+        ("cut", "NotAnArray"), ("key", "UnknownField"), ("none", "NoCommand"), ("number", "WrongFieldValueType"), ("object", "NotAnArray"),
+    ]

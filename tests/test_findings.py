@@ -132,3 +132,10 @@ def test_report_lines_are_valid_json(spark, tmp_path):
     writers.write_reports(df, out)
     line = json.loads(spark.read.text(out).first().value)
     assert line["file"] == 'a "b".ll' and line["report"]["global_var"]["v"]["read"] == ["v"]
+
+
+def test_rejected_lines_are_returned(spark, rows):
+    df = spark.createDataFrame([(1, '{"cweID":"CWE-1","time":5,"extra":1}'), (2, '{"cweID":'), (3, "[1]"), (4, "  "), (5, None), (6, '{"cweID":null}')], "n int, value string")
+    good, bad = readers.parse_findings(df)
+    assert rows(good, "n", "cweID", "time") == [(1, "CWE-1", 5), (6, None, None)]
+    assert rows(bad, "n", "reason") == [(2, "malformed"), (3, "malformed")]
