@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from codestrata.functions.text import touches_any
 from codestrata.operators.skew import salted_join
+from codestrata.session import stored
+
+
+MOST_LEVELS = 1000  # of nested trees
 
 
 def lookup(table: DataFrame, requests: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -132,6 +136,46 @@ def history_diff(commits: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def nested_history_diff(commits: DataFrame, entries: DataFrame) -> DataFrame:
+    """``history_diff`` for nested trees: entries(repo, tree_oid, name, oid, kind), kind 'tree' for a subtree.
+
+    Goes down level by level and only into subtrees whose ids differ, so a step costs what it changed
+    and not the size of its trees. Each level is a table in the shared folder. A file that becomes a
+    tree is deleted, and the tree's files are added. Damaged trees that hold themselves are an error.
+    """
+    frontier = walk_pairs(commits).withColumn("_prefix", F.lit(""))
+    found, depth = None, 0
+    is_tree = F.coalesce(F.col("kind") == "tree", F.lit(False))
+    while True:
+        sides = F.array(
+            F.struct(F.lit(True).alias("_is_old"), F.col("old_tree").alias("tree_oid")),
+            F.struct(F.lit(False).alias("_is_old"), F.col("new_tree").alias("tree_oid")),
+        )
+        wanted = frontier.select("repo", "ord", "_prefix", F.inline(sides)).where(F.col("tree_oid").isNotNull())
+        held = salted_join(wanted, entries.select("repo", "tree_oid", "name", "oid", is_tree.alias("_tree")), ["repo", "tree_oid"], "inner")
+        side = lambda old: F.max(F.when(F.col("_is_old") == F.lit(old), F.struct("oid", "_tree")))
+        level = stored(
+            held.groupBy("repo", "ord", "_prefix", "name")
+            .agg(side(True).alias("_old"), side(False).alias("_new"))
+            .where(~F.col("_old").eqNullSafe(F.col("_new")))
+            .select("repo", "ord", F.concat("_prefix", "name").alias("path"), "_old", "_new")
+        )
+        oid = {s: F.when(~F.col(s)["_tree"], F.col(s)["oid"]) for s in ("_old", "_new")}
+        files = level.select("repo", "ord", "path", oid["_old"].alias("old_oid"), oid["_new"].alias("new_oid"))
+        change = F.when(F.col("old_oid").isNull(), "added").when(F.col("new_oid").isNull(), "deleted").otherwise("modified")
+        files = files.where("old_oid is not null or new_oid is not null").select("repo", "ord", "path", change.alias("change"), "old_oid", "new_oid")
+        found = files if found is None else found.union(files)
+        tree = {s: F.when(F.col(s)["_tree"], F.col(s)["oid"]) for s in ("_old", "_new")}
+        frontier = level.select(
+            "repo", "ord", tree["_old"].alias("old_tree"), tree["_new"].alias("new_tree"), F.concat("path", F.lit("/")).alias("_prefix")
+        ).where("old_tree is not null or new_tree is not null")
+        depth += 1
+        if frontier.isEmpty():
+            return found
+        if depth > MOST_LEVELS:
+            raise ValueError(f"trees nest deeper than {MOST_LEVELS} levels: one holds itself")
+
+
 def touches_build(df: DataFrame, old: str = "old_path", new: str = "new_path", names=None) -> DataFrame:
     """Deltas whose old or new path mentions a build file."""
     paths = [F.col(new), F.col(old)]
@@ -141,11 +185,11 @@ def touches_build(df: DataFrame, old: str = "old_path", new: str = "new_path", n
 def build_change_steps(commits: DataFrame, entries: DataFrame) -> DataFrame:
     """Every commit with ``hit``: did its step change a build file?
 
-    ``hit`` feeds skip_until, skipped_steps and limit_after.
+    ``hit`` feeds skip_until, skipped_steps and limit_after. Paths are compared one by one, so only
+    build files are read from the trees: the filter is below the join.
     """
     hits = (
-        history_diff(commits, entries)
-        .where(touches_any([F.col("path")]))
+        history_diff(commits, entries.where(touches_any([F.col("path")])))
         .select("repo", "ord")
         .distinct()
         .withColumn("hit", F.lit(True))

@@ -145,3 +145,22 @@ def test_call_paths_with_cycle(spark, rows):
     ]
     assert g.call_paths(edges, roots, max_depth=1).count() == 3
     assert ("h", 2, 3) in rows(g.call_degree(edges), "function", "callees", "callers")
+
+
+def test_nested_diff_goes_only_where_ids_differ(spark, rows):
+    commits = spark.createDataFrame([("r", 0, "A"), ("r", 1, "B"), ("r", 2, "B"), ("r", 3, "C")], "repo string, ord int, tree_oid string")
+    same = [("S", "x", "1", "blob"), ("S", "deep", "D", "tree"), ("D", "y", "2", None)]
+    nodes = [
+        ("A", "src", "S", "tree"), ("A", "lib", "L1", "tree"), ("A", "top", "t1", "blob"), ("L1", "a", "a1", "blob"), ("L1", "b", "b1", "blob"),
+        ("B", "src", "S", "tree"), ("B", "lib", "L2", "tree"), ("B", "top", "t1", "blob"), ("L2", "a", "a2", "blob"), ("L2", "b", "b1", "blob"), ("L2", "c", "c1", "blob"),
+        ("C", "src", "S", "tree"), ("C", "lib", "now-a-file", "blob"), *same,
+    ]
+    entries = spark.createDataFrame(nodes, "tree_oid string, name string, oid string, kind string").withColumn("repo", F.lit("r"))
+    got = h.nested_history_diff(commits, entries)
+    assert rows(got, "ord", "path", "change", "old_oid", "new_oid") == [
+        (1, "lib/a", "modified", "a1", "a2"), (1, "lib/c", "added", None, "c1"),
+        (3, "lib", "added", None, "now-a-file"), (3, "lib/a", "deleted", "a2", None), (3, "lib/b", "deleted", "b1", None), (3, "lib/c", "deleted", "c1", None),
+        (3, "top", "deleted", "t1", None),
+    ]
+    flat = g.flatten_trees(commits.select("repo", "tree_oid").distinct(), entries).select("repo", F.col("root").alias("tree_oid"), "path", "oid")
+    assert rows(h.history_diff(commits, flat)) == rows(got)
