@@ -88,17 +88,23 @@ def commits_to_analyze(walk: DataFrame, entries: DataFrame, limit: int | None =
     return ordered.limit_after(steps, ["repo"], ["ord"], hit, limit)
 
 
-def rw_reports(lines: DataFrame, swap: bool = False) -> DataFrame:
-    """One read/write report per module."""
-    scoped = scoped_lines(lines)
+def rw_table(scoped: DataFrame, swap: bool = False) -> DataFrame:
+    """Reads and writes of every declared or used variable: module, function, var, reads, writes.
+
+    The primary form, one row per variable whatever the size of a module."""
     declared, uses, _ = variables.rw_uses(scoped, swap)
     counted = variables.rw_counts(uses, ["module", "function", "var"])
     named = declared.select("module", "function", "var").distinct()
     counts = named.withColumns({"reads": F.lit(0), "writes": F.lit(0)}).unionByName(counted)
-    counts = counts.groupBy("module", "function", "var").agg(
+    return counts.groupBy("module", "function", "var").agg(
         F.sum("reads").alias("reads"), F.sum("writes").alias("writes")
     )
-    return variables.variable_report(counts, ["module"], variables.functions_of(scoped))
+
+
+def rw_reports(lines: DataFrame, swap: bool = False) -> DataFrame:
+    """``rw_table`` as one nested report per module, for modules whose report fits a row."""
+    scoped = scoped_lines(lines)
+    return variables.variable_report(rw_table(scoped, swap), ["module"], variables.functions_of(scoped))
 
 
 def call_graph(lines: DataFrame) -> DataFrame:

@@ -218,6 +218,20 @@ def added_to_variable(spark, d):
     return fnd.height(owners.join(wanted, "var", "left_semi"), "added")
 
 
+@query(
+    """
+    WITH u AS (
+      SELECT conv_id, 'turn_' || turn AS function, 'size' AS var, 0 AS r, 1 AS w FROM conversations
+      UNION ALL SELECT conv_id, 'turn_' || turn, role, 0, 0 FROM conversations
+      UNION ALL SELECT conv_id, NULL, 'total', CAST(role = 'user' AS INT), CAST(length(text) > 100 AS INT) FROM conversations)
+    SELECT 'conv' || conv_id AS module, function, var, CAST(sum(r) AS BIGINT) AS reads, CAST(sum(w) AS BIGINT) AS writes FROM u GROUP BY ALL
+    """
+)
+def ir_rw_table(spark, d):
+    """Reads and writes of all variables, also of those never used."""
+    return jobs.rw_table(jobs.scoped_lines(_ir_listings(spark, d)))
+
+
 @query("SELECT page_id, CAST(length(url) AS INTEGER) AS value FROM pages")
 def each_entry(spark, d):
     entries = table(spark, d, "pages").select("page_id", F.col("url").alias("path"))
