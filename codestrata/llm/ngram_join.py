@@ -16,7 +16,7 @@ from codestrata.llm import textkit
 from codestrata.llm.components import components
 from codestrata.llm.storage import ship, shuffle_parts, stored
 
-FLUSH_HASHES = 1 << 21  # n-gram hashes a task packs at a time
+FLUSH_HASHES = 1 << 19  # n-gram hashes a task packs at a time
 BLOCK = 512  # documents of one trie
 PROBES = 512  # documents that probe one trie in one task
 TABLE_CELLS = 1 << 22  # of the table of probes against a trie's n-grams, at a time

@@ -31,11 +31,17 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, wherever they run; once for each application."""
+    """Give this package to the Python workers, wherever they run; once for each application.
+
+    Rows here are whole texts, so the session's Arrow batches, if they have Spark's usual 10,000 rows,
+    get BATCH_ROWS: a task and its worker hold a few batches at a time."""
+    if spark.conf.get(BATCH_CONF) == "10000":
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return
