@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,8 @@ from codestrata.llm.storage import ship, stored
 MIN_BYTES, MAX_BYTES = 24, 160  # of a chunk; on average about 24 + 2 ** CUT_BITS
 CUT_BITS = 5
 REACH = 32  # bytes that decide about a cut
-RUN_WORDS = 20  # repeated chunks side by side count from so many words on
+RUN_WORDS = 51  # a repeated passage counts from so many words on
+SEED_WORDS = 17  # of a seed: they have 33 bytes at least, so its hash, over REACH bytes, sees nothing else
 NO_ID = 2**63 - 1  # stands for a null doc_id: after all others
 
 _GEAR = np.random.Generator(np.random.PCG64(64)).integers(0, 2**32, 256, dtype=np.uint32)
@@ -64,60 +64,125 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return marks
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (digest, doc_id, seq, start, stop, words) for each chunk; start and stop in bytes,
-    words that begin in the chunk."""
-    for batch in batches:
-        ids = batch["doc_id"].to_numpy()
-        for first, data, offsets in textkit.chunks(batch["text"]):
-            stops = cuts(data, offsets)
-            if not len(stops):
-                continue
-            starts = np.concatenate(([0], stops[:-1]))
-            text = np.searchsorted(offsets, starts, "right") - 1
-            seq = np.arange(len(starts)) - np.searchsorted(text, text, "left")
-            words = np.diff(np.searchsorted(textkit.word_spans(data, offsets)[0], np.concatenate(([0], stops))))
-            raw = data.tobytes()
-            digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array(ids[first + text]), pa.array(seq.astype(np.int32)), pa.array((starts - offsets[text]).astype(np.int64)),
-                 pa.array((stops - offsets[text]).astype(np.int64)), pa.array(words.astype(np.int32))],
-                ["digest", "doc_id", "seq", "start", "stop", "words"],
-            )
+def _anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, upto: np.ndarray, run_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, last word of the seed) of every run of `run_words` words within one text: of the seeds in the
+    run, the one whose gear hash is least, of equal ones the last. Only the run's own bytes decide."""
+    n, wide = len(starts) - run_words + 1, run_words - SEED_WORDS + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = gear_hashes(data)[ends - 1].astype(np.uint64) << np.uint64(32) | np.arange(len(ends), dtype=np.uint64)[::-1]
+    reach = 1
+    while reach < wide:  # the least of `reach` neighbours, from two that may overlap
+        step = min(reach, wide - reach)
+        least, reach = np.minimum(least[:-step], least[step:]), reach + step
+    first = np.arange(n)
+    text = np.searchsorted(upto, first, "right")
+    first = first[first + run_words <= upto[text]]
+    return first, len(ends) - 1 - (least[first + SEED_WORDS - 1] & np.uint64(2**32 - 1)).astype(np.int64)
+
+
+def _seeds(run_words: int):
+    """(doc_id, text) to (seed, doc_id, word): the hash and the last word of each seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch["doc_id"].to_numpy()
+            for first, data, offsets in textkit.chunks(batch["text"]):
+                starts, ends, upto = textkit.word_spans(data, offsets)
+                last = np.unique(_anchors(data, starts, ends, upto, run_words)[1])
+                if not len(last):
+                    continue
+                text = np.searchsorted(upto, last, "right")
+                seeds = textkit.word_hashes(data, starts[last - SEED_WORDS + 1], ends[last], textkit.CASED)
+                words = last - np.concatenate(([0], upto[:-1]))[text]
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(ids[first + text]), pa.array(words.astype(np.int32))], ["seed", "doc_id", "word"])
+
+    return run
+
+
+def _runs(run_words: int):
+    """(doc_id, text, words) to (run, doc_id, at, upto, chunk) of each run of words whose seed ends at one of `words`:
+    its hash, its first word and byte, the chunk and byte where it ends, the chunk where it begins. The numbers
+    count within the text; at and upto hold two each, 32 bits apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lists = batch["doc_id"].to_numpy(), batch["words"].combine_chunks() if isinstance(batch["words"], pa.ChunkedArray) else batch["words"]
+            for row, data, offsets in textkit.chunks(batch["text"]):
+                starts, ends, upto = textkit.word_spans(data, offsets)
+                first, last = _anchors(data, starts, ends, upto, run_words)
+                before = np.concatenate(([0], upto[:-1]))
+                again = np.zeros(len(starts) + 1, bool)
+                for k in range(len(upto)):
+                    words = lists[row + k].values.to_numpy()
+                    again[before[k] + words[words < upto[k] - before[k]]] = True
+                first = first[again[last]]
+                if not len(first):
+                    continue
+                text = np.searchsorted(upto, first, "right")
+                a, b = starts[first], ends[first + run_words - 1]
+                stops = cuts(data, offsets)
+                chunk = np.searchsorted(stops, offsets[text], "right")
+                begins, finishes = np.searchsorted(stops, a, "right") - chunk, np.searchsorted(stops, b, "left") - chunk
+                columns = [
+                    textkit.word_hashes(data, a, b, textkit.CASED).view(np.int64), ids[row + text], (first - before[text]) << 32 | (a - offsets[text]),
+                    finishes << 32 | (b - offsets[text]), begins.astype(np.int32),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "doc_id", "at", "upto", "chunk"])
+
+    return run
+
+
+def _held_before(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that several documents have, with the smallest of these, first_doc."""
+    firsts = rows.select(key, "doc_id").groupBy(key).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    return stored(firsts.where("first_doc <> last_doc").select(key, "first_doc"), f"{key}-firsts")
 
 
 def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages that a document with a smaller doc_id holds too: doc_id, first_doc, start, stop (bytes of the
+    """Passages that documents with a smaller doc_id hold too: doc_id, first_doc, start, stop (bytes of the
     UTF-8 text), n_words, n_chunks.
 
-    Texts are cut where a gear rolling hash over 32 bytes says, so an insertion moves only the cuts next
-    to it. Chunks are compared by 128-bit digest; the smallest doc_id that has a chunk is its first.
-    Chunks side by side that each have another, earlier first document make a span, reported from
-    `run_words` words on. A repeated passage is found but for the parts of chunks at its edges (28
-    bytes each on average): one of more than 50 words holds a run of 20, unless it is one word over and over
-    whose hashes never say cut: there the cuts at MAX_BYTES depend on what stands before. first_doc is the
-    smallest of the chunks' first documents.
+    A span is a longest run of words of which every `run_words` in a row stand, byte for byte, in a document
+    with a smaller doc_id; first_doc is the smallest of these. Every passage of `run_words` whole words (17
+    at least) that two documents share is found, and to its edges; shorter ones are left alone.
+
+    1. Content-defined cuts: of the words of each run of `run_words`, the gear hash (of the 32 bytes up to a word's
+       end) picks one, the least, and the SEED_WORDS words up to there are a seed. Equal runs have equal seeds wherever they
+       stand; neighbouring runs mostly share theirs, so there is about one for 18 words.
+    2. Only runs whose seed several documents have are compared, by a 64-bit hash of their bytes, which counts
+       as exact. Runs side by side that each have an earlier first document make the span.
 
-    Null or empty texts have no chunk. Rows that repeat a doc_id are one document and repeat nothing
+    n_chunks counts the chunks of `cuts` that the span touches. Spans of one document that overlap hold
+    different passages.
+
+    Null or empty texts have no span. Rows that repeat a doc_id are one document and repeat nothing
     to each other; all null doc_ids are one document after all others (given back as null). A
     passage repeated within one document only is left alone. Other columns are not read. An empty table
-    gives no rows. Counting is combined on the map side, and the way back to the chunks is a join by
-    digest whose larger side can be split, so a passage may stand in any share of the documents.
+    gives no rows. Counting is combined on the map side, and the ways back to the seeds' texts and to the runs are
+    joins by doc_id and hash whose larger side can be split, so a passage may stand in any share of the documents.
     """
+    if run_words < SEED_WORDS:
+        raise ValueError(f"run_words must be {SEED_WORDS} at least")
     ship(docs.sparkSession)
     picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chunks = picked.mapInArrow(_chunks, "digest binary, doc_id long, seq int, start long, stop long, words int")
-    firsts = chunks.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    firsts = stored(firsts.where("first_doc <> last_doc").select("digest", "first_doc"), "chunk-firsts")
-    again = chunks.join(firsts, "digest").where("doc_id <> first_doc").select("doc_id", "first_doc", "seq", "start", "stop", "words")
+    seeds = picked.mapInArrow(_seeds(run_words), "seed long, doc_id long, word int")
+    # A document's own numbers of words: no more than its longest text has.
+    asked = seeds.join(_held_before(seeds, "seed"), "seed").groupBy("doc_id").agg(F.collect_set("word").alias("words"))
+    found = picked.join(asked, "doc_id").select("doc_id", "text", "words").mapInArrow(_runs(run_words), "run long, doc_id long, at long, upto long, chunk int")
+    found = stored(found, "runs")  # read twice
+    again = found.join(_held_before(found, "run"), "run").where("doc_id <> first_doc").withColumn("word", F.shiftright("at", 32))
     # Rows that repeat a doc_id have the same numbers: told apart by nothing, they count once.
-    in_text = Window.partitionBy("doc_id").orderBy("seq", "start", "stop")
-    runs = again.withColumn("run", F.col("seq") - F.dense_rank().over(in_text))
-    spans = runs.groupBy("doc_id", "run").agg(
-        F.min("first_doc").alias("first_doc"), F.min("start").alias("start"), F.max("stop").alias("stop"),
-        F.sum("words").alias("n_words"), F.count("*").alias("n_chunks"),
+    side_by_side = again.withColumn("nth", F.col("word") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("word")))
+    spans = side_by_side.groupBy("doc_id", "nth").agg(
+        F.min("first_doc").alias("first_doc"), F.min("at").alias("at"), F.max("upto").alias("upto"),
+        (F.max("word") - F.min("word") + run_words).alias("n_words"), F.min("chunk").alias("chunk"),
+    )
+    low = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1))
+    return spans.select(
+        F.expr(f"nullif(doc_id, {NO_ID}L)").alias("doc_id"), "first_doc", low("at").alias("start"), low("upto").alias("stop"), F.col("n_words").cast("long").alias("n_words"),
+        (F.shiftright("upto", 32) - F.col("chunk") + 1).cast("long").alias("n_chunks"),
     )
-    return spans.where(F.col("n_words") >= run_words).select(F.expr(f"nullif(doc_id, {NO_ID}L)").alias("doc_id"), "first_doc", "start", "stop", "n_words", "n_chunks")
 
 
 def _without(text_col: str):

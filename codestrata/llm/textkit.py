@@ -12,6 +12,7 @@ SPACES = (32, 9, 10, 11, 12, 13)
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+CASED = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]  # words are compared with A-Z in lower case
 _PLACE = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 _IS_SPACE = np.zeros(256, bool)
@@ -72,13 +73,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _IS_S
     return starts, ends, np.searchsorted(starts, offsets[1:], "left")
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each word, A-Z in lower case, from running sums over the bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit polynomial hash of each word, A-Z in lower case (with CASED as they are), from running sums over the bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE[data] * _power_table(_STEP, len(data)), out=total[1:])
+    np.cumsum(table[data] * _power_table(_STEP, len(data)), out=total[1:])
     return mix((total[ends] - total[starts]) * _power_table(pow(_STEP, -1, 2**64), len(data))[starts])
 
 

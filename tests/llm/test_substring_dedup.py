@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -73,3 +74,41 @@ def test_odd_texts(odd):
     assert frame.columns == odd.columns
     assert sorted(map(str, frame.collect())) == sorted(map(str, odd.collect()))
     assert sd.repeated_spans(odd.limit(0)).count() == 0 and sd.substring_dedup(odd.limit(0)).count() == 0
+
+
+def plain_spans(rows, size=51):
+    """Brute force: (doc_id, start, stop, words) of the runs of words of which every `size` stand in a smaller doc_id."""
+    held, spans = {}, []
+    for i, raw in sorted(rows):
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^ \t-\r]+", raw)]
+        runs = [raw[words[k][0] : words[k + size - 1][1]] for k in range(len(words) - size + 1)]
+        again = [held.get(r, i) < i for r in runs] + [False]
+        begin = None
+        for k, yes in enumerate(again):
+            if yes and begin is None:
+                begin = k
+            elif not yes and begin is not None:
+                spans.append((i, words[begin][0], words[k + size - 2][1], k - begin + size - 1))
+                begin = None
+        for r in runs:
+            held.setdefault(r, i)
+    return sorted(spans)
+
+
+def test_every_passage_of_51_words_is_found_to_its_edges(docs):
+    rows, rng = [], random.Random(0)
+    for seed in range(300):
+        n = rng.randrange(49, 61)
+        shared = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, rng.choice([2, 4, 11])))) for _ in range(n))
+        for k in range(2):
+            rows.append((2 * seed + k, f"{text(rng.randrange(90), (seed, k, 0).__hash__())} {shared} {text(rng.randrange(90), (seed, k, 1).__hash__())}"))
+    got = sorted((r.doc_id, r.start, r.stop, r.n_words) for r in sd.repeated_spans(docs(*rows)).collect())
+    assert got == plain_spans(rows) and len(got) > 200
+
+
+def test_a_passage_whose_parts_stand_in_other_documents_is_found(docs):
+    shared = text(160, 20).split()
+    phrase = " ".join(shared[60:95])
+    rows = [(1, f"{text(40, 21)} {phrase} {text(40, 22)}"), (2, " ".join(shared)), (3, f"{text(9, 23)} {' '.join(shared[50:105])}\t{text(9, 24)}"), (4, "one two " * 90), (5, f"{text(30, 25)} {'one two ' * 40}")]
+    got = sorted((r.doc_id, r.first_doc, r.n_words) for r in sd.repeated_spans(docs(*rows)).collect())
+    assert got == [(3, 2, 55), (5, 4, 80)]
