@@ -14,15 +14,19 @@ from codestrata.llm.storage import ship, stored
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select button".split())
-# Text that stands in these, or in an element named so by class or id, is not the article's.
-OUTSIDE = frozenset("nav footer aside form dialog menu head".split())
+# Text that stands in these is not the article's; in a form or an element named so by class or id it may be.
+OUTSIDE = frozenset("nav footer aside dialog menu head".split())
 OUTSIDE_NAMES = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar "
     "navigation newsletter notice notification pagination paywall popup promo promoted related respond sharing share sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+# A name says nothing after these: a wrapper that has a sidebar is no sidebar.
+ABOUT = frozenset("has no not with without".split())
+MARK = " !"  # ends the name of an element that may be outside; no class name holds a blank
+INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CONTAINERS = frozenset("html body main article section div td center blockquote figure details header".split())
 # These end an open paragraph; around them text falls into blocks.
-BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre table tr th thead tbody tfoot caption hr br figcaption address fieldset summary".split()) | OUTSIDE
+BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre table tr th thead tbody tfoot caption hr br figcaption address fieldset summary form".split()) | OUTSIDE
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
@@ -32,6 +36,15 @@ _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _WORDS = re.compile(r"[^\W_]+")
 
 
+def _says_outside(words: list[str]) -> bool:
+    for word, after in zip(words, [*words[1:], ""]):
+        if word in ABOUT:
+            return False
+        if word in OUTSIDE_NAMES and not (word == "related" and after in ("work", "works")):
+            return True
+    return False
+
+
 def _names(attributes: str) -> tuple[str, bool]:
     """The generalised first class (digits as #) and whether a class or id names something outside the article."""
     first, outside = "", False
@@ -39,14 +52,15 @@ def _names(attributes: str) -> tuple[str, bool]:
         value = next((v for v in values if v), "").lower()
         if kind.lower() == "class" and not first and value.split():
             first = "." + _DIGITS.sub("#", value.split()[0])
-        outside = outside or not OUTSIDE_NAMES.isdisjoint(_WORDS.findall(value))
+        outside = outside or any(_says_outside(_WORDS.findall(v)) for v in value.split())
     return first, outside
 
 
 def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
-    """(container path, text, characters in links) of the text blocks outside menus, forms and the like, in
-    page order. A path holds the generalised tag and class of each container from the root on."""
-    stack: list[tuple[str, bool, bool]] = []  # (tag, outside, is container)
+    """(container path, text, characters in links) of the text blocks outside menus and the like, in
+    page order. A path holds the generalised tag and class of each container from the root on, and ends with MARK
+    at those that are outside by name, and at forms."""
+    stack: list[tuple[str, bool, bool]] = []  # (tag, outside, is in the path)
     path: list[str] = []
     parts: list[str] = []
     linked = links = outside = 0
@@ -87,6 +101,8 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
             yield found
         if closing:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if k is not None and name not in BLOCKS and stack[k][2] and (found := block()):
+                yield found
             # An inline end tag does not reach beyond the block it stands in.
             if k is not None and (name in BLOCKS or not any(s[0] in BLOCKS for s in stack[k + 1 :])):
                 close(k)
@@ -109,7 +125,13 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
         container = name in CONTAINERS
         first, named = _names(attributes) if attributes else ("", False)
         article_head = name == "header" and any(s[0] == "article" for s in stack)
-        out = (named and name not in ("html", "body", "main", "article") or name in OUTSIDE or name == "header") and not article_head
+        named = named and name not in ("html", "body", "main", "article") and not article_head
+        out = (name in OUTSIDE or name == "header") and not article_head or named and name in INLINE
+        if (named or name == "form") and not out:
+            if found := block():
+                yield found
+            first += MARK
+            container = True
         stack.append((name, out, container))
         outside += out
         links += name == "a"
@@ -119,12 +141,41 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
         yield found
 
 
+def _own(text: str, linked: int) -> int:
+    return max(0, len(text) - 2 * linked)
+
+
+def _is(name: str, *tags: str) -> bool:
+    return name.partition(" ")[0].partition(".")[0] in tags
+
+
+def _doubted(found: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[str, ...]]:
+    """Paths of elements that are outside by name, or forms, and are so on this page: those without an article or main
+    and, where neither stands elsewhere, with no more than half of the page's text outside links."""
+    share: dict[tuple[str, ...], int] = defaultdict(int)
+    total, safe, plain = 0, set(), False
+    for path, text, linked in found:
+        own = _own(text, linked)
+        total += own
+        marked = [k for k, name in enumerate(path) if name.endswith(MARK)]
+        inner = max((k for k, name in enumerate(path) if _is(name, "article", "main")), default=-1)
+        plain = plain or inner >= 0 and not marked
+        for k in marked:
+            share[path[: k + 1]] += own
+            if k < inner:
+                safe.add(path[: k + 1])
+    return {p for p, own in share.items() if p not in safe and (plain or 2 * own <= total)}
+
+
 def scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str, ...], float]:
     """Points of each container path of a page: the text of its blocks outside links, half of what the
     containers in it have, a quarter of the next level's; sentences count more than labels."""
     points: dict[tuple[str, ...], float] = defaultdict(float)
+    doubted = _doubted(found)
     for path, text, linked in found:
-        own = max(0, len(text) - 2 * linked) * (1.0 if re.search(r"[.!?,;:]", text) else 0.5)
+        if doubted and any(name.endswith(MARK) and path[: k + 1] in doubted for k, name in enumerate(path)):
+            continue
+        own = _own(text, linked) * (1.0 if re.search(r"[.!?,;:]", text) else 0.5)
         for level in range(min(3, len(path))):
             points[path[: len(path) - level]] += own / 2**level
     return points
@@ -136,13 +187,18 @@ def best(points: dict[tuple[str, ...], float]) -> tuple[str, ...]:
     path = min(points, key=lambda p: (-points[p], -len(p), p), default=())
     for tag in ("article", "main"):
         for k, name in enumerate(path):
-            if name.partition(".")[0] == tag:
+            if _is(name, tag):
                 return path[: k + 1]
     return path
 
 
+def _within(own: tuple[str, ...], n: int) -> bool:
+    """Nothing below the first n containers of the path is outside by name."""
+    return not any(name.endswith(MARK) for name in own[n:])
+
+
 def text_under(found: list[tuple[tuple[str, ...], str, int]], path: tuple[str, ...]) -> str:
-    return " ".join(text for own, text, _ in found if own[: len(path)] == path)
+    return " ".join(text for own, text, _ in found if own[: len(path)] == path and _within(own, len(path)))
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,13 +235,14 @@ def extract_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url"
     """`pages` with a column text, the main text, instead of the html (a column text of theirs is replaced).
 
     1. Each page is cut into text blocks with the path of tags and classes of the containers around
-       them, digits in class names as #. Menus, headers, footers, sidebars, forms, adverts, notices,
-       comments, scripts and styles are left out by tag, class or id. Each container gets points
-       for its text; the page votes for its best path.
+       them, digits in class names as #. Menus, headers, footers, sidebars, scripts and styles are left out by tag.
+       Forms, and adverts, notices, comments and the like by class or id, are marked: they get no points unless they
+       hold an article or main or, on a page with neither elsewhere, most of its text outside links.
+       Each container gets points for its text; the page votes for its best path.
     2. Votes are added up per host and path (combined on the map side); the path with most votes, then
        most points, then first by name, wins the host.
-    3. Each page gives the blocks under the host's path, in page order; without any there, or without a
-       host, those under its own best path.
+    3. Each page gives the blocks under the host's path, in page order, but for marked elements in it; without any
+       there, or without a host, those under its own best path.
 
     Character references are decoded, white space `[\\x20\\x09-\\x0D]+` in a block becomes one space, blocks are
     trimmed and joined by one space. Whole pages are read. A null or empty html, or one without

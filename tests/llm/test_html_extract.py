@@ -49,3 +49,27 @@ def test_odd_pages(spark):
     got = sorted((str(r.page_id), r.text) for r in he.extract_pages(pages(spark, *rows)).collect())
     assert got == sorted([("None", ""), ("1", ""), ("2", ""), ("2", ""), ("3", BODY), ("4", ("x " * 300_000).strip())])
     assert he.extract_pages(pages(spark).limit(0)).count() == 0
+
+
+ABOUT_IT = "Some words come first, to say what it is about. They are fewer than the rest."
+LAST = "At the end a few words are left to say. Then the story is over."
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<div class='content has-sidebar'>", "</div>"), ("<div id=page class='no-comments'>", "</div>"), ("<div class='layout-with-nav'>", "</div>"), ("<form action=/>", "</form>"),
+        ("<div class=widget><article>", "</article></div>"), ("<form><main>", "</main></form>"), ("<div class=page-widget><div class=post>", "</div></div>"), ("<my-page class=promo>", "</my-page>"),
+        ("<div class=post><section class='related-work'>", "</section></div>"),
+    ],
+)
+def test_a_name_does_not_drop_what_holds_the_text(spark, before, after):
+    page = f"<html><body><nav><a href=x>Menu</a></nav>{before}<p>{BODY}</p><div class=ad>{LAST}</div><p>{BODY}</p>{after}<div class=comments>{LAST}</div></body></html>"
+    rows = [(k, url, page) for k, url in enumerate(["http://a/1", "http://a/2", None])]
+    assert [r.text for r in he.extract_pages(pages(spark, *rows)).collect()] == [f"{BODY} {BODY}"] * 3
+
+
+def test_comments_longer_than_the_text_do_not_win_the_host(spark):
+    page = "<body><div class=post><p>{}</p></div><div id=comments><p>{}</p></div></body>"
+    rows = [(k, f"http://a/{k}", page.format(BODY, LAST * (9 if k == 2 else 1))) for k in range(3)]
+    assert [r.text for r in he.extract_pages(pages(spark, *rows)).collect()] == [BODY] * 3
