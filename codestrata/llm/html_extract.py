@@ -34,6 +34,7 @@ _NAMED = re.compile(r"""(?:^|[\s"'])(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _WORDS = re.compile(r"[^\W_]+")
+_SENTENCE = re.compile(r"[.!?\u2026][\"'\u201d\u2019)]*(?=\s|\Z)|[\u3002\uff01\uff1f]")
 
 
 def _says_outside(words: list[str]) -> bool:
@@ -201,6 +202,35 @@ def text_under(found: list[tuple[tuple[str, ...], str, int]], path: tuple[str, .
     return " ".join(text for own, text, _ in found if own[: len(path)] == path and _within(own, len(path)))
 
 
+def _prose(texts: list[tuple[str, int]]) -> bool:
+    """Mostly outside links, and sentences: an end mark for 24 to 400 bytes."""
+    text = " ".join(t for t, _ in texts)
+    return 2 * sum(n for _, n in texts) < len(text) and 24 <= len(text.encode()) / max(len(_SENTENCE.findall(text)), 0.1) <= 400
+
+
+def article_text(found: list[tuple[tuple[str, ...], str, int]], path: tuple[str, ...]) -> str:
+    """The text under the path with what stands beside it up to the highest ancestor that adds prose, but for
+    containers that are mostly links. An article or main element, or one that is
+    outside by its name but holds the text, is not left."""
+    under = [own[: len(path)] == path and _within(own, len(path)) for own, _, _ in found]
+    if path and _is(path[-1], "article", "main") or not _prose([(text, n) for (_, text, n), yes in zip(found, under) if yes]):
+        return " ".join(text for (_, text, _), yes in zip(found, under) if yes)
+    top = max((k + 1 for k, name in enumerate(path) if name.endswith(MARK)), default=0)
+    beside: dict[int, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for at, (own, _, _) in enumerate(found):
+        level = next((k for k, (a, b) in enumerate(zip(own, path)) if a != b), min(len(own), len(path)))
+        if top <= level < len(path) and _within(own, level):
+            # A block of the ancestor itself stands alone.
+            beside[level][own[level] if len(own) > level else f" {at}"].append(at)
+    groups = [(level, g, [found[k][1:] for k in g]) for level, named in beside.items() for g in named.values()]
+    top = min((level for level, _, texts in groups if _prose(texts)), default=len(path))
+    for level, g, texts in groups:
+        if level >= top and 2 * sum(n for _, n in texts) < sum(len(t) for t, _ in texts):
+            for k in g:
+                under[k] = True
+    return " ".join(text for (_, text, _), yes in zip(found, under) if yes)
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, page) to (host, path, points): each page's vote, the share of its points its best path has."""
     for batch in batches:
@@ -220,8 +250,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = []
             for page, voted in zip(batch["_page"], batch["_path"].to_pylist()):
                 found = list(blocks(page.as_py()))
-                text = text_under(found, tuple(voted.split(">"))) if voted else ""
-                texts.append(text or text_under(found, best(scores(found))))
+                text = article_text(found, tuple(voted.split(">"))) if voted else ""
+                texts.append(text or article_text(found, best(scores(found))))
             columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n not in ("_page", "_path")}
             yield pa.RecordBatch.from_pydict(columns | {"text": pa.array(texts, pa.string())})
 
@@ -242,7 +272,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url"
     2. Votes are added up per host and path (combined on the map side); the path with most votes, then
        most points, then first by name, wins the host.
     3. Each page gives the blocks under the host's path, in page order, but for marked elements in it; without any
-       there, or without a host, those under its own best path.
+       there, or without a host, those under its own best path. Unless that is an article or main, the text
+       beside it in its ancestors is added as far up as it is prose outside links.
 
     Character references are decoded, white space `[\\x20\\x09-\\x0D]+` in a block becomes one space, blocks are
     trimmed and joined by one space. Whole pages are read. A null or empty html, or one without

@@ -69,6 +69,21 @@ def test_a_name_does_not_drop_what_holds_the_text(spark, before, after):
     assert [r.text for r in he.extract_pages(pages(spark, *rows)).collect()] == [f"{BODY} {BODY}"] * 3
 
 
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        (f"<section class=intro><p>{ABOUT_IT}</p></section><section class=body><p>{BODY * 3}</p></section><section class=end><p>{LAST}</p></section>", f"{ABOUT_IT} {BODY * 3} {LAST}"),
+        (f"<h1>Head</h1><p>{ABOUT_IT}</p><blockquote><p>{BODY * 6}</p></blockquote><p>{LAST}</p>", f"Head {ABOUT_IT} {BODY * 6} {LAST}"),
+        (f"<div class=a><div class=b><p>{BODY * 5}</p></div><div class=c><a href=x>{LAST}</a></div><div class=comments>{LAST}</div></div><div class=d>{LAST}</div>", f"{BODY * 5} {LAST}"),
+        (f"<table><tr><td class=x>{BODY * 5}<td class=y>{LAST}</table><div class=links><a href=x>One. Two. Three.</a></div>", f"{BODY * 5} {LAST}"),
+    ],
+)
+def test_parts_beside_the_best_container_are_kept(spark, inside, want):
+    page = f"<body><nav>Menu, and so on and so on.</nav><div class=post>{inside}</div><footer>{LAST}</footer></body>"
+    rows = [(k, url, page) for k, url in enumerate(["http://a/1", "http://a/2", None])]
+    assert [r.text for r in he.extract_pages(pages(spark, *rows)).collect()] == [want] * 3
+
+
 def test_comments_longer_than_the_text_do_not_win_the_host(spark):
     page = "<body><div class=post><p>{}</p></div><div id=comments><p>{}</p></div></body>"
     rows = [(k, f"http://a/{k}", page.format(BODY, LAST * (9 if k == 2 else 1))) for k in range(3)]
