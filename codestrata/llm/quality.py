@@ -198,13 +198,16 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
     """Fit on at most `max_rows` labelled rows that are not held out, those with the smallest hash of
-    doc_id. Only their features come to the driver. A doc_id with several labels takes the largest; labels
+    doc_id. Only their features come to the driver. Of rows that repeat a doc_id the one with the smallest hash
+    of its text counts. A doc_id with several labels takes the largest; labels
     other than 0 and 1 and null doc_ids are left out."""
     ship(docs.sparkSession)
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = usable.groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
+    # One row for each chosen doc_id, so that max_rows bounds what comes to the driver.
+    rows = rows.groupBy("id").agg(F.min_by(F.struct("label", "text"), F.struct(F.xxhash64("text"), "text")).alias("row")).select("row.*")
     table = rows.select("label", "text").mapInArrow(_measured, "label int, x array<double>").toArrow()
     x = table["x"].combine_chunks().flatten().to_numpy() if len(table) else np.zeros(0)
     x, y = x.reshape(-1, len(FEATURES)), table["label"].to_numpy().astype(float)

@@ -59,3 +59,13 @@ def test_features_of_a_text_do_not_depend_on_its_neighbours():
     assert np.allclose(whole, alone) and not np.any(whole[1]) and not np.any(whole[2])
     named = dict(zip(q.FEATURES, whole[0]))
     assert named["unique_words"] == pytest.approx(4 / 5) and named["top_word"] == pytest.approx(2 / 5) and named["repeated_next"] == 0
+
+
+def test_rows_that_repeat_a_labelled_doc_id_count_once(docs, spark, monkeypatch):
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5][:4]
+    texts = [(ids[0], f"words of row {k} stand here") for k in range(200)] + [(i, f"other words {i}") for i in ids[1:]]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda x, y: seen.append((len(x), len(y))))
+    q.learn(docs(*texts), labels, max_rows=4)
+    assert seen == [(4, 4)]
