@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codestrata.llm.binary_tokens import binary_tokens
 from codestrata.llm.decontaminate import find_leaks
+from codestrata.llm.conversations import damaged, repair_conversations
 from codestrata.llm.exact_dedup import exact_dedup
 from codestrata.llm.html_extract import extract_pages
 from codestrata.llm.line_dedup import line_dedup
+from codestrata.llm.lm_score import lm_score
 from codestrata.llm.mixing import mix_plan
 from codestrata.llm.ngram_join import ngram_join
 from codestrata.llm.quality import ACCEPT, held_out, learn, score
+from codestrata.llm.spelling import spelling_variants
 from codestrata.llm.substring_dedup import repeated_spans
 from codestrata.llm.token_counts import token_counts
 
@@ -138,3 +141,18 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     pages = extract_pages(table(spark, folder, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query()
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+@query()
+def op12_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score(table(spark, folder, "documents"))
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, folder, "conversations")))
