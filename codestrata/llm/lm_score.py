@@ -18,11 +18,13 @@ HELD_OUT, HELD_REST = 5, 1
 END = b""  # the end of a document; no word is empty
 HEAD = 1023  # words that the network tells apart, besides the end
 GROUP = 32  # words of a class
-COUNTED = 65_536  # most frequent words whose counts go to every task
+COUNTED = 65_536  # most frequent words whose counts go to every task, at most
+STEPS_OF_COUNT = 64
 LONG_WORD = 64  # bytes; longer words are never sent to every task
 HIDDEN = 16
 STREAMS, STEPS = 256, 16  # documents side by side, and words between two weight updates
 WINDOW = STREAMS * STEPS
+PIECE = 1024  # words of a long document that are learned from in one go
 POOL = 4_000_000  # words that a task holds at a time
 ROUNDS = 4  # parts of the corpus between two averages of the weights
 RATE = 0.05
@@ -205,6 +207,9 @@ class Network:
 # ---- documents side by side
 
 
+LAST = 1 << 20  # marks the last word of a document or piece; no number of a word is as large
+
+
 def streams(sizes: np.ndarray) -> list[list[int]]:
     """The documents of a pool dealt to STREAMS streams of about equal length, longest first."""
     heap = [(0, k) for k in range(min(STREAMS, len(sizes)))]
@@ -218,7 +223,10 @@ def streams(sizes: np.ndarray) -> list[list[int]]:
 
 def walk(docs: list[np.ndarray], network: Network, learn: bool) -> np.ndarray:
     """Goes through whole documents (word numbers, the end last) window by window, the state carried from
-    one window to the next. Learns, or returns the log10 probability of each document."""
+    one window to the next. Returns the log10 probability of each document, or learns: then a long document
+    is dealt in pieces of PIECE words, each beginning without a state, so that no stream is much longer than others."""
+    if learn:
+        docs = [doc[k : k + PIECE] for doc in docs for k in range(0, len(doc), PIECE)]
     sizes = np.fromiter(map(len, docs), np.int64, len(docs))
     dealt = streams(sizes)
     length = np.array([sizes[line].sum() for line in dealt], np.int64)
@@ -227,17 +235,20 @@ def walk(docs: list[np.ndarray], network: Network, learn: bool) -> np.ndarray:
     words = np.zeros(start[-1], np.int32)
     for k, line in enumerate(dealt):
         words[start[: length[k]] + k] = np.concatenate([docs[d] for d in line])
+        words[start[np.cumsum(sizes[line]) - 1] + k] |= LAST
     scores = np.zeros(0 if learn else len(words))
     state = np.zeros((len(dealt), HIDDEN), np.float32)
-    last = np.zeros(len(dealt), np.int64)
+    last = np.full(len(dealt), LAST)
     for first in range(0, len(live), STEPS):
         steps, width = min(STEPS, len(live) - first), live[first]
         targets = np.full((steps, width), -1, np.int64)
         for t in range(steps):
             targets[t, : live[first + t]] = words[start[first + t] : start[first + t + 1]]
-        before = np.concatenate((last[None, :width], np.maximum(targets[:-1], 0)))
-        fresh = before == 0  # after an end, or nothing yet
-        last = np.maximum(targets[-1], 0)
+        before = np.concatenate((last[None, :width], targets[:-1]))
+        last = targets[-1]
+        fresh = before & LAST != 0  # nothing came before, or another document
+        before[fresh] = 0
+        targets = np.where(targets < 0, -1, targets & (LAST - 1))
         if learn:
             state = network.learn(before, targets, fresh, state[:width])
             continue
@@ -292,11 +303,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame) -> Words:
-    """At most COUNTED words and four sums reach the driver."""
+    """The most frequent words, at most COUNTED, and four sums; no more reaches the driver.
+
+    Words are taken by steps of frequency (STEPS_OF_COUNT to a power of two), whole steps from the top."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     ends = counts.where(F.col("word") == F.lit(END)).first()
-    top = counts.where((F.col("word") != F.lit(END)) & (F.length("word") <= LONG_WORD)).orderBy(F.desc("n"), "word").limit(COUNTED)
-    return Words([(bytes(r["word"]), r["n"]) for r in top.collect()], ends["n"] if ends else 0, total, distinct)
+    fit = counts.where((F.col("word") != F.lit(END)) & (F.length("word") <= LONG_WORD))
+    step = F.floor(F.log2("n") * STEPS_OF_COUNT)
+    least, taken = None, 0
+    for row in fit.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        taken += row["count"]
+        if taken > COUNTED:
+            break
+        least = row["step"]
+    top = fit.where(step >= least).collect() if least is not None else []
+    rows = sorted(((bytes(r["word"]), r["n"]) for r in top), key=lambda r: (-r[1], r[0]))
+    return Words(rows, ends["n"] if ends else 0, total, distinct)
 
 
 ENCODED = "doc_id {id}, held_out boolean, round int, n_tokens long, n_known long, base double, beyond long, beyond_base double, ids array<short>, rare array<binary>, rare_n array<long>"
