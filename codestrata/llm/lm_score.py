@@ -16,8 +16,8 @@ from codestrata.operators.skew import salted_join
 
 HELD_OUT, HELD_REST = 5, 1
 END = b""  # the end of a document; no word is empty
-HEAD = 1023  # words that the network tells apart, besides the end
-GROUP = 32  # words of a class
+HEAD = 767  # words that the network tells apart, besides the end
+GROUP = 48  # words of a class
 COUNTED = 65_536  # most frequent words whose counts go to every task, at most
 STEPS_OF_COUNT = 64
 LONG_WORD = 64  # bytes; longer words are never sent to every task

@@ -48,11 +48,11 @@ def small_network():
     rng = np.random.default_rng(1)
     counts = sorted(rng.integers(1, 50, 70).tolist(), reverse=True)
     words = lm.Words([(b"w%d" % k, n) for k, n in enumerate(counts)], 30, sum(counts) + 30, 71)
-    words.head = 41  # the rest is beyond the network
+    words.head = 61  # the rest is beyond the network
     words.classes = 2
-    words.rest = words.total + 0.5 * 72 - (words.counts[:41] + 0.5).sum()
+    words.rest = words.total + 0.5 * 72 - (words.counts[:61] + 0.5).sum()
     network = lm.Network(lm.first_weights(words), words)
-    docs = [np.append(np.minimum(rng.integers(1, 71, rng.integers(0, 60)), 41), 0) for _ in range(300)]
+    docs = [np.append(np.minimum(rng.integers(1, 71, rng.integers(0, 60)), 61), 0) for _ in range(300)]
     return words, network, docs
 
 
@@ -85,7 +85,7 @@ def test_gradients_are_those_of_the_likelihood():
     words, network, docs = small_network()
     network.w = {k: v.astype(np.float64) for k, v in network.w.items()}
     rng = np.random.default_rng(2)
-    before, targets = rng.integers(0, 42, (5, 8)), rng.integers(0, 42, (5, 8))
+    before, targets = rng.integers(0, 62, (5, 8)), rng.integers(0, 62, (5, 8))
     targets[3:, 6:] = -1
     fresh, state = before == 0, rng.normal(0, 0.5, (8, lm.HIDDEN)).astype(np.float32)
     grads = {}
@@ -112,10 +112,10 @@ def test_gradients_are_those_of_the_likelihood():
 def test_probabilities_of_a_next_word_add_up_to_one():
     words, network, _ = small_network()
     state = np.random.default_rng(3).normal(0, 0.5, (1, lm.HIDDEN)).astype(np.float32)
-    inside = np.exp(network.likelihood(np.repeat(state, 42, 0), np.arange(42), False))
-    shares = 10 ** (words.base[41:] + np.log10((words.total + 0.5 * 72) / words.rest))
+    inside = np.exp(network.likelihood(np.repeat(state, 62, 0), np.arange(62), False))
+    shares = 10 ** (words.base[61:] + np.log10((words.total + 0.5 * 72) / words.rest))
     unseen = 0.5 / words.rest
-    assert abs(inside[:41].sum() + inside[41] * (shares.sum() + unseen) - 1) < 1e-3
+    assert abs(inside[:61].sum() + inside[61] * (shares.sum() + unseen) - 1) < 1e-3
 
 
 def test_empty_and_odd_tables(odd):
