@@ -2,30 +2,34 @@
 
 ``Window.partitionBy(group)`` sorts a whole group in one task, which fails when one
 repository, user or file holds a third of the data. So the groups are counted first, by key
-and on the map side. Without a hot group the plain window is the plan. Rows of a hot group
-are cut into *cells*: runs of neighbouring rows between bounds taken from a sample of the
-group's own order values, of any type that can be compared, or by ``chunk``, a non-decreasing
-function of the first order column. Rows are still shuffled once, by (group, cell). What a
-cell must know about the cells before and after it (a row count, "was there a hit", the
-neighbouring row) is computed on one pre-aggregated row per cell and travels with the cell
-as one extra carry row, so the big side needs no join and null groups keep together.
+and on the map side. Without a hot group the plain window is the plan. With one, the rows are
+dealt by ranges of (group, order): a partition is a run of neighbouring rows, whatever the
+type of the order values and however the rows are spread over the groups. The table is
+written once with the number of each row's partition, its *cell*. What a cell must know
+about the cells before and after it (a row count, "was there a hit", the neighbouring row) is
+computed on one row per group and cell and travels with the cell as one extra carry row, so
+the big side needs no join and null groups keep together. A group that lies in one cell has
+no carry row. With ``chunk``, a non-decreasing function of the first order column, hot groups
+are cut by its values instead, and the rows are shuffled once.
 
 ``order`` must be a total order inside a group (append the key as tie-break).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codestrata.operators import skew
 from codestrata.operators.skew import HOT, HotKeys, hot_keys
+from codestrata.session import stored
 
 CELL = "_cell"
 CARRY = "_carry"
 IS_ROW = "_is_row"
-SAMPLE = 40  # sampled order values for each cell
+LEAST_CELL = 100  # rows of a cell at least, about
 
 
 def order_key(order: Sequence[str]) -> Column:
@@ -33,33 +37,13 @@ def order_key(order: Sequence[str]) -> Column:
     return F.struct(*order)
 
 
-def _bounds(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotKeys) -> DataFrame:
-    """For each hot group the lower bounds of its cells but the first, and how many of them make a row of
-    the two-step search.
-
-    The bounds are every SAMPLE-th of about SAMPLE values for each cell, chosen by a hash of the order
-    values, so that a retried task chooses the same. The list is as long as all parts together.
-    """
-    marked = hot.mark(df) if keys else df.withColumn(HOT, F.lit(hot.rows[0][-1]))
-    marked = marked.where(F.col(HOT).isNotNull())
-    # The parts hold HOT_ROWS / 2 rows or more each, whatever the group's size.
-    share = F.lit(min(1.0, 2.0 * SAMPLE / max(1, skew.HOT_ROWS)))
-    chosen = F.pmod(F.xxhash64(*order, F.lit("cell")), F.lit(1 << 30)) < share * (1 << 30)
-    values = marked.where(chosen).groupBy(*keys).agg(F.sort_array(F.collect_list(order_key(order))).alias("_values"), F.max(HOT).alias("_parts"))
-    step = F.greatest(F.lit(1), F.floor(F.size("_values") / F.col("_parts"))).cast("int")
-    places = F.when(F.size("_values") > step, F.sequence(step, F.size("_values") - 1, step)).otherwise(F.array().cast("array<int>"))
-    bounds = F.array_distinct(F.transform(places, lambda i: F.get("_values", i)))
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_bounds")))).cast("int")
-    return values.withColumn("_bounds", bounds).select(*keys, "_bounds", width.alias("_width"))
-
-
-def _cell(order: Sequence[str]) -> Column:
-    """How many of ``_bounds`` are not above the row: among every ``_width``-th first, then in between."""
-    key = order_key(order)
-    rows = F.filter(F.transform(F.sequence(F.lit(0), F.floor((F.size("_bounds") - 1) / F.col("_width")).cast("int")), lambda i: F.get("_bounds", i * F.col("_width"))), lambda b: b <= key)
-    first = F.greatest(F.size(rows) - 1, F.lit(0)) * F.col("_width")
-    inner = F.filter(F.slice("_bounds", first + 1, F.col("_width")), lambda b: b <= key)
-    return F.when(F.size("_bounds") == 0, F.lit(0)).otherwise(first + F.size(inner)).cast("int")
+def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotKeys) -> DataFrame:
+    """The rows by ranges of keys and order, stored with their range's number; a range has about half of
+    what a task may get, as far as hot groups make up the rows."""
+    limit = max(1, skew.HOT_ROWS)
+    rows = sum(r[-1] for r in hot.rows) * limit / 2
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + math.ceil(rows / max(LEAST_CELL, limit / 2))
+    return stored(df.repartitionByRange(parts, *keys, *order).withColumn(CELL, F.spark_partition_id()), "cells")
 
 
 def _cells(
@@ -71,39 +55,31 @@ def _cells(
     carry: Callable[[Window], list[Column]],
     hot: HotKeys | None = None,
 ):
-    """Rows, plus one carry row for each cell of a hot group; with the windows over one cell.
+    """Rows, plus one carry row for each cell of a group that was cut; with the windows over one cell.
 
-    ``_carry`` is null in groups that are not hot. Without keys all rows are one group.
+    ``_carry`` is null in groups that were not. Without keys all rows are one group.
     """
     hot = hot_keys(df, keys) if hot is None else hot
-    if not hot:
-        marked = df.withColumn(HOT, F.lit(None).cast("int"))
-    elif chunk is None:
-        names = {k: f"_bound_{k}" for k in keys}
-        bounds = F.broadcast(_bounds(df, keys, order, hot).withColumnsRenamed(names))
-        same: Column = F.lit(True)
-        for k, n in names.items():
-            same = same & df[k].eqNullSafe(bounds[n])
-        # A hot group none of whose values was chosen is one cell.
-        marked = (hot.mark(df) if keys else df.withColumn(HOT, F.lit(1))).join(bounds, same, "left").drop(*names.values())
-        chunk = F.coalesce(_cell(order), F.lit(0))
-    else:
-        marked = hot.mark(df) if keys else df.withColumn(HOT, F.lit(1))
-    is_hot = F.col(HOT).isNotNull()
-    split = bool(hot)
-    inside = Window.partitionBy(*keys, CELL) if split else Window.partitionBy(*keys)
-    inside = inside.orderBy(IS_ROW, *order)
+    inside = (Window.partitionBy(*keys, CELL) if hot else Window.partitionBy(*keys)).orderBy(IS_ROW, *order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = marked.withColumn(CELL, F.when(is_hot, chunk) if split else F.lit(None))
-    along = Window.partitionBy(*keys).orderBy(CELL)
+    group = Window.partitionBy(*keys)
+    if hot and chunk is None:
+        rows = carriers = _dealt(df, keys, order, hot)
+        own_cells = F.count(F.lit(1)).over(group)  # a group in one cell has nothing to carry
+    else:
+        marked = hot.mark(df) if hot and keys else df.withColumn(HOT, F.lit(1 if hot else None).cast("int"))
+        rows = marked.withColumn(CELL, F.when(F.col(HOT).isNotNull(), chunk) if hot else F.lit(None))
+        carriers = rows.where(F.col(HOT).isNotNull())
+        rows, own_cells = rows.drop(HOT), F.lit(2)
     carried = (
-        rows.where(is_hot)
-        .groupBy(*keys, CELL)
+        carriers.groupBy(*keys, CELL)
         .agg(*summarise)
-        .select(*keys, CELL, F.struct(*carry(along)).alias(CARRY))
+        .select(*keys, CELL, F.struct(*carry(group.orderBy(CELL))).alias(CARRY), own_cells.alias("_cells"))
+        .where(F.col("_cells") > 1)
+        .drop("_cells")
     )
-    rows = rows.drop(HOT, "_bounds", "_width").withColumn(IS_ROW, F.lit(1))
-    if not split:
+    rows = rows.withColumn(IS_ROW, F.lit(1))
+    if not hot:
         nothing = F.lit(None).cast(carried.schema[CARRY].dataType)
         return rows.withColumn(CARRY, nothing), inside, so_far
     both = rows.unionByName(carried.withColumn(IS_ROW, F.lit(0)), allowMissingColumns=True)

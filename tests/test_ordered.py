@@ -161,6 +161,16 @@ def test_cells_are_even_and_few(spark, monkeypatch):
     assert sum(sizes) == 20_000 and 10 <= len(sizes) <= 60 and max(sizes) <= 3000
 
 
+def test_groups_in_one_cell_carry_nothing(spark, monkeypatch):
+    """Small groups beside a hot one are cut at the ends of a range only."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 2000)
+    df = spark.range(30_000).select(F.when(F.col("id") < 10_000, -1).otherwise(F.col("id") % 5000).alias("k"), F.col("id").alias("ord"))
+    both, _, _ = o._cells(df, ["k"], ["ord"], None, [F.count(F.lit(1)).alias("_n")], lambda along: [o._rows_before(along)])
+    carried = both.where(F.col(o.IS_ROW) == 0).groupBy("k").count().collect()
+    cells = both.select(o.CELL).distinct().count()
+    assert 1 < len(carried) <= cells and {r["k"]: r["count"] for r in carried}[-1] > 3
+
+
 def test_a_null_order_value_is_a_value(spark):
     df = spark.createDataFrame([("a", None, "x"), ("b", None, "y"), ("b", 1, "z")], "k string, ord int, v string")
     assert {r.k: r.v for r in o.first_wins(df, ["k"], ["ord"]).collect()} == {"a": "x", "b": "y"}
@@ -176,5 +186,6 @@ def test_plan_depends_on_the_groups(data, monkeypatch):
 
     monkeypatch.setattr(skew, "HOT_ROWS", 0)
     assert "_cell" in plan() and "Union" in plan()
+    assert "_bounds" not in plan() and "Join" not in plan()
     monkeypatch.setattr(skew, "HOT_ROWS", 10**9)
     assert "Union" not in plan() and "Join" not in plan()
