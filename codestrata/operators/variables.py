@@ -334,6 +334,31 @@ def variable_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("functi
     return salted_join(changed, common, keys, "left_semi")
 
 
+def variable_count_diff(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("function", "var"), op: str = "op") -> DataFrame:
+    """Operations that common variables have more often in one version: keys, change, op, n (the difference).
+
+    The multiset form of `variable_diff`: a second use of an equal operation is a change. Each version's rows
+    weigh -1 or 1 and one aggregation, combined before its shuffle, leaves their sum for each operation; a
+    variable is common if both versions have rows of it, also such without an operation (null).
+    """
+    keys = list(keys)
+    one = F.lit(1).cast("bigint")
+    signed = old.select(*keys, op, (-one).alias("_sign")).unionByName(new.select(*keys, op, one.alias("_sign")))
+    sums = signed.groupBy(*keys, op).agg(
+        F.sum("_sign").alias("_n"), F.bool_or(F.col("_sign") < 0).alias("_old"), F.bool_or(F.col("_sign") > 0).alias("_new")
+    )
+    common = (
+        sums.groupBy(*keys)
+        .agg(F.bool_or("_old").alias("_old"), F.bool_or("_new").alias("_new"))
+        .where(F.col("_old") & F.col("_new"))
+        .select(*keys)
+    )
+    changed = sums.where(F.col(op).isNotNull() & (F.col("_n") != 0)).select(
+        *keys, F.when(F.col("_n") < 0, "removed").otherwise("added").alias("change"), op, F.abs("_n").alias("n")
+    )
+    return salted_join(changed, common, keys, "left_semi")
+
+
 def changed_names(diff: DataFrame, keys: Sequence[str] = ("function", "var")) -> DataFrame:
     return diff.select(*keys).distinct()
 

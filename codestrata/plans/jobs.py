@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -47,9 +48,28 @@ def compare_libraries(old_dumps: DataFrame, new_dumps: DataFrame, library: Colum
     return snapshot_diff(old, new, ["library", "name"], fields, left_order=["ord"])
 
 
-class VariableChanges(NamedTuple):
-    diff: DataFrame  # module, function, var, change, op
-    renames: DataFrame  # module, function, old_name, new_name
+class VariableChanges:
+    """Two versions of modules compared; each table is planned when it is asked for."""
+
+    KEYS = ("module", "function", "var")
+
+    def __init__(self, old: DataFrame, new: DataFrame) -> None:
+        self.old, self.new = old, new  # module, function, var, op
+
+    @cached_property
+    def diff(self) -> DataFrame:
+        """module, function, var, change, op: operations that one version lacks, however often the other has them."""
+        return variables.variable_diff(self.old, self.new, self.KEYS)
+
+    @cached_property
+    def counted(self) -> DataFrame:
+        """module, function, var, change, op, n: so many uses of an operation more, or fewer."""
+        return variables.variable_count_diff(self.old, self.new, self.KEYS)
+
+    @cached_property
+    def renames(self) -> DataFrame:
+        """module, function, old_name, new_name; its candidates are stored by a job of their own."""
+        return variables.rename_candidates(self.old, self.new, within=["module", "function"])
 
 
 def scoped_lines(lines: DataFrame) -> DataFrame:
@@ -72,11 +92,7 @@ def _operations(lines: DataFrame) -> DataFrame:
 
 def variable_changes(old_lines: DataFrame, new_lines: DataFrame) -> VariableChanges:
     """Changed operations per common variable, and rename candidates, between two versions of modules."""
-    old, new = _operations(old_lines), _operations(new_lines)
-    return VariableChanges(
-        variables.variable_diff(old, new, ["module", "function", "var"]),
-        variables.rename_candidates(old, new, within=["module", "function"]),
-    )
+    return VariableChanges(_operations(old_lines), _operations(new_lines))
 
 
 def commits_to_analyze(walk: DataFrame, entries: DataFrame, limit: int | None = None) -> DataFrame:

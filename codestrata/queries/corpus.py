@@ -58,10 +58,12 @@ def flagged_commands(spark, d):
 
 
 def _page_libs(spark, d):
-    """Requests: the page number as a library name; inventory: every page as /section/lib<number>.so."""
-    number = F.regexp_extract("url", r"/[a-z]+/(\d+)", 1)
-    section = F.regexp_extract("url", r"/([a-z]+)/\d+", 1)
-    pages = table(spark, d, "pages").where(number != "")
+    """Requests: the page number as a library name; inventory: every page as /section/lib<number>.so. A page without
+    a number is named by its id and stands in the first root."""
+    found = F.regexp_extract("url", r"/[a-z]+/(\d+)", 1)
+    number = F.when(found == "", F.concat(F.lit("p"), F.col("page_id").cast("string"))).otherwise(found)
+    section = F.when(found == "", "en").otherwise(F.regexp_extract("url", r"/([a-z]+)/\d+", 1))
+    pages = table(spark, d, "pages")
     requests = pages.select("page_id", F.concat(F.lit("cc -c x.c -l"), number, F.lit(" -l "), F.col("page_id").cast("string")).alias("command"))
     inventory = pages.select(F.concat(F.lit("/"), section, F.lit("/lib"), number, F.lit(".so")).alias("path"))
     return requests, inventory
@@ -69,8 +71,9 @@ def _page_libs(spark, d):
 
 ROOTS = ("/en", "/de")
 PAGE_LIBS_SQL = r"""
-  p AS (SELECT page_id, regexp_extract(url, '/[a-z]+/(\d+)', 1) AS num, regexp_extract(url, '/([a-z]+)/\d+', 1) AS section
-        FROM pages WHERE regexp_matches(url, '/[a-z]+/\d+')),
+  p AS (SELECT page_id, CASE WHEN x = '' THEN 'p' || page_id ELSE x END AS num,
+               CASE WHEN x = '' THEN 'en' ELSE regexp_extract(url, '/([a-z]+)/\d+', 1) END AS section
+        FROM (SELECT page_id, url, regexp_extract(url, '/[a-z]+/(\d+)', 1) AS x FROM pages)),
   req AS (SELECT page_id, 0 AS flag_pos, num AS name FROM p UNION ALL SELECT page_id, 1, CAST(page_id AS VARCHAR) FROM p),
   inv AS (SELECT DISTINCT '/' || section || '/lib' || num || '.so' AS path FROM p),
   c AS (SELECT name, root, rnk, root || '/lib' || name || '.so' AS path FROM (SELECT DISTINCT name FROM req)

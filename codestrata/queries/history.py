@@ -158,8 +158,8 @@ def history_after_change(spark, d):
 
 @query(
     """
-    WITH o AS (SELECT l_linenumber, l_orderkey, count(*) AS oid FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL),
-         n AS (SELECT l_linenumber, l_orderkey, count(*) AS oid FROM lineitem WHERE l_returnflag = 'N' GROUP BY ALL)
+    WITH o AS (SELECT l_linenumber, l_orderkey, count(*) AS oid FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL),
+         n AS (SELECT l_linenumber, l_orderkey, count(*) AS oid FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL)
     SELECT coalesce(o.l_linenumber, n.l_linenumber) AS l_linenumber, coalesce(o.l_orderkey, n.l_orderkey) AS l_orderkey,
            CASE WHEN o.oid IS NULL THEN 'added' WHEN n.oid IS NULL THEN 'deleted' ELSE 'modified' END AS change,
            o.oid AS old_oid, n.oid AS new_oid
@@ -168,13 +168,14 @@ def history_after_change(spark, d):
     """
 )
 def tree_diff(spark, d):
+    """Lines without flag N as the old tree, those without flag A as the new one; R is in both."""
     lines = table(spark, d, "lineitem")
     keys = ["l_linenumber", "l_orderkey"]
 
-    def tree(flag):
-        return lines.where(F.col("l_returnflag") == flag).groupBy(*keys).agg(F.count(F.lit(1)).alias("oid"))
+    def tree(without):
+        return lines.where(F.col("l_returnflag") != without).groupBy(*keys).agg(F.count(F.lit(1)).alias("oid"))
 
-    return history.tree_diff(tree("A"), tree("N"), keys)
+    return history.tree_diff(tree("N"), tree("A"), keys)
 
 
 @query(

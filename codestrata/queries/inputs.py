@@ -157,7 +157,8 @@ def library_changes(spark, d):
 
 def _debug_listings(spark, d, new: bool):
     """A module for each conversation, a function for each turn with one variable bound to a value that two
-    instructions use; in the new version every third turn multiplies by another type, every fifth uses it once more."""
+    instructions use; in the new version every third turn multiplies by another type, every fifth uses it once more, and
+    of those the even ones twice, by an equal operation."""
     turn = F.col("turn").cast("string")
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     changed, more = F.lit(new) & (F.col("turn") % 3 == 0), F.lit(new) & (F.col("turn") % 5 == 1)
@@ -168,6 +169,7 @@ def _debug_listings(spark, d, new: bool):
             text("    #dbg_value(i64 %7, !", turn, ", !DIExpression(), !900)"),
             F.when(changed, "  %8 = mul i32 %7, 3").otherwise("  %8 = mul i64 %7, 3"),
             F.when(more, "  %9 = urem i64 %7, 5"),
+            F.when(more & (F.col("turn") % 2 == 0), "  %10 = urem i64 %7, 9"),
             F.lit("  ret i32 0"),
             F.lit("}"),
             text("!", turn, ' = !DILocalVariable(name: "', F.col("role"), '", scope: !800)'),
@@ -183,7 +185,7 @@ def _debug_listings(spark, d, new: bool):
 @query(
     """
     SELECT 'conv' || conv_id AS module, 'turn_' || turn AS function, role AS var,
-           CAST(1 + CAST(turn % 5 = 1 AS INT) AS BIGINT) AS uses FROM conversations
+           CAST(1 + CAST(turn % 5 = 1 AS INT) + CAST(turn % 10 = 6 AS INT) AS BIGINT) AS uses FROM conversations
     UNION ALL SELECT 'conv' || conv_id, 'turn_' || turn, 'size', 0 FROM conversations
     """
 )
@@ -195,18 +197,16 @@ def ir_variable_uses(spark, d):
 
 @query(
     """
-    SELECT 'conv' || conv_id AS module, 'turn_' || turn AS function, role AS var, c.change, count(*) AS ops FROM conversations,
-           (VALUES ('added'), ('removed')) AS c(change)
-    WHERE turn % 3 = 0 OR (turn % 5 = 1 AND c.change = 'added')
-    GROUP BY ALL
+    SELECT 'conv' || conv_id AS module, 'turn_' || turn AS function, role AS var, change, sha256(f.op) AS op,
+           CAST(CASE WHEN f.op LIKE 'urem%' AND turn % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS uses
+    FROM conversations, (VALUES ('added', 'mul i32 _, _'), ('removed', 'mul i64 _, _'), ('added', 'urem i64 _, _')) AS f(change, op)
+    WHERE CASE WHEN f.op LIKE 'mul%' THEN turn % 3 = 0 ELSE turn % 5 = 1 END
     """
 )
 def ir_variable_changes(spark, d):
-    """Operations, by fingerprint, that one of two versions has; names and turns repeat in many modules. (A turn
-    with both changes has two added operations.)"""
-    diff = jobs.variable_changes(_debug_listings(spark, d, False), _debug_listings(spark, d, True)).diff
-    counted = diff.groupBy("module", "function", "var", "change").agg(F.count(F.lit(1)).alias("ops"))
-    return counted.withColumn("ops", F.least("ops", F.lit(1)))
+    """Uses of operations, by fingerprint, that one of two versions has more of; names and turns repeat in many modules."""
+    changes = jobs.variable_changes(_debug_listings(spark, d, False), _debug_listings(spark, d, True))
+    return changes.counted.select("module", "function", "var", "change", "op", F.col("n").alias("uses"))
 
 
 @query("SELECT count(*) AS added FROM conversations WHERE role = 'user' AND (turn % 3 = 0 OR turn % 5 = 1)")

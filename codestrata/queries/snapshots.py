@@ -198,15 +198,15 @@ def added_ops(spark, d):
     """
     SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, CASE WHEN a.conv_id IS NULL THEN 'old' ELSE 'new' END AS side
     FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system') u
-    FULL JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role IS DISTINCT FROM 'system' AND turn > 1) a USING (conv_id)
+    FULL JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role IS DISTINCT FROM 'system') a USING (conv_id)
     WHERE u.conv_id IS NULL OR a.conv_id IS NULL
     """
 )
 def one_sided_names(spark, d):
-    """Conversations with a system turn against those with a later turn of anyone else."""
+    """Conversations with a system turn against those with a turn of anyone else."""
     turns = table(spark, d, "conversations").select("conv_id", "role", "turn")
     system = F.coalesce(F.col("role") == "system", F.lit(False))
-    return variables.one_sided(turns.where(system), turns.where(~system & (F.col("turn") > 1)), ["conv_id"])
+    return variables.one_sided(turns.where(system), turns.where(~system), ["conv_id"])
 
 
 @query(
@@ -238,23 +238,22 @@ def op_renames(spark, d):
 
 @query(
     """
-    WITH g AS (SELECT lang, max(quality) AS quality FROM documents JOIN labels USING (doc_id)
-               WHERE lang IN ('en', 'fr') GROUP BY lang)
+    WITH g AS (SELECT lang, source, max(quality) AS quality FROM documents JOIN labels USING (doc_id) GROUP BY ALL)
     SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN 'local' WHEN g.quality IS NOT NULL THEN 'global'
                           ELSE 'unresolved' END AS scope, coalesce(l.quality, g.quality) AS quality
-    FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN g USING (lang)
+    FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN g ON d.lang = g.lang AND d.source = g.source
     """
 )
 def resolve_names(spark, d):
-    """A document's own label, else the best one known for its language, else unresolved."""
-    docs = table(spark, d, "documents").select("doc_id", "lang")
+    """A document's own label, else the best one known for its language and source, else unresolved."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
     labels = table(spark, d, "labels").select("doc_id", "quality")
     shared = (
-        labels.join(docs.where(F.col("lang").isin("en", "fr")), "doc_id")
-        .groupBy("lang")
+        labels.join(docs, "doc_id")
+        .groupBy("lang", "source")
         .agg(F.max("quality").alias("quality"))
     )
-    return variables.resolve_names(docs, labels, shared, ["doc_id"], ["lang"], "quality").select(
+    return variables.resolve_names(docs, labels, shared, ["doc_id"], ["lang", "source"], "quality").select(
         "doc_id", "scope", "quality"
     )
 

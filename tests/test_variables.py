@@ -205,3 +205,12 @@ def test_listing_files(spark, tmp_path, rows):
         assert [n for n, _ in got] == list(range(len(got)))
     memory = readers.listing_lines(spark.createDataFrame([("m", MEMORY)], "module string, body string"))
     assert rows(memory, "line_no", "line") == rows(lines(spark, MEMORY), "line_no", "line")
+
+
+def test_a_second_use_of_an_equal_operation_is_a_change(spark, hotness, rows):
+    old = spark.createDataFrame([("f", "a", "x"), ("f", "a", "y"), ("f", "b", None), ("f", "gone", "x")], "function string, var string, op string")
+    new = spark.createDataFrame([("f", "a", "x"), ("f", "a", "x"), ("f", "a", "x"), ("f", "b", "y"), ("f", "new", "x")], "function string, var string, op string")
+    changed = v.variable_count_diff(old, new)
+    assert rows(changed) == [("f", "a", "added", "x", 2), ("f", "a", "removed", "y", 1), ("f", "b", "added", "y", 1)]
+    assert rows(v.variable_diff(old, new)) == [("f", "a", "removed", "y"), ("f", "b", "added", "y")]
+    assert rows(v.variable_count_diff(new, new)) == []
