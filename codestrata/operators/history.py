@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from codestrata.functions.text import touches_any
+from codestrata.operators import graph
+from codestrata.operators.ordered import with_position
 from codestrata.operators.skew import salted_join
 from codestrata.session import stored
 
@@ -53,6 +55,22 @@ def rev_walk(commits: DataFrame, by: Sequence[str] = ("repo",), order: str = "or
     return commits.orderBy(*by, order)
 
 
+def topological_walk(commits: DataFrame, by: str = "repo", oid: str = "oid", parents: str = "parents", newest: Sequence[str] = ()) -> DataFrame:
+    """Commits with ``generation`` and ``ord`` (0 = first of the walk), which the walk takes from the parents alone.
+
+    Larger generations come first, so no commit comes before one of its children; among equals those with larger
+    values of ``newest`` (times, say), then of the id. Repeated commits and a null id are numbered once.
+    """
+    known = commits.dropDuplicates([by, oid])
+    tall = known.join(graph.generations(known, by, oid, parents), [by, oid])
+    newest = [*newest, oid]
+    order = [f"_down_{i}" for i in range(len(newest) + 1)]
+    # Places are counted from the oldest, which needs no falling order of any type, and turned round by the count.
+    placed = with_position(tall.withColumns(dict(zip(order, map(F.col, ["generation", *newest])))), [by], order, "_up").drop(*order)
+    sizes = known.groupBy(by).agg(F.count(F.lit(1)).alias("_all"))
+    return salted_join(placed, sizes, [by], "inner").withColumn("ord", F.col("_all") - 1 - F.col("_up")).drop("_all", "_up")
+
+
 def entry_count(entries: DataFrame, tree: Sequence[str] = ("repo", "tree_oid")) -> DataFrame:
     return entries.groupBy(*tree).agg(F.count(F.lit(1)).alias("entries"))
 

@@ -218,6 +218,37 @@ def rev_walk(spark, d):
     return history.rev_walk(walked, ["conv_id"], "position")
 
 
+@query(
+    """
+    WITH RECURSIVE e AS (SELECT conv_id, turn AS oid, turn - 3 AS parent FROM conversations
+                         UNION ALL SELECT conv_id, turn, turn - 1 FROM conversations WHERE turn % 4 <> 0),
+         w AS (SELECT conv_id, turn AS oid, CAST(0 AS BIGINT) AS g FROM conversations
+               UNION SELECT e.conv_id, e.oid, w.g + 1 FROM w JOIN e ON e.conv_id = w.conv_id AND e.parent = w.oid),
+         t AS (SELECT conv_id AS repo, oid, max(g) AS generation FROM w GROUP BY ALL)
+    SELECT repo, oid, generation, row_number() OVER (PARTITION BY repo ORDER BY generation DESC, oid DESC) - 1 AS ord FROM t
+    """
+)
+def topological_walk(spark, d):
+    """A walk from the parents alone: a turn answers the third before, which is longer than it looks, and most the one before."""
+    turn = F.col("turn")
+    parents = F.array_compact(F.array(turn - 3, F.when(turn % 4 != 0, turn - 1)))
+    commits = table(spark, d, "conversations").select(F.col("conv_id").alias("repo"), turn.alias("oid"), parents.alias("parents"))
+    return history.topological_walk(commits).select("repo", "oid", "generation", "ord")
+
+
+@query(
+    """
+    WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS generation FROM orders)
+    SELECT o_custkey AS repo, o_orderkey AS oid, generation FROM o
+    """
+)
+def order_generations(spark, d):
+    """A linear history of each customer's orders, its only parent the order before."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("oid"))
+    chained = ordered.cursor(orders, ["repo"], ["oid"], ["oid"])
+    return graph.generations(chained.select("repo", "oid", F.array_compact(F.array("prev_oid")).alias("parents")))
+
+
 @query("SELECT conv_id, count(*) AS entries FROM conversations GROUP BY conv_id")
 def entry_count(spark, d):
     return history.entry_count(table(spark, d, "conversations"), ["conv_id"])

@@ -164,3 +164,32 @@ def test_nested_diff_goes_only_where_ids_differ(spark, rows):
     ]
     flat = g.flatten_trees(commits.select("repo", "tree_oid").distinct(), entries).select("repo", F.col("root").alias("tree_oid"), "path", "oid")
     assert rows(h.history_diff(commits, flat)) == rows(got)
+
+
+def _history(rng, n):
+    """Commits with up to three parents among older ones, some of them unknown."""
+    return {k: [p if rng.random() < 0.95 else 10**6 + p for p in rng.sample(range(k), min(k, rng.choice([1, 1, 1, 2, 3])))] for k in range(n)}
+
+
+def test_a_walk_from_parents_alone_has_children_first(spark, hotness):
+    rng = random.Random(4)
+    repos = {r: _history(rng, 60) for r in ("a", "b")} | {"line": {k: [k - 1] if k else [] for k in range(150)}}
+    data = [(r, k, ps) for r, commits in repos.items() for k, ps in commits.items()]
+    rng.shuffle(data)
+    walk = h.topological_walk(spark.createDataFrame(data + data[:5], "repo string, oid int, parents array<int>")).collect()
+    assert len(walk) == len(data)
+    place = {(w.repo, w.oid): w.ord for w in walk}
+    tall = {(w.repo, w.oid): w.generation for w in walk}
+    for r, commits in repos.items():
+        assert sorted(place[r, k] for k in commits) == list(range(len(commits)))
+        for k, ps in commits.items():
+            mine = [p for p in ps if p in commits]
+            assert tall[r, k] == max((tall[r, p] + 1 for p in mine), default=0)
+            assert all(place[r, k] < place[r, p] for p in mine)
+
+
+def test_a_cycle_is_an_error(spark):
+    damaged = spark.createDataFrame([("r", 1, [2]), ("r", 2, [1]), ("r", 3, [])], "repo string, oid int, parents array<int>")
+    with pytest.raises(ValueError, match="cycle"):
+        g.generations(damaged)
+    assert g.generations(damaged.limit(0)).collect() == []
