@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codestrata.llm.storage import new_dir, ship, shuffle_parts
-from codestrata.llm.tokens import WordCoder, vocabulary_size
+from codestrata.llm.tokens import vocabulary_size, word_coder
 
 MAGIC = b"CSTB"
 VERSION = 1
@@ -85,24 +85,25 @@ def _writer(path: str, end_id: int, bits: int):
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        coder, ids, docs, sizes, held = None, [], [], [], 0
+        ids, docs, sizes, held = bytearray(), [], [], 0
         end = np.array([end_id], "<u4").tobytes()
 
         def close():
             nonlocal seq, ids, docs, sizes, held
-            data = write_shard(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes, dtype=np.int64), bits)
+            data = write_shard(np.frombuffer(ids, "<u4"), np.cumsum(sizes, dtype=np.int64), bits)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64()),
                  pa.array([docs], pa.list_(pa.int64())), pa.array([data], pa.large_binary())], schema=schema,
             )
-            seq, ids, docs, sizes, held = seq + 1, [], [], [], 0
+            seq, ids, docs, sizes, held = seq + 1, bytearray(), [], [], 0
             return row
 
         for batch in batches:
-            coder = coder or WordCoder(path)
+            coder = word_coder(path)
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 own = coder.packed(text.as_py())
-                ids += (own, end)
+                ids += own
+                ids += end
                 docs.append(doc)
                 sizes.append(len(own) // 4 + 1)
                 held += sizes[-1]

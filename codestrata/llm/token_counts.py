@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codestrata.llm.storage import new_dir, ship
-from codestrata.llm.tokens import WordCoder, file_digest
+from codestrata.llm.tokens import file_digest, word_coder
 
 OPTIONS = "no special tokens added; special strings as the library's default; whole texts"
 
@@ -18,9 +18,8 @@ def _encoder(path: str):
     schema = pa.schema([("digest", pa.binary()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
         for batch in batches:
-            coder = coder or WordCoder(path)
+            coder = word_coder(path)
             counts = np.array([len(coder.packed(t.as_py())) // 4 for t in batch["text"]], np.int64)
             yield pa.RecordBatch.from_arrays([batch["digest"].cast(pa.binary()), pa.array(counts)], schema=schema)
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
+from functools import lru_cache
 
 import numpy as np
 
-CACHED_WORDS = 500_000  # words a task remembers
+CACHED_WORDS = 200_000  # words a worker remembers
 
 # Letters that NFC leaves alone and whose lower case is one letter: ASCII and Latin-1.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
@@ -82,7 +84,7 @@ class WordCoder:
             letters = letters.lower()
         if not letters.isascii():
             letters = letters.encode().decode("latin-1").translate(_TO_CHARS)
-        ids = np.array([t.id for t in self.merges(self.lead + letters)], "<u4").tobytes()
+        ids = array("I", [t.id for t in self.merges(self.lead + letters)]).tobytes()
         return ids + self.marks[marks] if marks else ids
 
     def packed(self, text: str) -> bytes:
@@ -104,6 +106,17 @@ class WordCoder:
         return np.frombuffer(self.packed(text), "<u4")
 
 
+def word_coder(path: str) -> WordCoder:
+    """The coder of a tokenizer's file: loaded once for each worker process, which keeps its remembered words."""
+    state = os.stat(path)
+    return _loaded(path, state.st_mtime_ns, state.st_size)
+
+
+@lru_cache(1)
+def _loaded(path: str, *_state: int) -> WordCoder:
+    return WordCoder(path)
+
+
 def vocabulary_size(path: str) -> int:
     from tokenizers import Tokenizer
 
