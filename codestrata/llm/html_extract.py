@@ -23,14 +23,17 @@ OUTSIDE_NAMES = frozenset(
 # A name says nothing after these: a wrapper that has a sidebar is no sidebar.
 ABOUT = frozenset("has no not with without".split())
 MARK = " !"  # ends the name of an element that may be outside; no class name holds a blank
+DEEPEST = 512  # containers of a path; what is nested deeper counts for the last of them, as browsers do it
 INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CONTAINERS = frozenset("html body main article section div td center blockquote figure details header".split())
 # These end an open paragraph; around them text falls into blocks.
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre table tr th thead tbody tfoot caption hr br figcaption address fieldset summary form".split()) | OUTSIDE
 SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
-_NAMED = re.compile(r"""(?:^|[\s"'])(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z))", re.S)
+# Quotes count right after = only; an unquoted value ends at white space or the tag's end.
+_ATTRIBUTE = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_COMMENTS = re.compile("comments?(?:area|body|box|container|form|list|section|thread|wrap|wrapper)")
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _WORDS = re.compile(r"[^\W_]+")
@@ -41,7 +44,7 @@ def _says_outside(words: list[str]) -> bool:
     for word, after in zip(words, [*words[1:], ""]):
         if word in ABOUT:
             return False
-        if word in OUTSIDE_NAMES and not (word == "related" and after in ("work", "works")):
+        if (word in OUTSIDE_NAMES or _COMMENTS.fullmatch(word)) and not (word == "related" and after in ("work", "works")):
             return True
     return False
 
@@ -49,9 +52,12 @@ def _says_outside(words: list[str]) -> bool:
 def _names(attributes: str) -> tuple[str, bool]:
     """The generalised first class (digits as #) and whether a class or id names something outside the article."""
     first, outside = "", False
-    for kind, *values in _NAMED.findall(attributes):
-        value = next((v for v in values if v), "").lower()
-        if kind.lower() == "class" and not first and value.split():
+    for kind, *values in _ATTRIBUTE.findall(attributes):
+        kind = kind.lower()
+        if kind not in ("class", "id"):
+            continue
+        value = "".join(values).lower()
+        if kind == "class" and not first and value.split():
             first = "." + _DIGITS.sub("#", value.split()[0])
         outside = outside or any(_says_outside(_WORDS.findall(v)) for v in value.split())
     return first, outside
@@ -62,28 +68,48 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
     page order. A path holds the generalised tag and class of each container from the root on, and ends with MARK
     at those that are outside by name, and at forms."""
     stack: list[tuple[str, bool, bool]] = []  # (tag, outside, is in the path)
+    opened: dict[str, int] = defaultdict(int)  # how often each tag is on the stack
+    stops: list[int] = []  # places of paragraphs and containers on the stack
     path: list[str] = []
+    shown: tuple[str, ...] | None = ()
     parts: list[str] = []
     linked = links = outside = 0
     at, end, raw = 0, len(page), ""
 
     def block():
-        nonlocal linked
+        nonlocal linked, shown
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip(" ")
-        found = (tuple(path), text, linked) if text and not outside else None
+        if text and not outside and shown is None:
+            shown = tuple(path[:DEEPEST])
+        found = (shown, text, linked) if text and not outside else None
         parts.clear()
         linked = 0
         return found
 
     def close(n: int) -> None:
-        nonlocal links, outside
+        nonlocal links, outside, shown
         while len(stack) > n:
             tag, out, container = stack.pop()
+            opened[tag] -= 1
             outside -= out
             links -= tag == "a"
+            if stops and stops[-1] == len(stack):
+                stops.pop()
             if container:
+                if len(path) <= DEEPEST:
+                    shown = None
                 path.pop()
 
+    def inner(names: tuple[str, ...], ends) -> int | None:
+        """The innermost open element of these names, unless one that `ends` holds for stands in between."""
+        if any(opened[name] for name in names):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in names:
+                    return k
+                if ends(stack[k]):
+                    break
+        return None
+
     while at < end:
         tag = _TAG.search(page, at)
         stop = tag.start() if tag else end
@@ -101,11 +127,11 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
         if name in BLOCKS and (found := block()):
             yield found
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None and name not in BLOCKS and stack[k][2] and (found := block()):
-                yield found
             # An inline end tag does not reach beyond the block it stands in.
-            if k is not None and (name in BLOCKS or not any(s[0] in BLOCKS for s in stack[k + 1 :])):
+            k = inner((name,), (lambda s: False) if name in BLOCKS else (lambda s: s[0] in BLOCKS))
+            if k is not None:
+                if name not in BLOCKS and stack[k][2] and (found := block()):
+                    yield found
                 close(k)
             continue
         if name in RAW and not attributes.endswith("/"):
@@ -116,27 +142,31 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, int]]:
             continue
         if name in BLOCKS:
             # A block ends an open paragraph and what is open in it; an item ends the item before.
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][2]), None)
-            if k is not None and stack[k][0] == "p":
-                close(k)
+            if stops and stack[stops[-1]][0] == "p":
+                close(stops[-1])
             if name in SAME_ENDS:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in SAME_ENDS[name] or stack[k][0] in ("ul", "ol", "dl", "table") or stack[k][2]), None)
-                if k is not None and stack[k][0] in SAME_ENDS[name]:
+                k = inner(SAME_ENDS[name], lambda s: s[2] or s[0] in ("ul", "ol", "dl", "table"))
+                if k is not None:
                     close(k)
         container = name in CONTAINERS
         first, named = _names(attributes) if attributes else ("", False)
-        article_head = name == "header" and any(s[0] == "article" for s in stack)
-        named = named and name not in ("html", "body", "main", "article") and not article_head
+        article_head = name == "header" and opened["article"] > 0
+        named = named and name not in ("html", "body", "main") and not article_head
         out = (name in OUTSIDE or name == "header") and not article_head or named and name in INLINE
         if (named or name == "form") and not out:
             if found := block():
                 yield found
             first += MARK
             container = True
+        if container or name == "p":
+            stops.append(len(stack))
         stack.append((name, out, container))
+        opened[name] += 1
         outside += out
         links += name == "a"
         if container:
+            if len(path) < DEEPEST:
+                shown = None
             path.append(name + first)
     if found := block():
         yield found
@@ -151,32 +181,37 @@ def _is(name: str, *tags: str) -> bool:
 
 
 def _doubted(found: list[tuple[tuple[str, ...], str, int]]) -> set[tuple[str, ...]]:
-    """Paths of elements that are outside by name, or forms, and are so on this page: those without an article or main
-    and, where neither stands elsewhere, with no more than half of the page's text outside links."""
+    """Paths of elements that are outside by name, or forms, and are so on this page: where an article or main stands
+    free of such, all of them, since readers' comments may be articles too; else those without an article or main that is
+    not named so itself and, where there is none, with no more than half of the page's text outside links."""
     share: dict[tuple[str, ...], int] = defaultdict(int)
-    total, safe, plain = 0, set(), False
+    total, safe, plain, last = 0, set(), False, None
     for path, text, linked in found:
         own = _own(text, linked)
         total += own
-        marked = [k for k, name in enumerate(path) if name.endswith(MARK)]
-        inner = max((k for k, name in enumerate(path) if _is(name, "article", "main")), default=-1)
-        plain = plain or inner >= 0 and not marked
-        for k in marked:
-            share[path[: k + 1]] += own
-            if k < inner:
-                safe.add(path[: k + 1])
-    return {p for p, own in share.items() if p not in safe and (plain or 2 * own <= total)}
+        if path is not last:
+            last = path
+            marked = [path[: k + 1] for k, name in enumerate(path) if name.endswith(MARK)]
+            inner = max((k for k, name in enumerate(path) if _is(name, "article", "main") and not name.endswith(MARK)), default=-1)
+            plain = plain or inner >= 0 and not marked
+            safe.update(m for m in marked if len(m) <= inner)
+        for m in marked:
+            share[m] += own
+    return {p for p, own in share.items() if plain or p not in safe and 2 * own <= total}
 
 
 def scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[tuple[str, ...], float]:
     """Points of each container path of a page: the text of its blocks outside links, half of what the
     containers in it have, a quarter of the next level's; sentences count more than labels."""
     points: dict[tuple[str, ...], float] = defaultdict(float)
-    doubted = _doubted(found)
+    own_points: dict[int, list] = {}  # points of each path as the blocks share it, so that a path is looked through once
     for path, text, linked in found:
+        entry = own_points.setdefault(id(path), [path, 0.0])
+        entry[1] += _own(text, linked) * (1.0 if re.search(r"[.!?,;:]", text) else 0.5)
+    doubted = _doubted(found)
+    for path, own in own_points.values():
         if doubted and any(name.endswith(MARK) and path[: k + 1] in doubted for k, name in enumerate(path)):
             continue
-        own = _own(text, linked) * (1.0 if re.search(r"[.!?,;:]", text) else 0.5)
         for level in range(min(3, len(path))):
             points[path[: len(path) - level]] += own / 2**level
     return points
@@ -212,7 +247,11 @@ def article_text(found: list[tuple[tuple[str, ...], str, int]], path: tuple[str,
     """The text under the path with what stands beside it up to the highest ancestor that adds prose, but for
     containers that are mostly links. An article or main element, or one that is
     outside by its name but holds the text, is not left."""
-    under = [own[: len(path)] == path and _within(own, len(path)) for own, _, _ in found]
+    under, last = [], None
+    for own, _, _ in found:
+        if own is not last:
+            last, yes = own, own[: len(path)] == path and _within(own, len(path))
+        under.append(yes)
     if path and _is(path[-1], "article", "main") or not _prose([(text, n) for (_, text, n), yes in zip(found, under) if yes]):
         return " ".join(text for (_, text, _), yes in zip(found, under) if yes)
     top = max((k + 1 for k, name in enumerate(path) if name.endswith(MARK)), default=0)
@@ -266,8 +305,9 @@ def extract_pages(pages: DataFrame, html_col: str = "html", url_col: str = "url"
 
     1. Each page is cut into text blocks with the path of tags and classes of the containers around
        them, digits in class names as #. Menus, headers, footers, sidebars, scripts and styles are left out by tag.
-       Forms, and adverts, notices, comments and the like by class or id, are marked: they get no points unless they
-       hold an article or main or, on a page with neither elsewhere, most of its text outside links.
+       Forms, and adverts, notices, comments and the like by class or id, are marked: they get no points unless, on
+       a page without an article or main elsewhere, they hold one or most of its text outside links. An article
+       named so is marked as well. Below DEEPEST containers a path grows no further; the text is kept.
        Each container gets points for its text; the page votes for its best path.
     2. Votes are added up per host and path (combined on the map side); the path with most votes, then
        most points, then first by name, wins the host.

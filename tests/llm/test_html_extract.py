@@ -88,3 +88,49 @@ def test_comments_longer_than_the_text_do_not_win_the_host(spark):
     page = "<body><div class=post><p>{}</p></div><div id=comments><p>{}</p></div></body>"
     rows = [(k, f"http://a/{k}", page.format(BODY, LAST * (9 if k == 2 else 1))) for k in range(3)]
     assert [r.text for r in he.extract_pages(pages(spark, *rows)).collect()] == [BODY] * 3
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p title=Bob's>One sentence here.</p><p>Two don't stop.</p></article>", "One sentence here. Two don't stop."),
+        ('<article><img alt="5" tall"><p>One sentence here, "quoted".</p></article>', 'One sentence here, "quoted".'),
+        ("<article><p title=Bob's>No later apostrophe.</p></article>", "No later apostrophe."),
+        ('<article><p title="a > b" data-x = \'<p class="ad">\'>Kept, all of it.</p><a href=x class=>and</a> this.</article>', "Kept, all of it. and this."),
+        (f'<div alt="my class=ad" class=post><p>{BODY}</p></div>', BODY),
+    ],
+)
+def test_quotes_count_after_an_equals_sign_only(spark, page, want):
+    rows = [(1, "http://a/1", page), (2, None, page)]
+    assert [r.text for r in he.extract_pages(pages(spark, *rows)).collect()] == [want] * 2
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article class=post><p>{0}</p></article><section id=comments><article class=comment-body><p>{1}</p></article></section>",
+        "<article class=post><p>{0}</p></article><section id=comments><article><p>{1}</p></article></section>",
+        "<article class=post><p>{0}</p><article class=comment><p>{1}</p></article></article>",
+        "<main><p>{0}</p><ol class=commentlist><li><article><p>{1}</p></article></ol></main>",
+        "<div class=post><p>{0}</p></div><div class=commentbody><p>{1}</p></div>",
+    ],
+)
+def test_readers_comments_are_not_the_article(spark, page):
+    page = f"<html><body><header>Head</header>{page.format(BODY * 2, LAST * (1 if 'commentbody' in page else 9))}</body></html>"
+    rows = [(k, url, page) for k, url in enumerate(["http://a/1", "http://a/2", None])]
+    assert [r.text for r in he.extract_pages(pages(spark, *rows)).collect()] == [BODY * 2] * 3
+
+
+def test_time_grows_with_the_page_not_with_its_square():
+    import time
+
+    def seconds(page):
+        began = time.perf_counter()
+        found = list(he.blocks(page))
+        text = he.article_text(found, he.best(he.scores(found)))
+        assert "word" in text
+        return time.perf_counter() - began
+
+    for unit in ("<div>word. ", "<ul><li>word. ", "<b>word </i>", "<div class=a1><p>word", "<p title=a'>word "):
+        small, large = seconds(unit * 5_000), seconds(unit * 40_000)
+        assert large < 30 * small + 2, unit
