@@ -117,6 +117,21 @@ def with_position(df, keys, order, out: str = "position", chunk: Column | None =
     return _rows_only(both.withColumn(out, place.cast("bigint")))
 
 
+def running_totals(df, keys, order, totals: dict[str, Column], chunk: Column | None = None) -> DataFrame:
+    """For each name, the sum of its expression over the rows before (0 for the first row)."""
+    own = {name: f"_own_{name}" for name in totals}
+    both, inside, _ = _cells(
+        df.withColumns({own[name]: value for name, value in totals.items()}),
+        keys,
+        order,
+        chunk,
+        [F.sum(c).alias(c) for c in own.values()],
+        lambda along: [F.coalesce(F.sum(c).over(_before(along)), F.lit(0)).alias(name) for name, c in own.items()],
+    )
+    sums = {name: _carried(name, 0) + F.coalesce(F.sum(c).over(_before(inside)), F.lit(0)) for name, c in own.items()}
+    return _rows_only(both.withColumns(sums), *own.values())
+
+
 def cursor(
     df, keys, order, columns: Sequence[str], chunk: Column | None = None, clamp: bool = False
 ) -> DataFrame:

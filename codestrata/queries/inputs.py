@@ -81,6 +81,34 @@ def compile_db_rejected(spark, d):
     return readers.parse_compile_db(_compile_dbs(spark, d))[1].select("path", "reason")
 
 
+@query(
+    """
+    SELECT o_orderpriority AS kind, 'f' || o_orderkey || '.c' AS file, 'cc "}{" -c f' || o_orderkey || '.c' AS command, '' AS reason
+    FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderpriority <> '5-LOW'
+    UNION ALL SELECT o_orderpriority, NULL, NULL, 'WrongFieldValueType' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderpriority <> '5-LOW'
+    UNION ALL SELECT DISTINCT o_orderpriority, NULL, NULL, 'NoCommand' FROM orders WHERE o_orderpriority <> '5-LOW'
+    UNION ALL SELECT DISTINCT o_orderpriority, NULL, NULL, 'NotAnArray' FROM orders WHERE o_orderpriority = '5-LOW'
+    """
+)
+def compile_db_files(spark, d):
+    """One compile database for all orders of a priority, as a file that many tasks read; braces stand in its strings, and
+    one file is never closed."""
+    path = work_path(spark, "databases")
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("kind"))
+    number = F.col("o_orderkey").cast("string")
+    command = F.when(F.col("o_orderkey") % 3 == 0, "5").otherwise(F.concat(F.lit('"cc \\"}{\\" -c f'), number, F.lit('.c"')))
+    records = orders.select("kind", "o_orderkey", F.concat(F.lit(',{"file":"f'), number, F.lit('.c","command":'), command, F.lit("}")).alias("line"))
+    kinds = orders.select("kind").distinct()
+    first = kinds.select("kind", F.lit(-1).cast("bigint").alias("o_orderkey"), F.lit('[{"file":"none"}').alias("line"))
+    last = kinds.where("kind <> '5-LOW'").select("kind", F.lit(2**62).alias("o_orderkey"), F.lit("]").alias("line"))
+    lines = records.union(first).union(last).repartition("kind").sortWithinPartitions("kind", "o_orderkey")
+    lines.select("kind", "line").write.partitionBy("kind").text(path)
+    good, bad = readers.read_compile_db(spark, path)
+    kind = F.url_decode(F.regexp_extract("path", "kind=([^/]+)/", 1)).alias("kind")
+    nothing = F.lit(None).cast("string")
+    return good.select(kind, "file", "command", F.lit("").alias("reason")).union(bad.select(kind, nothing.alias("file"), nothing.alias("command"), "reason"))
+
+
 @query(
     """
     SELECT 'conv' || conv_id AS module, CAST(sum(6 + CAST(role = 'user' AS INT) + CAST(length(text) > 100 AS INT)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from codestrata.operators.commands import COMMAND_FIELDS, validate_records
 from codestrata.operators.corpus import scan_sources
-from codestrata.operators.ordered import with_position
+from codestrata.operators.ordered import running_totals, with_position
+from codestrata.operators.skew import salted_join
+from codestrata.session import stored
 
 # The log's field names and types.
 FINDINGS_SCHEMA = T.StructType(
@@ -25,7 +27,6 @@ FINDINGS_SCHEMA = T.StructType(
         T.StructField("pir", T.LongType()),
     ]
 )
-COMMAND_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in COMMAND_FIELDS])
 
 
 def read_findings(spark: SparkSession, path, mode: str = "PERMISSIVE") -> DataFrame:
@@ -66,10 +67,67 @@ def read_with_key(spark: SparkSession, path, key: str = "cweID", columns: Sequen
     return keep_with_key(spark.read.text(path), key, schema)
 
 
-def read_compile_db(spark: SparkSession, path) -> DataFrame:
-    """Compile databases (a JSON array each); elements without ``command`` are left out."""
-    records = spark.read.schema(COMMAND_SCHEMA).option("multiLine", True).json(path)
-    return records.where(F.col("command").isNotNull())
+def read_compile_db(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected elements) of compile databases, a JSON array in each file, as `parse_compile_db` gives them.
+
+    A file of any size is read by many tasks: it falls into pieces that end with a closing brace, whatever
+    its lines. A piece alone shows how many quotes it holds and, for each of the two states in which it may begin
+    (inside a string or not), how far its brackets go up or down. Running sums of the quotes, then of the
+    brackets, give each piece its true state; where the depth falls to the array's, an element ends. Only
+    an element's pieces meet in a row. A file that is not a closed array is rejected as a whole (``NotAnArray``,
+    with a null value), a damaged element alone.
+    """
+    text = spark.read.option("lineSep", "}").text(path)
+    clean = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"')
+
+    def rise(odd: int):
+        """How far the brackets between the even, or the odd, quotes go up."""
+        outside = F.array_join(F.filter(clean, lambda _, i: i % 2 == odd), "")
+        return F.char_length(F.regexp_replace(outside, r"[^\[{]", "")) - F.char_length(F.regexp_replace(outside, r"[^\]}]", ""))
+
+    pieces = text.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
+        (F.size(clean) - 1).cast("bigint").alias("quotes"),
+        F.array(rise(0), rise(1)).alias("rise"),
+    )
+    place, split = ["split", "seq"], F.col("split")
+    pieces = running_totals(pieces, ["path"], place, {"before": F.col("quotes")}, split)
+    # Brackets in a piece that begins inside a string are those after its odd quotes; so is the brace that ends it.
+    pieces = pieces.withColumn("up", F.get("rise", (F.col("before") % 2).cast("int")))
+    brace = (F.col("before") + F.col("quotes")) % 2 == 0
+    pieces = pieces.withColumn("step", F.col("up") - F.when(brace, 1).otherwise(0))
+    pieces = running_totals(pieces, ["path"], place, {"depth": F.col("step")}, split)
+    pieces = pieces.withColumn("ends", brace & (F.col("depth") + F.col("up") == 2))
+    pieces = running_totals(pieces, ["path"], place, {"element": F.col("ends").cast("bigint")}, split)
+    pieces = stored(pieces.select("path", *place, "value", "quotes", "step", "ends", "element"), "pieces")
+
+    # The last piece of an array is followed by no brace: one that is counted there leaves the sum at -1.
+    files = pieces.groupBy("path").agg(
+        F.sum("step").alias("sum"), F.sum("quotes").alias("quotes"), F.min_by(F.regexp_extract("value", r"^\s*(.)", 1), F.struct(*place)).alias("first")
+    )
+    broken = files.where((F.col("sum") != -1) | (F.col("quotes") % 2 != 0) | (F.col("first") != "[")).select("path")
+    gathered = pieces.groupBy("path", "element").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*place, "value"))), lambda p: p["value"]), "}").alias("text"), F.bool_or("ends").alias("whole")
+    )
+    text = F.when(F.col("whole"), F.concat("text", F.lit("}"))).otherwise(F.regexp_replace("text", r"\]\s*$", ""))
+    text = F.when(F.col("element") == 0, F.regexp_replace(text, r"^\s*\[", "")).otherwise(F.regexp_replace(text, r"^\s*,", ""))
+    gathered = gathered.withColumn("text", text).where(F.col("text").rlike(r"\S"))
+    gathered = salted_join(gathered, broken, ["path"], "left_anti")
+    values = F.coalesce(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>"), F.array("text"))
+    good, bad = _commands(gathered.select("path", F.explode(values).alias("value")))
+    return good, bad.unionByName(broken.select("path", F.lit(None).cast("string").alias("value"), F.lit("NotAnArray").alias("reason")))
+
+
+def _commands(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected ones with ``path``, ``value`` and ``reason``) of array elements (path, value)."""
+    good, bad = validate_records(elements)
+    nameless = good.where(F.col("command").isNull()).select(
+        "path", F.to_json(F.struct(*COMMAND_FIELDS)).alias("value"), F.lit("NoCommand").alias("reason")
+    )
+    return good.where(F.col("command").isNotNull()), bad.select("path", "value", "reason").unionByName(nameless)
 
 
 def parse_compile_db(texts: DataFrame, path: str = "path", body: str = "body") -> tuple[DataFrame, DataFrame]:
@@ -80,12 +138,9 @@ def parse_compile_db(texts: DataFrame, path: str = "path", body: str = "body") -
     """
     fine = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("ARRAY"), F.lit(False))
     elements = texts.where(fine).select(F.col(path).alias("path"), F.explode(F.from_json(body, "array<string>")).alias("value"))
-    good, bad = validate_records(elements)
-    nameless = good.where(F.col("command").isNull()).select(
-        "path", F.to_json(F.struct(*COMMAND_FIELDS)).alias("value"), F.lit("NoCommand").alias("reason")
-    )
+    good, bad = _commands(elements)
     whole = texts.where(~fine).select(F.col(path).alias("path"), F.col(body).alias("value"), F.lit("NotAnArray").alias("reason"))
-    return good.where(F.col("command").isNotNull()), bad.select("path", "value", "reason").unionByName(nameless).unionByName(whole)
+    return good, bad.unionByName(whole)
 
 
 def read_compile_records(spark: SparkSession, path) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import json
 
 import pytest
@@ -69,9 +70,10 @@ RECORDS = [
 def test_compile_db(spark, tmp_path, rows):
     for name, records in {"zero": [], "one": RECORDS[:1], "two": RECORDS[:2]}.items():
         (tmp_path / f"{name}.json").write_text(json.dumps(records, indent=1))
-    assert readers.read_compile_db(spark, str(tmp_path / "zero.json")).count() == 0
-    assert rows(readers.read_compile_db(spark, str(tmp_path / "one.json")), "file", "output") == [("a.c", "a.o")]
-    assert readers.read_compile_db(spark, str(tmp_path / "two.json")).count() == 1
+    zero, one, two = (readers.read_compile_db(spark, str(tmp_path / f"{n}.json")) for n in ("zero", "one", "two"))
+    assert zero[0].count() == 0 and zero[1].count() == 0
+    assert rows(one[0], "file", "output") == [("a.c", "a.o")]
+    assert two[0].count() == 1 and rows(two[1], "reason") == [("NoCommand",)]
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         readers.read_compile_db(spark, str(tmp_path / "none.json"))
 
@@ -143,3 +145,31 @@ def test_damaged_databases_are_rows(spark, rows):
     assert rows(bad, "path", "reason") == [
         ("cut", "NotAnArray"), ("key", "UnknownField"), ("none", "NoCommand"), ("number", "WrongFieldValueType"), ("object", "NotAnArray"),
     ]
+
+
+ODD_ELEMENTS = ['{"command":"cc \\\\\\"}, {\\\\ ]","file":"a]}.c"}', '5', '"}"', '[{"x":{}}]', 'null', '{"command":"c","directory":{"a":[1,2]}}', '{"file":"only"}', '{"command":"é}\\\\\\\\","file":"b.c"}']
+
+
+@pytest.mark.parametrize("split", ["64", "1000000"])
+def test_a_file_of_any_size_gives_the_records_of_the_whole_text(spark, tmp_path, rows, hotness, split):
+    rng = random.Random(5)
+    texts = {}
+    for name, joint in {"line": ",", "lines": ",\n", "wide": " ,\r\n\t"}.items():
+        texts[name] = " [" + joint.join(rng.choice(ODD_ELEMENTS) for _ in range(120)) + "]\n"
+    texts |= {"empty": "[]", "blank": " [ \n ] ", "cut": texts["lines"][:-3], "half": texts["line"][:1001], "object": '{"command":"cc"}', "open": '[{"command":"cc"}'}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_bytes(text.encode())
+    whole = spark.createDataFrame(list(texts.items()), "path string, body string")
+    want_good, want_bad = readers.parse_compile_db(whole)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        good, bad = readers.read_compile_db(spark, str(tmp_path))
+        name = F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("path")
+        got_good, got_bad = rows(good.withColumn("path", name), *want_good.columns), rows(bad.select(name, "value", "reason"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got_good == rows(want_good)
+    assert got_bad == rows(want_bad.withColumn("value", F.when(F.col("reason") != "NotAnArray", F.col("value"))))
+    assert {r[0] for r in got_bad if r[2] == "NotAnArray"} == {"cut", "half", "object", "open"}
