@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.operators import corpus, findings as fnd, history, variables
+from codestrata.operators import corpus, findings as fnd, history, variables, symbols
 from codestrata.plans import jobs
 from codestrata.queries import Catalog, table
 from codestrata.queries.corpus import _ir_listings, _symbol_dumps
@@ -126,6 +126,31 @@ def ir_lines_read(spark, d):
     return read.groupBy(module.alias("module")).agg((F.max("line_no") + 1).alias("lines"))
 
 
+@query(
+    """
+    SELECT 'lib' || s_suppkey || '.so' AS library, count(l_partkey) FILTER (WHERE s_acctbal >= 0) AS symbols,
+           CAST(sum(l_partkey) FILTER (WHERE s_acctbal >= 0) AS BIGINT) AS size, CASE WHEN s_acctbal < 0 THEN 'io_error' END AS error
+    FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey, s_acctbal
+    """
+)
+def symbol_files(spark, d):
+    """A symbol listing in a file for each supplier, read back and parsed; those in debt have a blank one."""
+    path = work_path(spark, "symbols")
+    owners = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") < 0).alias("blank"))
+    titles = owners.select("l_suppkey", F.lit(-1).cast("bigint").alias("n"), F.when(F.col("blank"), "").otherwise("Symbol table '.symtab'").alias("line"))
+    number = F.concat_ws("_", "l_orderkey", "l_linenumber")
+    line = F.concat_ws(" ", F.lit("   1:"), F.lpad(F.hex("l_orderkey"), 16, "0"), F.col("l_partkey"), F.lit("FUNC GLOBAL DEFAULT 7"), F.concat(F.lit("order_"), number))
+    items = table(spark, d, "lineitem").join(owners.where(~F.col("blank")), "l_suppkey").select("l_suppkey", F.col("l_orderkey").alias("n"), line.alias("line"))
+    lines = titles.union(items).withColumn("library", F.concat(F.lit("lib"), "l_suppkey", F.lit(".so")))
+    lines.repartition("library").sortWithinPartitions("library", "n").select("library", "line").write.partitionBy("library").text(path)
+    listings, empty = readers.read_symbol_dumps(spark, path)
+    sizes = symbols.parse_symbols(listings).groupBy("library").agg(F.count(F.lit(1)).alias("symbols"), F.sum("size").cast("bigint").alias("size"))
+    found = symbols.libraries(listings).select("library").join(sizes, "library", "left")
+    found = found.select("library", F.coalesce("symbols", F.lit(0)).alias("symbols"), "size", F.lit(None).cast("string").alias("error"))
+    both = found.union(empty.select("path", F.lit(0).cast("bigint"), F.lit(None).cast("bigint"), "error"))
+    return both.withColumn("library", F.regexp_extract("library", "library=([^/]+)/", 1))
+
+
 @query("""SELECT '{"file":' || to_json(source) || ',"report":{"n":' || count(*) || '}}' AS value FROM documents GROUP BY source""")
 def report_lines(spark, d):
     counted = table(spark, d, "documents").groupBy(F.col("source").alias("file")).agg(F.count(F.lit(1)).alias("n"))
