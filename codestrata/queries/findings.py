@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codestrata.functions.text import clean_code, clean_id, extract, extract_number
 from codestrata.operators import findings as fnd
 from codestrata.queries import Catalog, table
+from codestrata.session import work_path
 from codestrata.sources.readers import keep_with_key
 
 CATALOG = Catalog()
@@ -169,6 +170,40 @@ def findings_distinct_ids(spark, d):
     return fnd.distinct_ids(fnd.extract_id(table(spark, d, "part"), "p_brand", r"(Brand#\d+)", "brand"), "brand")
 
 
+@query(
+    """
+    SELECT event_type AS kind, strftime(ts, '%Y-%m') AS period, count(DISTINCT user_id) AS ids, true AS close FROM events GROUP BY ALL
+    UNION ALL SELECT 'all', strftime(ts, '%Y-%m'), count(DISTINCT user_id), true FROM events GROUP BY ALL
+    UNION ALL SELECT event_type, 'all', count(DISTINCT user_id), true FROM events GROUP BY ALL
+    """
+)
+def distinct_by_period(spark, d):
+    """Distinct users of each kind and month, of each month and of each kind, from sketches of days that three batches
+    added, one of them twice; next to the exact number, whether the estimate is within 5 % of it."""
+    events = table(spark, d, "events").select(F.col("event_type").alias("kind"), F.to_date("ts").alias("day"), "user_id", "event_id")
+    days = fnd.DistinctTable(spark, work_path(spark, "sketches"), ["kind"])
+    for part in (0, 1, 2, 0):
+        days.add(events.where(F.col("event_id") % 3 == part), "user_id")
+    month = F.date_format("day", "yyyy-MM")
+    every = F.lit("all")
+    estimates = [
+        days.count(period=month, out="estimate"),
+        days.count(by=[], period=month, out="estimate").withColumn("kind", every),
+        days.compact(work_path(spark, "sketches")).count(out="estimate").withColumn("period", every),
+    ]
+    exact = [
+        events.groupBy("kind", month.alias("period")),
+        events.groupBy(every.alias("kind"), month.alias("period")),
+        events.groupBy("kind", every.alias("period")),
+    ]
+    columns = ["kind", "period"]
+    found = estimates[0].unionByName(estimates[1]).unionByName(estimates[2])
+    counts = [e.agg(F.count_distinct("user_id").alias("ids")) for e in exact]
+    counts = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    close = F.abs(F.col("estimate") - F.col("ids")) <= 1 + 0.05 * F.col("ids")
+    return counts.join(found, columns, "full").select(*columns, "ids", close.alias("close"))
+
+
 @query(r"SELECT nullif(regexp_extract(p_brand, '(Brand#\d+)', 1), '') AS brand, count(*) AS occurrences FROM part GROUP BY 1")
 def findings_id_counts(spark, d):
     return fnd.id_counts(fnd.extract_id(table(spark, d, "part"), "p_brand", r"(Brand#\d+)", "brand"), "brand")

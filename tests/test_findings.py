@@ -139,3 +139,22 @@ def test_rejected_lines_are_returned(spark, rows):
     good, bad = readers.parse_findings(df)
     assert rows(good, "n", "cweID", "time") == [(1, "CWE-1", 5), (6, None, None)]
     assert rows(bad, "n", "reason") == [(2, "malformed"), (3, "malformed")]
+
+
+def test_sketches_merge_over_days_groups_and_batches(spark, tmp_path, rows):
+    days = f.DistinctTable(spark, str(tmp_path / "days"), ["kind"])
+    seen = spark.range(6000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("kind"), (F.col("id") % 30).alias("day"), (F.col("id") % 1500).alias("who"))
+    seen = seen.union(spark.createDataFrame([(None, 1, 7), ("a", 1, None)], "kind string, day long, who long"))
+    days.add(seen.where("day < 20"), "who")
+    days.add(seen.where("day >= 10"), "who")
+    one = days.compact(str(tmp_path / "one"))
+    assert one.read().count() == seen.select("kind", "day").distinct().count() < days.read().count()
+    for table in (days, one):
+        for got, want in (
+            (table.count(), seen.groupBy("kind")),
+            (table.count(by=[], period=F.floor(F.col("day") / 7)), seen.groupBy(F.floor(F.col("day") / 7).alias("period"))),
+            (table.count(within=F.col("day") < 3), seen.where("day < 3").groupBy("kind")),
+        ):
+            got, want = rows(got), rows(want.agg(F.count_distinct("who").alias("ids")))
+            assert [r[:-1] for r in got] == [r[:-1] for r in want]
+            assert all(abs(a[-1] - b[-1]) <= 0.04 * b[-1] for a, b in zip(got, want))
