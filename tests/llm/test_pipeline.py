@@ -68,5 +68,5 @@ def test_stages_on_odd_and_empty_tables(spark, odd, tables):
 
 def test_registered():
     names = contract.queries()
-    assert names["pipeline"] is pipeline.run and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert names["pipeline"] is pipeline.run and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
     assert [n for n, _ in pipeline.STAGES] == ["quality", "near_copies", "benchmark_leaks", "source_mix", "token_shards"]
