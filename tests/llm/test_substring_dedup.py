@@ -13,12 +13,13 @@ def text(n, seed):
 
 
 def chunks_of(texts):
-    return [[raw[a:b] for a, b in zip([0, *cut[:-1]], cut)] for raw, cut in ((t.encode(), own_cuts(t)) for t in texts)]
-
-
-def own_cuts(t):
-    for _, data, offsets in textkit.chunks(pa.array([t])):
-        return sd.cuts(data, offsets).tolist()
+    """Each text's chunks, as bytes, when all are read together."""
+    out = [[] for _ in texts]
+    for row, data, offsets in textkit.chunks(pa.array(texts)):
+        c = sd.chunks_of(data, offsets, *textkit.word_spans(data, offsets))
+        for k, start, stop in zip(c.text, c.start, c.stop):
+            out[row + k].append(data[start:stop].tobytes())
+    return out
 
 
 def plain_hashes(raw):
@@ -34,22 +35,22 @@ def test_rolling_hash():
     assert sd.gear_hashes(np.frombuffer(raw, np.uint8)).tolist() == plain_hashes(raw)
 
 
-def test_cuts_depend_on_the_text_alone_and_keep_their_bounds():
-    texts = [text(200, 2), "", "x", text(3, 3), "a" * 1000, text(500, 4)]
-    for _, data, offsets in textkit.chunks(pa.array(texts)):
-        stops = sd.cuts(data, offsets)
-        for k, t in enumerate(texts):
-            own = [c - offsets[k] for c in stops if offsets[k] < c <= offsets[k + 1]]
-            assert own == (own_cuts(t) if t else [])
-            sizes = np.diff([0, *own])
-            assert sum(sizes) == len(t) and all(s <= sd.MAX_BYTES for s in sizes) and all(s >= sd.MIN_BYTES or before == sd.MAX_BYTES for before, s in zip([0, *sizes], sizes[:-1]))
+def test_chunks_depend_on_the_text_alone_and_cover_it():
+    texts = [text(200, 2), "", "x", text(51, 3), text(50, 4), "a " * 300, text(500, 5)]
+    together = chunks_of(texts)
+    assert together == [chunks_of([t])[0] for t in texts]
+    assert [len(c) > 0 for c in together] == [len(t.split()) >= sd.RUN_WORDS for t in texts]
+    for t, own in zip(texts, together):
+        assert all(c.decode() in t and sd.RUN_WORDS <= len(c.split()) < 2 * sd.RUN_WORDS - sd.SEED_WORDS + 1 for c in own)
+        # every run of words lies in one chunk, and in one only
+        assert sum(len(c.split()) - sd.RUN_WORDS + 1 for c in own) == max(0, len(t.split()) - sd.RUN_WORDS + 1)
 
 
-def test_an_insertion_moves_only_the_cuts_next_to_it():
-    base = text(400, 5)
-    moved = base[:900] + " inserted " + base[900:]
+def test_an_insertion_changes_only_the_chunks_next_to_it():
+    base = text(600, 5)
+    moved = base[:1500] + " inserted " + base[1500:]
     a, b = (set(c) for c in chunks_of([base, moved]))
-    assert len(a - b) <= 6
+    assert len(a & b) > 15 and len(a - b) <= 8 and len(b - a) <= 8
 
 
 def test_repeated_passages_are_found_and_cut(docs):
@@ -62,7 +63,7 @@ def test_repeated_passages_are_found_and_cut(docs):
     assert sorted((str(r.doc_id), r.first_doc) for r in got) == [("2", 1), ("5", 1), ("None", 1)]
     for r in got:
         raw = dict(rows)[r.doc_id].encode()
-        assert raw[r.start : r.stop].decode() in dict(rows)[1] and r.stop - r.start > len(shared) - 2 * sd.MAX_BYTES
+        assert raw[r.start : r.stop].decode() in shared and r.n_words == (59 if r.doc_id == 2 else 60) and r.n_chunks >= 1
     cut = {r.doc_id: r.text for r in sd.substring_dedup(docs(*rows)).collect()}
     assert cut[1] == rows[0][1] and cut[3] == rows[2][1] and cut[4] == rows[3][1] and cut[6] == rows[5][1]
     assert all(len(cut[i]) < len(dict(rows)[i]) - 100 for i in (2, 5, None))
@@ -112,3 +113,29 @@ def test_a_passage_whose_parts_stand_in_other_documents_is_found(docs):
     rows = [(1, f"{text(40, 21)} {phrase} {text(40, 22)}"), (2, " ".join(shared)), (3, f"{text(9, 23)} {' '.join(shared[50:105])}\t{text(9, 24)}"), (4, "one two " * 90), (5, f"{text(30, 25)} {'one two ' * 40}")]
     got = sorted((r.doc_id, r.first_doc, r.n_words) for r in sd.repeated_spans(docs(*rows)).collect())
     assert got == [(3, 2, 55), (5, 4, 80)]
+
+
+def test_texts_that_share_a_doc_id_keep_their_own_spans(docs):
+    shared, more = text(80, 30), text(70, 31)
+    rows = [(1, f"{shared} end"), (2, more), (None, f"{text(20, 32)} {shared}"), (None, f"{text(300, 33)} {more} {text(9, 34)}"), (None, text(200, 35)), (5, f"{text(5, 36)} {more}"), (5, shared), (5, shared)]
+    got = sd.repeated_spans(docs(*rows)).collect()
+    assert sorted((str(r.doc_id), r.first_doc, r.n_words) for r in got) == [("5", 1, 80), ("5", 2, 70), ("None", 1, 80), ("None", 2, 70)]
+    cut = sorted(r.text.strip() for r in sd.substring_dedup(docs(*rows)).collect())
+    left = [rows[0][1], more, text(20, 32), f"{text(300, 33)}  {text(9, 34)}", text(200, 35), text(5, 36), "", ""]
+    assert cut == sorted(left)
+
+
+def test_a_passage_and_a_third_of_all_rows_on_one_id(docs):
+    passage, rows = text(60, 40), []
+    for k in range(150):
+        rows.append((None if k % 3 == 0 else k, f"{text(30, (41, k).__hash__())} {passage if k % 2 else text(60, (42, k).__hash__())} {text(30, (43, k).__hash__())}"))
+    got = sorted((r.doc_id if r.doc_id is not None else sd.NO_ID, r.start, r.stop, r.n_words) for r in sd.repeated_spans(docs(*rows)).collect())
+    own = plain_spans([(sd.NO_ID if i is None else i, t) for i, t in rows])
+    assert got == own and len(got) == 74
+
+
+def test_columns_of_any_name_are_kept(docs):
+    shared = text(60, 50)
+    frame = docs((1, shared), (2, f"x {shared}")).selectExpr("*", "1 AS spans", "2 AS spans_", "3 AS _spans", "4 AS text_hash", "5 AS _doc")
+    got = {r.doc_id: r for r in sd.substring_dedup(frame).collect()}
+    assert got[1].asDict() == {**got[2].asDict(), "doc_id": 1, "text": shared} and got[2].text == "x " and got[2]._doc == 5
