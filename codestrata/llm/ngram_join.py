@@ -19,7 +19,7 @@ from codestrata.llm.storage import ship, shuffle_parts, stored
 FLUSH_HASHES = 1 << 19  # n-gram hashes a task packs at a time
 BLOCK = 512  # documents of one trie
 PROBES = 512  # documents that probe one trie in one task
-TABLE_CELLS = 1 << 22  # of the table of probes against a trie's n-grams, at a time
+TABLE_CELLS = 1 << 20  # n-grams of a trie's edges, times the probes that go down them together
 NO_ID = -(2**63)  # a null id inside packed arrays
 
 _PACKED = pa.schema(
@@ -247,7 +247,8 @@ class Trie:
         Goes down level by level, with many probes side by side. Overlap is counted once for all sets
         that share a path. A probe leaves a subtree when even all that remains, of the probe after its
         last match or of the longest set below, cannot reach what the smallest set there needs."""
-        step = max(1, TABLE_CELLS // max(1, len(self.known)))
+        # A level's edges hold at most all of the trie's n-grams, which near copies repeat: `known` is far fewer.
+        step = max(1, TABLE_CELLS // max(1, len(self.grams)))
         for a in range(0, len(probes) if len(self.known) else 0, step):
             who, what = self._descend(probes[a : a + step], np.asarray(sizes[a : a + step]), percent)
             yield who + a, self.order[what]
