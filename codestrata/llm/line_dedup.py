@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codestrata.llm.storage import new_dir, ship, shuffle_parts
+from codestrata.llm.storage import new_dir, ship, shuffle_parts, stored
 from codestrata.llm.textkit import mix
 
 MIN_CHARS = 10
@@ -18,6 +18,7 @@ BLANKS = b" \t\n\x0b\x0c\r"
 NO_ID = 2**63 - 1  # stands for a null doc_id: after all others
 SLOTS = 4
 KICKS = 500
+SHARD_LINES = 1_000_000
 
 
 class CuckooFilter:
@@ -136,10 +137,12 @@ class ShardFilter:
         self.parts.append(opened)
 
     def delete(self, hashes: np.ndarray) -> None:
-        for part in self.parts:
-            held = part.contains(hashes)
-            part.delete(hashes[held])
-            hashes = hashes[~held]
+        """Remove hashes that were added. The part that holds a hash always says so; where a second one
+        seems to, neither is touched: a fingerprint too many costs a false alarm, one too few a miss."""
+        held = np.array([part.contains(hashes) for part in self.parts]).reshape(len(self.parts), len(hashes))
+        sure = held.sum(axis=0) == 1
+        for part, own in zip(self.parts, held):
+            part.delete(hashes[own & sure])
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -171,7 +174,7 @@ def _probe(keys: pa.Table, filters: pa.Table) -> pa.Table:
     seen = np.zeros(len(keys), bool)
     if len(filters) and len(keys):
         seen = ShardFilter(filters["filter"][0].as_py()).contains(_hashes(keys))
-    return pa.table({"key": keys["key"].cast(pa.binary()), "seen": pa.array(seen, pa.bool_())})
+    return pa.table({"key": keys["key"].cast(pa.binary()), "shared": keys["shared"], "seen": pa.array(seen, pa.bool_())})
 
 
 def _update(changes: pa.Table, filters: pa.Table) -> pa.Table:
@@ -187,15 +190,19 @@ def _update(changes: pa.Table, filters: pa.Table) -> pa.Table:
 class LineIndex:
     """Which lines are held by which documents, in a folder on shared storage.
 
-    refs-n      (key, doc_id, change): lines of documents, change 1 when added, -1 when deleted.
+    refs-n      (key, doc_id, change): lines of documents, change 1 when added, below 0 when deleted.
+    repeats-n   keys of a batch that two of its documents hold or that the filters may hold.
     filters-n   after n changes: for each shard of the keys, cuckoo filters of the keys with a reference.
 
-    A new batch asks the filters first; only keys that they may hold meet the stored references.
+    A new batch asks the filters first; only keys that they may hold meet the stored references, and
+    only `repeats` do when documents are cleaned. The number of shards follows from the first batch,
+    SHARD_LINES references to one, unless it is given.
     """
 
     def __init__(self, spark: SparkSession, folder: str, shards: int | None = None):
-        self.spark, self.folder, self.shards = spark, folder.rstrip("/"), shards or shuffle_parts(spark)
+        self.spark, self.folder, self.shards = spark, folder.rstrip("/"), shards
         self.version = 0
+        self.added: list[int] = []  # the versions that are batches of documents
         ship(spark)
 
     def _shard(self):
@@ -206,19 +213,32 @@ class LineIndex:
             return self.spark.createDataFrame([], "shard int, filter binary")
         return self.spark.read.schema("shard int, filter binary").parquet(f"{self.folder}/filters-{self.version}")
 
-    def references(self, version: int | None = None) -> DataFrame:
-        """Live (key, doc_id), exact; as of a version."""
-        version = self.version if version is None else version
-        if not version:
-            return self.spark.createDataFrame([], "key binary, doc_id long")
-        paths = [f"{self.folder}/refs-{k}" for k in range(1, version + 1)]
-        log = self.spark.read.schema("key binary, doc_id long, change int").parquet(*paths)
-        return log.groupBy("key", "doc_id").agg(F.sum("change").alias("n")).where("n > 0").select("key", "doc_id")
+    def _log(self, versions: int) -> DataFrame:
+        if not versions:
+            return self.spark.createDataFrame([], "key binary, doc_id long, change int")
+        paths = [f"{self.folder}/refs-{k}" for k in range(1, versions + 1)]
+        return self.spark.read.schema("key binary, doc_id long, change int").parquet(*paths)
+
+    def references(self, version: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """Live (key, doc_id, n), exact; as of a version; of some distinct keys only.
+
+        Rows of those keys are stored before they are summed: their join is one of plain shuffles, which adaptive
+        execution may split, and the sums then shuffle by key and document."""
+        log = self._log(self.version if version is None else version)
+        if keys is not None:
+            log = stored(log.join(keys, "key", "left_semi"), "lines-asked")
+        return log.groupBy("key", "doc_id").agg(F.sum("change").cast("int").alias("n")).where("n > 0")
 
     def holders(self) -> DataFrame:
         """(key, first_doc, last_doc) of live keys: the exact counts behind the filters."""
         return self.references().groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
+    def repeats(self) -> DataFrame:
+        """Keys that a batch or the filters reported as held by several documents; all such keys and some more."""
+        if not self.added:
+            return self.spark.createDataFrame([], "key binary")
+        return self.spark.read.schema("key binary").parquet(*(f"{self.folder}/repeats-{k}" for k in self.added)).distinct()
+
     def _advance(self, changed: DataFrame) -> None:
         """Write the next version of the filters. changed: (key, change)."""
         rows = changed.withColumn("shard", self._shard())
@@ -226,11 +246,11 @@ class LineIndex:
         new.write.parquet(f"{self.folder}/filters-{self.version + 1}")
         self.version += 1
 
-    def _log(self, changes: DataFrame) -> DataFrame:
-        """Append (key, doc_id, change) to the references; the distinct keys."""
+    def _write(self, changes: DataFrame) -> DataFrame:
+        """Append (key, doc_id, change) to the references and read them."""
         path = f"{self.folder}/refs-{self.version + 1}"
         changes.write.parquet(path)
-        return self.spark.read.schema("key binary").parquet(path).distinct()
+        return self.spark.read.schema("key binary, doc_id long, change int").parquet(path)
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Insert documents whose doc_ids the index does not hold yet.
@@ -240,18 +260,29 @@ class LineIndex:
         stored references, which settles its false alarms."""
         picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         refs = picked.mapInArrow(_references, "key binary, doc_id long").withColumn("change", F.lit(1))
-        keys = self._log(refs)
+        refs = self._write(refs)
+        if self.shards is None:
+            self.shards = max(shuffle_parts(self.spark), -(-refs.count() // SHARD_LINES))
+        keys = refs.groupBy("key").agg((F.min("doc_id") < F.max("doc_id")).alias("shared"))
         if self.version:
             asked = keys.withColumn("shard", self._shard())
-            told = asked.groupBy("shard").cogroup(self._filters().groupBy("shard")).applyInArrow(_probe, "key binary, seen boolean")
-            held = self.references().join(told.where("seen").select("key"), "key", "left_semi").select("key").distinct()
-            keys = keys.join(held, "key", "left_anti")
-        self._advance(keys.withColumn("change", F.lit(1)))
+            keys = asked.groupBy("shard").cogroup(self._filters().groupBy("shard")).applyInArrow(_probe, "key binary, shared boolean, seen boolean")
+        else:
+            keys = keys.withColumn("seen", F.lit(False))
+        keys = stored(keys, "lines-told")
+        keys.where("shared or seen").select("key").write.parquet(f"{self.folder}/repeats-{self.version + 1}")
+        fresh = keys.where("not seen").select("key")
+        if self.version:  # false alarms: seen by a filter, but without a live reference
+            alarms = keys.where("seen").select("key")
+            fresh = fresh.union(alarms.join(self.references(keys=alarms).select("key").distinct(), "key", "left_anti"))
+        self.added.append(self.version + 1)
+        self._advance(fresh.withColumn("change", F.lit(1)))
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take back documents (one column of doc_ids): a key that no document holds any more leaves its filter."""
         named = doc_ids.select(F.coalesce(F.col(doc_ids.columns[0]).cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct()
-        touched = self._log(self.references().join(named, "doc_id", "left_semi").select("key", "doc_id", F.lit(-1).alias("change")))
+        gone = self.references().join(named, "doc_id", "left_semi").select("key", "doc_id", (-F.col("n")).alias("change"))
+        touched = self._write(gone).select("key").distinct()
         live = self.references(self.version + 1).select("key").distinct()
         self._advance(touched.join(live, "key", "left_anti").withColumn("change", F.lit(-1)))
 
@@ -264,35 +295,42 @@ class LineIndex:
         line (and stays null or empty). Rows that repeat a doc_id are one document here: each keeps
         what the document keeps. All rows with a null doc_id are one document after all others.
         Other columns pass through, but for those named n_lines and n_dropped. An empty table gives no rows.
+
+        Only keys in `repeats` meet the references. What they decide is stored, so that the join of a line
+        held by a third of all documents is one of plain shuffles.
         """
-        docs = docs.drop(*({"n_lines", "n_dropped", "_drop", "_doc"} & set(docs.columns)))
-        repeated = self.holders().where("first_doc <> last_doc").select("key", "first_doc")
-        drops = self.references().join(repeated, "key").where("doc_id <> first_doc")
-        drops = drops.groupBy("doc_id").agg(F.collect_list("key").alias("_drop")).withColumnRenamed("doc_id", "_doc")
-        joined = docs.join(drops, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("_doc"), "left").select(docs["*"], "_drop")
+        docs = docs.drop(*({"n_lines", "n_dropped"} & set(docs.columns)))
+        mark = "_" * max(map(len, docs.columns))  # longer than any of their names
+        gone, doc = f"{mark}_gone", f"{mark}_doc"
+        live = stored(self.references(keys=self.repeats()).select("key", "doc_id"), "lines-live")
+        repeated = live.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+        repeated = stored(repeated.where("first_doc <> last_doc").select("key", "first_doc"), "lines-repeated")
+        drops = live.join(repeated, "key").where("doc_id <> first_doc")
+        drops = drops.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("key").alias(gone))
+        joined = docs.join(drops, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(doc), "left").drop(doc)
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return joined.mapInArrow(_clean(text_col), f"{fields}, n_lines long, n_dropped long")
+        return joined.mapInArrow(_clean(text_col, gone), f"{fields}, n_lines long, n_dropped long")
 
 
-def _clean(text_col: str):
+def _clean(text_col: str, gone: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, len(whole), 512):
                 batch = whole.slice(a, 512)
                 at = batch.schema.get_field_index(text_col)
                 texts, lines, dropped = [], [], []
-                for text, drop in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch["_drop"].to_pylist()):
+                for text, drop in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch[gone].to_pylist()):
                     own = (text or b"").split(b"\n")
                     lines.append(len(own))
                     if drop:
-                        gone = set(drop)
-                        kept = [x for x in own if line_key(x) not in gone]
+                        lost = set(drop)
+                        kept = [x for x in own if line_key(x) not in lost]
                         texts.append(b"\n".join(kept))
                         dropped.append(len(own) - len(kept))
                     else:
                         texts.append(text)
                         dropped.append(0)
-                columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n != "_drop"}
+                columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n != gone}
                 columns[text_col] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
                 columns |= {"n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
                 yield pa.RecordBatch.from_pydict(columns)
@@ -301,7 +339,11 @@ def _clean(text_col: str):
 
 
 def line_dedup(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Index `docs` in `folder` (a new one in the shared folder by default) and clean them."""
+    """Index `docs` in `folder` (a new one in the shared folder by default) in two batches, the lower and the
+    upper half of the doc_ids (null ids with the upper), and clean them."""
     index = LineIndex(docs.sparkSession, folder or new_dir(docs.sparkSession, "lines"))
-    index.add(docs)
+    middle = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), 0.5)).first()[0]
+    lower = F.coalesce(F.col("doc_id").cast("long") <= F.lit(middle), F.lit(False))
+    index.add(docs.where(lower))
+    index.add(docs.where(~lower))
     return index.clean(docs)

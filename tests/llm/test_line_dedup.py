@@ -66,6 +66,44 @@ def test_batches_and_deletions_leave_what_one_batch_would(spark, docs, tmp_path)
     assert sum(np.count_nonzero(p.table) for f in filters.values() for p in f.parts) == len(held)
 
 
+def test_the_filters_decide_what_meets_the_references(docs, monkeypatch):
+    # Without the filters' word on the second batch, lines that only one of its documents holds would stay.
+
+    def blind(keys, filters):
+        return ld.pa.table({"key": keys["key"].cast(ld.pa.binary()), "shared": keys["shared"], "seen": ld.pa.array([False] * len(keys))})
+
+    monkeypatch.setattr(ld, "_probe", blind)
+    assert result(ld.line_dedup(docs((1, LONG), (2, "x"), (3, LONG)))) == [(1, LONG, 1, 0), (2, "x", 1, 0), (3, LONG, 1, 0)]
+    monkeypatch.undo()
+    assert result(ld.line_dedup(docs((1, LONG), (2, "x"), (3, LONG)))) == [(1, LONG, 1, 0), (2, "x", 1, 0), (3, "", 1, 1)]
+
+
+def test_repeated_rows_are_deleted_whole(spark, docs, tmp_path):
+    index = ld.LineIndex(spark, str(tmp_path))
+    index.add(docs((1, LONG), (1, LONG), (2, LONG)))
+    index.delete(docs((1, "")).select("doc_id"))
+    assert result(index.clean(docs((2, LONG)))) == [(2, LONG, 1, 0)]
+
+
+def test_columns_with_any_names_pass_through(docs):
+    frame = docs((1, LONG), (2, LONG)).withColumnsRenamed({"row": "_drop", "source": "_doc"})
+    got = ld.line_dedup(frame)
+    assert got.columns == ["doc_id", "text", "_doc", "_drop", "size", "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.text, r._drop) for r in got.collect()) == [(1, LONG, "x"), (2, "", "x")]
+
+
+def test_deletion_never_takes_a_fingerprint_of_another_part():
+    rng = np.random.default_rng(1)
+    first = np.unique(rng.integers(0, 2**64, 200, dtype=np.uint64))
+    later = first ^ np.uint64(1 << 40)  # same fingerprints, same buckets: each part seems to hold both
+    held = ld.ShardFilter()
+    held.insert(first)
+    held.parts.append(ld.CuckooFilter(ld.buckets_for(len(later))))
+    assert held.parts[-1].insert(later)
+    held.delete(later)
+    assert held.contains(first).all()
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 2**64, 6000, dtype=np.uint64))
