@@ -39,17 +39,20 @@ class DigestIndex:
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS {place}"
         )
 
-    def fresh(self, keyed: DataFrame) -> DataFrame:
-        """Entries (digest, keep_id) of the digests that the index does not hold, by sort-merge anti join."""
-        groups = keyed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
-        return groups.join(self.read().hint("merge"), "digest", "left_anti")
+    def fresh(self, entries: DataFrame) -> DataFrame:
+        """Those of `entries` (digest, keep_id; a digest once) that the index does not hold, by sort-merge anti join."""
+        return entries.join(self.read().hint("merge"), "digest", "left_anti")
 
     def add(self, keyed: DataFrame) -> None:
-        """Append the new digests of a batch (doc_id, digest), each with its smallest doc_id."""
+        """Append the new digests of a batch (doc_id, digest), each with its smallest doc_id.
+
+        Groups are stored before they meet the index: the optimizer would move the anti join below an
+        aggregate, and the rows of a large group would go to one task unsummed."""
         self.create(keyed.schema["doc_id"].dataType.simpleString())
+        entries = stored(keyed.groupBy("digest").agg(F.min("doc_id").alias("keep_id")), "digests-batch")
         (
             # One task writes one bucket, so a batch adds one file to each.
-            self.fresh(keyed).repartition(self.buckets, "digest")
+            self.fresh(entries).repartition(self.buckets, "digest")
             .write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.table)
         )
 

@@ -220,7 +220,7 @@ class LineIndex:
         return self.spark.read.schema("key binary, doc_id long, change int").parquet(*paths)
 
     def references(self, version: int | None = None, keys: DataFrame | None = None) -> DataFrame:
-        """Live (key, doc_id, n), exact; as of a version; of some distinct keys only.
+        """Live (key, doc_id, n), exact; as of a version; of some keys only.
 
         Rows of those keys are stored before they are summed: their join is one of plain shuffles, which adaptive
         execution may split, and the sums then shuffle by key and document."""
@@ -234,10 +234,11 @@ class LineIndex:
         return self.references().groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
     def repeats(self) -> DataFrame:
-        """Keys that a batch or the filters reported as held by several documents; all such keys and some more."""
+        """Keys that a batch or the filters reported as held by several documents, once for each batch that did;
+        all such keys and some more."""
         if not self.added:
             return self.spark.createDataFrame([], "key binary")
-        return self.spark.read.schema("key binary").parquet(*(f"{self.folder}/repeats-{k}" for k in self.added)).distinct()
+        return self.spark.read.schema("key binary").parquet(*(f"{self.folder}/repeats-{k}" for k in self.added))
 
     def _advance(self, changed: DataFrame) -> None:
         """Write the next version of the filters. changed: (key, change)."""
