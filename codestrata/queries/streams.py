@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from codestrata.queries import Catalog, table
 from codestrata.session import work_path
 from codestrata.sources.readers import stream_findings
-from codestrata.sources.writers import append_stream
-from codestrata.streaming.logs import check_records, drain_to_table, finding_counts, read_drained, run_status, windowed_counts
+from codestrata.sources.writers import append_stream, write_findings
+from codestrata.streaming.logs import check_records, drain_to_table, drain_windows, finding_counts, read_drained, read_windows, run_status, windowed_counts
 
 CATALOG = Catalog()
 query = CATALOG.add
@@ -75,6 +75,37 @@ def stream_windows(spark, d):
     return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), F.col("repo").alias("cwe_id"), "cwe_id_occur")
 
 
+@query(
+    """
+    WITH e AS (SELECT event_type AS cwe_id, ts, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day,
+                      least(3, (day(ts) + CASE WHEN event_id % 10 = 0 THEN 5 ELSE 0 END) // 8) AS arrival
+               FROM events WHERE event_type <> 'signup'),
+    c AS (SELECT a.arrival, max(e.ts) AS newest FROM (SELECT DISTINCT arrival FROM e) a LEFT JOIN e ON e.arrival < a.arrival GROUP BY 1),
+    m AS (SELECT cwe_id, day, coalesce(day + INTERVAL 1 DAY <= newest - INTERVAL 2 DAY, false) AS late FROM e JOIN c USING (arrival))
+    SELECT strftime(day, '%Y-%m-%d') AS day, cwe_id, count(*) FILTER (NOT late) AS cwe_id_occur, count(*) FILTER (late) AS late_occur,
+           day + INTERVAL 1 DAY <= (SELECT max(ts) FROM e) - INTERVAL 2 DAY AS closed
+    FROM m GROUP BY m.day, cwe_id
+    """
+)
+def stream_late(spark, d):
+    """Events per day and kind, arriving in four deliveries; each tenth event is delivered as if five days later.
+
+    Windows of a day close two days after their end; what comes later is counted apart."""
+    delay = F.when(F.col("event_id") % 10 == 0, 5).otherwise(0)
+    findings = table(spark, d, "events").select(
+        F.when(F.col("event_type") != "signup", F.concat(F.lit("CWE-1 "), F.col("event_type"))).alias("cweID"),
+        F.concat(F.lit("/data/micros/"), F.col("event_type"), F.lit("/a.c")).alias("fileName"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("time"),
+        F.least(F.lit(3), F.floor((F.dayofmonth("ts") + delay) / 8)).alias("arrival"),
+    )
+    log, result, state = work_path(spark, "log"), work_path(spark, "late"), work_path(spark, "state")
+    for delivery in range(4):
+        write_findings(findings.where(F.col("arrival") == delivery).drop("arrival"), log)
+        drain_windows(stream_findings(spark, log), result, "2 days", "1 day", state).awaitTermination()
+    counts = read_windows(spark, result, "2 days")
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), F.col("repo").alias("cwe_id"), "cwe_id_occur", "late_occur", "closed")
+
+
 @query(
     """
     SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'WrongFieldValueType' WHEN 2 THEN 'UnknownField' WHEN 3 THEN 'NoCommand' END AS reason

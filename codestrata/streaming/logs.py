@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codestrata.operators.commands import check_records
@@ -77,3 +77,55 @@ def read_drained(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFra
     rest = [c for c in rows.columns if c not in keys and c != "batch"]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch").cast("bigint")).alias("_row"))
     return last.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
+def drain_windows(findings: DataFrame, path: str, lateness: str, window: str = "1 hour", checkpoint: str | None = None) -> StreamingQuery:
+    """Count a stream by event-time window, and what comes too late for its window apart, over what is available.
+
+    A window closes when it ended ``lateness`` before the newest event of earlier batches; a row of a closed
+    window is late. Each batch writes its own sums, and the newest event so far, to folders of its
+    own; so nothing stays in memory between batches, and a batch tried again finds the same clock and replaces
+    what it left. ``read_windows`` sums them. Rows without a time have no window (``untimed_counts``).
+    """
+
+    def book(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = spark.read.parquet(f"{path}/clock/batch={batch_id - 1}").first().newest if batch_id else None
+        clock = F.lit(known).cast("timestamp")
+        sums = (
+            finding_rows(batch).withColumn("ts", F.timestamp_millis("time"))
+            .groupBy(F.window("ts", window), "repo", "cwe_id")
+            .agg(F.count(F.lit(1)).alias("occur"), F.max("ts").alias("newest"))
+            .withColumn("late", F.coalesce(_closed(clock, lateness), F.lit(False)))
+        )
+        sums.write.mode("overwrite").parquet(f"{path}/sums/batch={batch_id}")
+        written = spark.read.schema(sums.schema).parquet(f"{path}/sums/batch={batch_id}")
+        newest = written.agg(F.greatest(F.max("newest"), clock).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{path}/clock/batch={batch_id}")
+
+    return (
+        findings.writeStream.option("checkpointLocation", checkpoint or work_path(findings.sparkSession, "state"))
+        .foreachBatch(book)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def _closed(clock: Column, lateness: str) -> Column:
+    return F.col("window.end") <= clock - F.expr(f"INTERVAL {lateness}")
+
+
+def read_windows(spark: SparkSession, path: str, lateness: str) -> DataFrame:
+    """What ``drain_windows`` keeps: ``window, repo, cwe_id, cwe_id_occur, late_occur, closed``.
+
+    ``cwe_id_occur`` of a closed window is final; with ``late_occur`` it is the count of a batch over the whole log."""
+    newest = spark.read.parquet(f"{path}/clock/batch=*").agg(F.max("newest")).first()[0]
+    sums = spark.read.parquet(f"{path}/sums/batch=*")
+    return (
+        sums.groupBy("window", "repo", "cwe_id")
+        .agg(
+            F.sum(F.when(F.col("late"), 0).otherwise(F.col("occur"))).alias("cwe_id_occur"),
+            F.sum(F.when(F.col("late"), F.col("occur")).otherwise(0)).alias("late_occur"),
+        )
+        .withColumn("closed", F.coalesce(_closed(F.lit(newest).cast("timestamp"), lateness), F.lit(False)))
+    )

@@ -39,6 +39,33 @@ def test_windowed_counts(spark, tmp_path, rows):
     assert got.select("window").distinct().count() == 4
 
 
+def test_late_rows_are_counted_apart(spark, tmp_path, rows):
+    log, path, marks = tmp_path / "log", str(tmp_path / "t"), str(tmp_path / "marks")
+    log.mkdir()
+    late = [0, 0, 60, 0]  # rows of each delivery whose hour closed before
+    for n, (first, last) in enumerate([(0, 60), (60, 400), (0, 120), (400, 460)]):
+        write_log(log / f"{n}.json", first, last)
+        logs.drain_windows(readers.stream_findings(spark, str(log)), path, "1 hour", "1 hour", marks).awaitTermination()
+        got = logs.read_windows(spark, path, "1 hour")
+        batch = logs.windowed_counts(readers.read_findings(spark, str(log)), "1 hour")
+        pick = [F.col("window.start").alias("s"), "repo", "cwe_id"]
+        assert rows(got.select(*pick, (F.col("cwe_id_occur") + F.col("late_occur")).alias("n"))) == rows(batch.select(*pick, F.col("cwe_id_occur").alias("n")))
+        assert got.agg(F.sum("late_occur")).first()[0] == sum(late[: n + 1])
+    assert {(r.s.hour, r.closed) for r in got.select(F.col("window.start").alias("s"), "closed").collect()} == {(h, h < 6) for h in range(8)}
+    assert rows(got.where("closed").select(*pick, "cwe_id_occur")) == rows(
+        logs.windowed_counts(readers.read_findings(spark, [str(log / "0.json"), str(log / "1.json"), str(log / "3.json")]), "1 hour").where("window.end <= timestamp'1970-01-01 06:00:00'").select(*pick, "cwe_id_occur")
+    )
+
+
+def test_a_batch_tried_again_finds_the_same_clock(spark, tmp_path, rows):
+    log, path = tmp_path / "log", str(tmp_path / "t")
+    log.mkdir()
+    write_log(log / "0.json", 0, 200)
+    for marks in ("first", "again"):  # a lost checkpoint repeats batch 0
+        logs.drain_windows(readers.stream_findings(spark, str(log)), path, "1 hour", "1 hour", str(tmp_path / marks)).awaitTermination()
+        assert logs.read_windows(spark, path, "1 hour").agg(F.sum("cwe_id_occur"), F.sum("late_occur")).first() == (100, 0)
+
+
 EVENTS = [("a", 0, "Init"), ("a", 1, "OpeningFile"), ("a", 2, "Done"), ("b", 0, "Init"), ("b", 1, "EncounterError"), ("b", 2, "AnalyzingFile"), ("c", 0, "Init")]
 
 
