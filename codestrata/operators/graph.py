@@ -146,27 +146,45 @@ def call_degree(edges: DataFrame, by: Sequence[str] = ("module",)) -> DataFrame:
 
 
 def call_paths(edges: DataFrame, roots: DataFrame, by: Sequence[str] = ("module",), max_depth: int | None = None) -> DataFrame:
-    """A shortest call path from a root to each reachable function.
+    """A shortest call path from a root to each reachable function: ``(by, function, path)``.
 
-    Breadth first: a function is entered once, with the smallest of its shortest paths, so
-    cycles end by themselves and the result has one row per function. ``roots(by, function)``.
+    Breadth first: a function is entered once, from the smallest of its callers that are one step
+    nearer to a root, so cycles end by themselves and the result has one row per function. Rounds carry a
+    function and its parent only; the paths are put together at the end by doubling, in about log2 of the
+    depth joins. ``roots(by, function)``.
     """
     by = list(by)
     hops = stored(edges.select(*by, F.col("caller").alias("function"), "callee").distinct())
+    entered = hops.schema["function"].dataType
     frontier = stored(
-        roots.select(*by, "function", F.array("function").alias("path")).dropDuplicates([*by, "function"])
+        roots.select(*by, F.col("function").cast(entered).alias("function"), F.lit(None).cast(entered).alias("parent")).dropDuplicates([*by, "function"])
     )
     hot = hot_keys(hops, [*by, "function"])
-    reached, depth = frontier, 0
-    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
-        depth += 1
-        # the path of a function grows by one name per round, never the number of rows
+    reached, depth = frontier, 0  # depth: of the deepest function reached
+    while max_depth is None or depth < max_depth:
         step = (
-            salted_join(hops, frontier, [*by, "function"], "inner", hot)
+            salted_join(hops, frontier.select(*by, "function"), [*by, "function"], "inner", hot)
             .groupBy(*by, F.col("callee").alias("function"))
-            .agg(F.min("path").alias("path"))
-            .withColumn("path", F.concat("path", F.array("function")))
+            .agg(F.min("function").alias("parent"))
         )
         frontier = stored(step.join(reached.select(*by, "function"), [*by, "function"], "left_anti"))
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)  # a union of stored rounds
-    return reached
+        depth += 1
+    return _paths_up(reached, by, depth)
+
+
+def _paths_up(tree: DataFrame, by: list[str], depth: int) -> DataFrame:
+    """``tree`` (by, function, parent; no cycles, at most ``depth`` steps from a root) as (by, function, path)."""
+    state = tree.select(*by, "function", F.array("function").alias("path"), F.col("parent").alias("_above"))
+    for turn in range(depth.bit_length()):  # a path holds up to 2 ** turn functions
+        whole, rest = state.where(F.col("_above").isNull()), state.where(F.col("_above").isNotNull())
+        ahead = state.select(*by, F.col("function").alias("_above"), F.col("path").alias("_front"), F.col("_above").alias("_beyond"))
+        grown = salted_join(rest, ahead, [*by, "_above"], "inner").select(
+            *by, "function", F.concat("_front", "path").alias("path"), F.col("_beyond").alias("_above")
+        )
+        state = grown.unionByName(whole)
+        if turn + 1 < depth.bit_length():
+            state = stored(state, "paths")
+    return state.select(*by, "function", "path")

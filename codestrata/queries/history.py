@@ -345,15 +345,15 @@ def call_degree(spark, d):
                          FROM supplier s JOIN nation n1 ON n1.n_nationkey = s.s_nationkey
                          UNION SELECT DISTINCT s.s_nationkey + 100, s.s_suppkey + 1000 FROM supplier s
                          UNION SELECT DISTINCT l_suppkey + 1000, l_partkey + 1000000 FROM lineitem),
-    r(root, node, depth, path) AS (
-      SELECT r_regionkey, CAST(r_regionkey AS BIGINT), 0, CAST(r_regionkey AS VARCHAR) FROM region
+    r(node, parent, depth, path) AS (
+      SELECT CAST(r_regionkey AS BIGINT), CAST(NULL AS BIGINT), 0, CAST(r_regionkey AS VARCHAR) FROM region
       UNION ALL
-      SELECT r.root, e.b, r.depth + 1, r.path || '>' || e.b FROM r JOIN e ON e.a = r.node)
-    SELECT function, steps FROM (SELECT CAST(node AS BIGINT) AS function, min(depth) AS steps FROM r GROUP BY node)
+      SELECT e.b, r.node, r.depth + 1, r.path || '>' || e.b FROM r JOIN e ON e.a = r.node)
+    SELECT CAST(node AS BIGINT) AS function, min(depth) AS steps, coalesce(arg_min(path, parent), min(path)) AS path FROM r GROUP BY node
     """
 )
 def call_paths(spark, d):
-    """Shortest chains region > nation > supplier > part; every reachable node once."""
+    """Shortest chains region > nation > supplier > part; every reachable node once, with its path."""
     suppliers = table(spark, d, "supplier")
     nations = table(spark, d, "nation")
     lines = table(spark, d, "lineitem")
@@ -366,7 +366,7 @@ def call_paths(spark, d):
     )
     roots = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("function"))
     found = graph.call_paths(graph.call_edges(edges, []), roots, [])
-    return found.select("function", (F.size("path") - 1).alias("steps"))
+    return found.select("function", (F.size("path") - 1).alias("steps"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query(

@@ -101,7 +101,7 @@ def stream_late(spark, d):
     log, result, state = work_path(spark, "log"), work_path(spark, "late"), work_path(spark, "state")
     for delivery in range(4):
         write_findings(findings.where(F.col("arrival") == delivery).drop("arrival"), log)
-        drain_windows(stream_findings(spark, log), result, "2 days", "1 day", state).awaitTermination()
+        drain_windows(stream_findings(spark, log, max_files=None), result, "2 days", "1 day", state).awaitTermination()
     counts = read_windows(spark, result, "2 days")
     return counts.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), F.col("repo").alias("cwe_id"), "cwe_id_occur", "late_occur", "closed")
 

@@ -46,11 +46,10 @@ def parse_findings(lines: DataFrame, column: str = "value") -> tuple[DataFrame,
     return good, written.where(~fine).withColumn("reason", F.lit("malformed"))
 
 
-def stream_findings(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """The same log as an append stream of files."""
-    return (
-        spark.readStream.schema(FINDINGS_SCHEMA).option("maxFilesPerTrigger", max_files).json(path)
-    )
+def stream_findings(spark: SparkSession, path: str, max_files: int | None = 1000) -> DataFrame:
+    """The same log as an append stream of files, ``max_files`` to a batch (None: all there are)."""
+    files = spark.readStream.schema(FINDINGS_SCHEMA)
+    return (files.option("maxFilesPerTrigger", max_files) if max_files else files).json(path)
 
 
 def keep_with_key(lines: DataFrame, key: str, schema: str, column: str = "value") -> DataFrame:

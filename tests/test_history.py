@@ -147,6 +147,15 @@ def test_call_paths_with_cycle(spark, rows):
     assert ("h", 2, 3) in rows(g.call_degree(edges), "function", "callees", "callers")
 
 
+def test_call_paths_are_put_together_over_many_levels(spark, rows):
+    chain = [(i, i + 1) for i in range(9)] + [(9, 0), (4, 20), (3, 20), (20, 21), (30, 21), (None, 22), (23, None)]
+    edges = spark.createDataFrame(chain, "caller int, callee int")
+    roots = spark.createDataFrame([(0,), (0,), (30,)], "function int")
+    want = [(i, list(range(i + 1))) for i in range(10)] + [(20, [0, 1, 2, 3, 20]), (21, [30, 21]), (30, [30])]
+    assert sorted(rows(g.call_paths(edges, roots, []), "function", "path")) == want
+    assert g.call_paths(edges, roots.limit(0), []).count() == 0
+
+
 def test_nested_diff_goes_only_where_ids_differ(spark, rows):
     commits = spark.createDataFrame([("r", 0, "A"), ("r", 1, "B"), ("r", 2, "B"), ("r", 3, "C")], "repo string, ord int, tree_oid string")
     same = [("S", "x", "1", "blob"), ("S", "deep", "D", "tree"), ("D", "y", "2", None)]
