@@ -168,12 +168,15 @@ def shard_starts(spark: SparkSession, folder: str) -> DataFrame:
     return shards.join(parts, "part").select("part", "seq", (F.col("base") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).alias("start"))
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """Read shards back: doc_id, start (ids of all documents before), n_tokens, ids (little-endian u32 bytes)."""
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     shards = spark.read.parquet(folder)
-    placed = shards.join(shard_starts(spark, folder), ["part", "seq"]).select("start", "doc_ids", "shard")
-    return placed.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.join(shard_starts(spark, folder), ["part", "seq"]).select("start", "doc_ids", "shard")
+
+
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Read shards back: doc_id, start (ids of all documents before), n_tokens, ids (little-endian u32 bytes)."""
+    return _placed(spark, folder).mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +186,9 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def token_index(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of the documents read back from `folder`."""
-    return read_tokens(spark, folder).mapInArrow(_check, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """doc_id, start, n_tokens, ids_crc32 of the documents read back from `folder`. The worker that reads a shard also adds up
+    its checks: ids go through one process, not two."""
+    return _placed(spark, folder).mapInArrow(lambda batches: _check(_reader(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def binary_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:

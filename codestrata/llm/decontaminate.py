@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from codestrata.llm import textkit
-from codestrata.llm.storage import ship, stored
+from codestrata.llm.storage import lean, ship, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -247,6 +247,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):
+            lean()
             for batch in batches:
                 ids = batch["doc_id"].to_pylist()
                 rows = [(ids[k], *leak) for k, found in _documents(batch, "text", sent.value) for leak in found]
@@ -269,6 +270,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):
+            lean()
             for batch in batches:
                 clean = np.ones(len(batch), bool)
                 clean[[k for k, _ in _documents(batch, text_col, sent.value)]] = False

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from codestrata.llm import textkit
 from codestrata.llm.components import components
-from codestrata.llm.storage import ship, shuffle_parts, stored
+from codestrata.llm.storage import lean, ship, shuffle_parts, stored
 
 FLUSH_HASHES = 1 << 19  # n-gram hashes a task packs at a time
 BLOCK = 512  # documents of one trie
@@ -97,6 +97,7 @@ def _pack(size: int, slots: int):
         return pa.RecordBatch.from_pylist(out, _PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         rows, ids, marks, sizes, grams, held = [], [], [], [], [], 0
         for batch in batches:
             row, doc, mark = batch["row"].to_numpy(), batch["doc_id"].fill_null(NO_ID).to_numpy(), batch["mark"].to_numpy()
@@ -126,6 +127,7 @@ def _find_shared(slots: int):
     """One slot of n-gram hashes: tells each document which of its hashes another document has."""
 
     def run(table: pa.Table) -> pa.Table:
+        lean()
         known = table["known"].to_numpy()
         through = table.filter(pa.array(known))
         loose = table.filter(pa.array(~known))
@@ -146,6 +148,7 @@ def _gather(percent: int):
     """One slot of documents: their shared hashes, where they are enough for any link."""
 
     def run(table: pa.Table) -> pa.Table:
+        lean()
         heads = table.filter(table["known"])
         rows, ids, marks, sizes = (_arrays(heads, c, np.int64) for c in ("rows", "ids", "marks", "sizes"))
         owner, grams = np.repeat(_arrays(table, "rows", np.int64), _arrays(table, "lens", np.int32)), _arrays(table, "grams", np.uint64)

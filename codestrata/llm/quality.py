@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.llm import textkit
-from codestrata.llm.storage import ship
+from codestrata.llm.storage import lean, ship
 
 MAX_ROWS = 20_000  # labelled rows a model is fitted on at most
 BINS = 32
@@ -217,6 +217,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
 
 def _scorer(model: AdditiveModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for whole in batches:
             at = whole.schema.get_field_index("__text")
             rest = [k for k in range(whole.num_columns) if k != at]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import pathlib
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from codestrata.llm.tokens import forget_coder
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where unset (tests), one beside the warehouse."""
@@ -52,3 +57,12 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(package.parent))
     spark.sparkContext.addPyFile(archive)
     _shipped.add(application)
+
+
+def lean() -> None:
+    """Give back what earlier tasks left in this worker process, which Spark uses again and counts with its
+    executor: a tokenizer and its remembered words, and memory that is free but still held."""
+    forget_coder()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -112,6 +112,11 @@ def word_coder(path: str) -> WordCoder:
     return _loaded(path, state.st_mtime_ns, state.st_size)
 
 
+def forget_coder() -> None:
+    """Let go of the coder that an earlier task of this worker process used."""
+    _loaded.cache_clear()
+
+
 @lru_cache(1)
 def _loaded(path: str, *_state: int) -> WordCoder:
     return WordCoder(path)

@@ -70,3 +70,13 @@ def test_registered():
     names = contract.queries()
     assert names["pipeline"] is pipeline.run and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
     assert [n for n, _ in pipeline.STAGES] == ["quality", "near_copies", "benchmark_leaks", "source_mix", "token_shards"]
+
+
+def test_stages_do_not_keep_the_coder_of_an_earlier_one():
+    from codestrata.llm import storage, tokens
+    from codestrata.llm.queries import vocabulary
+
+    pytest.importorskip("public_tokenizers")
+    tokens.word_coder(vocabulary("word_bpe_49k.json"))
+    storage.lean()
+    assert tokens._loaded.cache_info().currsize == 0
