@@ -12,8 +12,11 @@ import numpy as np
 
 CACHED_WORDS = 200_000  # words a worker remembers
 
-# Letters that NFC leaves alone and whose lower case is one letter: ASCII and Latin-1.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+# Letters that NFC leaves alone and whose lower case is one letter: ASCII and Latin-1. After them ASCII marks but the
+# apostrophe, which may begin an ending: between a letter and white space both vocabularies take them as one piece.
+_LETTER, _MARK = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
+_PLAIN = re.compile(f"({_LETTER}+)({_MARK}*)")
+_TRAILING = re.compile(rf"({_MARK}(?<={_LETTER}{_MARK}){_MARK}*)(?=\s|\Z)")
 _RARE_GAP = re.compile("[\x1c-\x1f]")  # white space to Python only
 _GAPS = re.compile(r"[^\S ]")  # white space other than a space
 
@@ -48,6 +51,16 @@ class _Remembered(dict):
         return ids
 
 
+def _lower(text: str) -> str:
+    """A text of ASCII and Latin-1 in lower case, letter by letter as the library does; others as they are."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class WordCoder:
     """Ids of whole texts exactly as tokenizers' encode(text, add_special_tokens=False) gives them.
 
@@ -92,7 +105,8 @@ class WordCoder:
         if "<|" in text or _RARE_GAP.search(text):
             return self.encode(text)
         if not self.gaps_matter:
-            return b"".join(map(self.words.__getitem__, (text.lower() if text.isascii() else text).split()))
+            # Marks apart from their words: far fewer different words to remember.
+            return b"".join(map(self.words.__getitem__, _TRAILING.sub(r" \1", _lower(text)).split()))
         # Single white space only: a space goes with the word that follows it, a line end stands alone.
         lines = []
         for line in text.split("\n"):

@@ -122,3 +122,18 @@ def test_files_read_back(odd, coders, monkeypatch, shard_ids):
 def test_tokenizers_are_not_in_the_repository():
     here = os.path.dirname(os.path.abspath(__file__))
     assert not any(n in files for _, _, files in os.walk(os.path.join(here, "..", "..", "codestrata")) for n in NAMES)
+
+
+def test_trailing_marks_are_no_words_of_their_own(coders):
+    coder = WordCoder(vocabulary(NAMES[1]))
+    text = "Zorble, zorble. ZORBLE*** zorble&&& \u00c9z\u00fa, it's, don't. x-ray! zorble'. a.\u0338 b,"
+    assert coder.ids(text).tolist() == library(coder, text)
+    assert [w for w in coder.words if w.startswith("zorble")] == ["zorble", "zorble'."]
+
+
+def test_index_goes_through_one_worker(docs, tmp_path):
+    folder = str(tmp_path / "t")
+    bt.write_tokens(docs((1, "one two"), (2, None)), folder, vocabulary(NAMES[1]), 2)
+    index = bt.token_index(docs((0, "")).sparkSession, folder)
+    assert index._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r.doc_id for r in index.collect()) == [1, 2]
