@@ -18,11 +18,13 @@ HELD_OUT, HELD_REST = 5, 1
 END = b""  # the end of a document; no word is empty
 HEAD = 767  # words that the network tells apart, besides the end
 GROUP = 48  # words of a class
+GATHERED = 100_000  # different words that a task counts before it hands their counts on
 COUNTED = 65_536  # most frequent words whose counts go to every task, at most
 STEPS_OF_COUNT = 64
 LONG_WORD = 64  # bytes; longer words are never sent to every task
 HIDDEN = 16
 STREAMS, STEPS = 256, 16  # documents side by side, and words between two weight updates
+SCORED = 512  # documents side by side when nothing is learned
 WINDOW = STREAMS * STEPS
 PIECE = 1024  # words of a long document that are learned from in one go
 POOL = 4_000_000  # words that a task holds at a time
@@ -30,6 +32,7 @@ ROUNDS = 4  # parts of the corpus between two averages of the weights
 RATE = 0.05
 FIRST_SQUARE = 1e-6
 CLIP = 5.0
+NUMBER = np.dtype("<i2")  # of a word, in the bytes of encoded documents
 PIECES = 16  # parts that a task's weights are averaged in
 
 NAMES = ("inputs", "recur", "to_class", "class_bias", "to_word", "word_bias")
@@ -118,11 +121,11 @@ class Network:
         begins with none. With keep, also what learning needs."""
         out = np.empty((*before.shape, HIDDEN), np.float32)
         kept = []
+        begins = fresh.any(axis=1)
         for t in range(len(before)):
-            begins = np.flatnonzero(fresh[t])
-            if len(begins):
+            if begins[t]:
                 state = state.copy()
-                state[begins] = 0
+                state[fresh[t]] = 0
             inputs = self.w["inputs"][before[t]]
             drive = state @ self.w["recur"]
             gates = _sigmoid(inputs[:, : 2 * HIDDEN] + drive[:, : 2 * HIDDEN])
@@ -166,27 +169,33 @@ class Network:
         """One step on a window, its error carried back to the window's first word; the state after it. Targets below 0 are
         past a stream's end."""
         states, kept = self.states(before, fresh, state, True)
+        begins = fresh.any(axis=1)
         real = targets >= 0
         back = np.zeros_like(states)
         if not real.any():
             return states[-1]
         _, grads, back[real] = self.likelihood(states[real], targets[real], True)
-        recur, onward = self.w["recur"], np.zeros_like(state)
-        drives = np.empty((*before.shape, 3 * HIDDEN), np.float32)
-        grads["recur"] = np.zeros_like(recur)
+        # What the error is multiplied by at each word needs no error: for the whole window at once.
+        old, hold, reset, new, drive = map(np.array, zip(*kept))
+        to_hold = (old - new) * hold * (1 - hold)
+        to_reset = drive * reset * (1 - reset)
+        to_new = (1 - hold) * (1 - new * new)
+        onward, back_through = np.zeros_like(state), np.ascontiguousarray(self.w["recur"].T)
+        drives = np.empty((*before.shape, 3 * HIDDEN), np.float32)  # of the recurrent part
+        inner = np.empty_like(to_new)
         for t in range(len(before) - 1, -1, -1):
-            old, hold, reset, new, drive = kept[t]
             error = back[t] + onward
-            inner = error * (1 - hold) * (1 - new * new)
-            d = drives[t]
-            d[:, :HIDDEN] = error * (old - new) * hold * (1 - hold)
-            d[:, HIDDEN : 2 * HIDDEN] = inner * drive * reset * (1 - reset)
-            d[:, 2 * HIDDEN :] = inner
-            through = d.copy()
-            through[:, 2 * HIDDEN :] *= reset
-            grads["recur"] += old.T @ through
-            onward = error * hold + through @ recur.T
-            onward[fresh[t]] = 0
+            d, own = drives[t], np.multiply(error, to_new[t], out=inner[t])
+            np.multiply(error, to_hold[t], out=d[:, :HIDDEN])
+            np.multiply(own, to_reset[t], out=d[:, HIDDEN : 2 * HIDDEN])
+            np.multiply(own, reset[t], out=d[:, 2 * HIDDEN :])
+            onward = d @ back_through
+            error *= hold[t]
+            onward += error
+            if begins[t]:
+                onward[fresh[t]] = 0
+        grads["recur"] = old.reshape(-1, HIDDEN).T @ drives.reshape(-1, 3 * HIDDEN)
+        drives[:, :, 2 * HIDDEN :] = inner  # of the words' part
         flat, where = drives.reshape(-1, 3 * HIDDEN), before.ravel()
         order = np.argsort(where, kind="stable")
         seen, cut = np.unique(where[order], return_index=True)
@@ -210,9 +219,9 @@ class Network:
 LAST = 1 << 20  # marks the last word of a document or piece; no number of a word is as large
 
 
-def streams(sizes: np.ndarray) -> list[list[int]]:
-    """The documents of a pool dealt to STREAMS streams of about equal length, longest first."""
-    heap = [(0, k) for k in range(min(STREAMS, len(sizes)))]
+def streams(sizes: np.ndarray, most: int = STREAMS) -> list[list[int]]:
+    """The documents of a pool dealt to `most` streams of about equal length, longest first."""
+    heap = [(0, k) for k in range(min(most, len(sizes)))]
     out: list[list[int]] = [[] for _ in heap]
     for doc in np.argsort(-sizes, kind="stable"):
         length, k = heapq.heappop(heap)
@@ -228,7 +237,7 @@ def walk(docs: list[np.ndarray], network: Network, learn: bool) -> np.ndarray:
     if learn:
         docs = [doc[k : k + PIECE] for doc in docs for k in range(0, len(doc), PIECE)]
     sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-    dealt = streams(sizes)
+    dealt = streams(sizes, STREAMS if learn else SCORED)
     length = np.array([sizes[line].sum() for line in dealt], np.int64)
     live = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")  # streams that go on beyond a step
     start = np.concatenate(([0], np.cumsum(live)))  # all streams' words step by step
@@ -269,7 +278,7 @@ def _pools(batches: Iterable[pa.RecordBatch], column: str = "ids") -> Iterator[t
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
-            size += len(batch[column].values)
+            size += pc.sum(pc.binary_length(batch[column])).as_py() // NUMBER.itemsize
         if size >= POOL:
             yield _pool(held, column)
             held, size = [], 0
@@ -279,24 +288,29 @@ def _pools(batches: Iterable[pa.RecordBatch], column: str = "ids") -> Iterator[t
 
 def _pool(held: list[pa.RecordBatch], column: str) -> tuple[pa.Table, list[np.ndarray]]:
     table = pa.Table.from_batches(held)
-    lists = table[column].combine_chunks()
-    values, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
-    return table.drop_columns([column]), [values[a:b] for a, b in zip(edges[:-1], edges[1:])]
+    return table.drop_columns([column]), [np.frombuffer(own.as_buffer(), NUMBER) for own in table[column]]
 
 
 # ---- Spark
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, n) of the training documents' words and ends; each batch counts its own first."""
+    """(word binary, n) of the training documents' words and ends; each task counts its own first, GATHERED words at a time."""
+
+    def counted(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         for batch in batches:
-            seen: Counter = Counter()
             for text in batch["text"].to_pylist():
                 seen.update(tokens(text))
             seen[END] += batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+            if len(seen) >= GATHERED:
+                yield counted(seen)
+                seen = Counter()
+        if seen:
+            yield counted(seen)
 
     seen = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(count, "word binary, n long")
     return seen.groupBy("word").agg(F.sum("n").alias("n"))
@@ -321,11 +335,11 @@ def frequent_words(counts: DataFrame) -> Words:
     return Words(rows, ends["n"] if ends else 0, total, distinct)
 
 
-ENCODED = "doc_id {id}, held_out boolean, round int, n_tokens long, n_known long, base double, beyond long, beyond_base double, ids array<short>, rare array<binary>, rare_n array<long>"
+ENCODED = "doc_id {id}, held_out boolean, round int, n_tokens long, n_known long, base double, beyond long, beyond_base double, ids binary, rare array<binary>, rare_n array<long>"
 
 
 def encode(docs: DataFrame, words: Words) -> DataFrame:
-    """One row for each document: word numbers for the network (HEAD and more: any other word), the sums over its
+    """One row for each document: word numbers for the network (NUMBER; HEAD and more: any other word), the sums over its
     counted words, and its words that are not counted."""
     sent = docs.sparkSession.sparkContext.broadcast((words.number, words.base, words.head, words.counts[0] > 0))
 
@@ -340,12 +354,12 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
                 known = own[own < none]
                 others = Counter([word for word, k in zip(found, own) if k == none]) if len(known) < len(own) else {}
                 sums.append((len(own), len(known) - (not ends), base[known].sum(), int((own >= head).sum()), base[known[known >= head]].sum()))
-                ids.append(np.minimum(own, head).astype(np.int16))
+                ids.append(np.minimum(own, head).astype(NUMBER).tobytes())
                 rare.append(list(others.keys()))
                 rare_n.append(list(others.values()))
             sums = [pa.array(c, k) for c, k in zip(zip(*sums), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["held_out"], batch["round"], *sums, pa.array(ids, pa.list_(pa.int16())), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64()))],
+                [batch["doc_id"], batch["held_out"], batch["round"], *sums, pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, pa.list_(pa.int64()))],
                 names,
             )
 

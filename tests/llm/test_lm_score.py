@@ -121,3 +121,18 @@ def test_probabilities_of_a_next_word_add_up_to_one():
 def test_empty_and_odd_tables(odd):
     assert lm_score(odd.limit(0)).collect() == []
     assert lm_score(odd).count() == odd.count()
+
+
+def test_word_numbers_are_bytes(docs):
+    data = [(1, "the dog the"), (2, "The dog"), (3, None), (4, "the cat")]
+    frame = docs(*data).select("doc_id", "text")
+    words = lm.frequent_words(lm.word_counts(frame))
+    rows = {r["doc_id"]: r["ids"] for r in lm.encode(frame, words).collect()}
+    assert all(np.frombuffer(rows[d], lm.NUMBER).tolist() == [words.number.get(w, words.head) for w in lm.tokens(t)] + [0] for d, t in data)
+
+
+def test_a_task_hands_counts_on_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(lm, "GATHERED", 3)
+    data = list(corpus(60))
+    got = {bytes(r["word"]): r["n"] for r in lm.word_counts(docs(*data)).collect()}
+    assert got == Counter(w for d, t in data if zlib.crc32(str(d).encode()) % 5 != 1 for w in [*lm.tokens(t), lm.END])
