@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from codestrata.llm.storage import stored
 
 
+def _neighbours(edges: DataFrame, *order) -> DataFrame:
+    """`edges` without repetitions, with m, the smallest v of each u: one exchange and one sort for both."""
+    own = Window.partitionBy("u").orderBy("v", *order)
+    seen = edges.select("*", F.first("v").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("m"), F.lag("v").over(own).alias("before"))
+    return seen.where("before is null or before < v").drop("before")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of `links` (u, v longs); component is the smallest node.
+    """(node, component) for every node of `links` (u, v longs) that is not the smallest of its component, which
+    component names: a node that is not in the result names its own.
 
     Alternates between tying every larger neighbour to a node's smallest one and tying all smaller
-    neighbours together, until nothing changes: about log(n) rounds, each two joins on the links.
-    Only a count and a checksum reach the driver. Rounds are tables in the shared folder.
+    neighbours together, until nothing moves: about log(n) rounds, each two exchanges of the links.
+    Only whether a link moved reaches the driver. Rounds are tables in the shared folder.
     """
-    edges = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    seen = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        seen = state
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        edges = stored(small.where("u <> v").distinct(), "links")
+    edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    moved = not edges.isEmpty()
+    while moved:
+        pairs = edges.select("u", "v")
+        both = _neighbours(pairs.union(pairs.select("v", "u")))
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"), F.expr("m < u").alias("moved"))
+        small = _neighbours(large, F.desc("moved"))
+        tied = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), F.expr("moved or m < v").alias("moved"))
+        edges = stored(tied, "links")
+        moved = edges.agg(F.max("moved")).first()[0]
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -305,7 +305,7 @@ class _Union:
 
 
 def _link(percent: int):
-    """One block: probes against the trie of its members. Emits links that tie what is not tied yet."""
+    """One block: probes against the trie of its members. Emits, for each component that is linked here, the smallest one it is tied to."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -318,12 +318,12 @@ def _link(percent: int):
         if not len(probes):
             probes = members
         trie = Trie([sets[k] for k in members], sizes[members])
-        tied, links = _Union(), []
+        tied = _Union()
         for who, what in trie.matches([sets[p] for p in probes], sizes[probes], percent):
             for p, k in zip(probes[who].tolist(), members[what].tolist()):
                 if tied.find(int(comps[k])) != tied.find(int(comps[p])):
                     tied.join(int(comps[p]), int(comps[k]))
-                    links.append((int(rows[p]), int(rows[k])))
+        links = [(x, y) for x in tied.of if (y := tied.find(x)) != x]
         return pa.Table.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=schema)
 
     return run
@@ -425,46 +425,47 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         "ngram-ordered",
     )
     sets = rare_first.select("row", "size", "grams").mapInArrow(_pack_sets, "row long, size long, grams binary")
-    rare = rare_first.select("row", "size", F.explode("rare").alias("gram"))
+    rare = rare_first.select("row", F.explode("rare").alias("gram"))
 
     centers = rare.groupBy("gram").agg(F.min("row").alias("home"), F.count("*").alias("n")).where("n > 1").drop("n")
-    votes = rare.join(centers, "gram").groupBy("row", "home").agg(F.count("*").alias("votes"))
+    votes = stored(rare.join(centers, "gram").groupBy("row", "home").agg(F.count("*").alias("votes")), "ngram-votes")
     popular = votes.groupBy("home").agg(F.count("*").alias("fans"))
-    best = votes.join(popular, "home").groupBy("row").agg(F.max_by("home", F.struct("fans", "votes", -F.col("home"))).alias("home"))
-    many = best.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    best = stored(votes.join(popular, "home").groupBy("row").agg(F.max_by("home", F.struct("fans", "votes", -F.col("home"))).alias("home")), "ngram-best")
+    many = best.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.max(F.expr("row = home")).alias("inside"))
     homes = stored(
         best.join(many, "home").select("home", F.expr("int(pmod(xxhash64(row), blocks))").alias("block"), "row", F.lit(True).alias("own"))
         # Each block also has the document that the group is named after.
-        .unionByName(many.select("home", F.explode(F.expr("sequence(0, int(blocks) - 1)")).alias("block"), F.col("home").alias("row"), F.lit(False).alias("own"))),
+        .unionByName(
+            many.where("blocks > 1 or not inside")
+            .select("home", F.explode(F.expr("sequence(0, int(blocks) - 1)")).alias("block"), F.col("home").alias("row"), F.lit(False).alias("own"))
+        ),
         "ngram-blocks",
     )
-    links = stored(_blocks(sets, homes.select("home", "block", "row", F.col("row").alias("comp")).distinct(), None, percent), "ngram-links")
-    tied = components(links)
+    # A document may be in a block twice, as a member and as the name: `_link` takes it once.
+    tied = components(stored(_blocks(sets, homes.select("home", "block", "row", F.col("row").alias("comp")), None, percent), "ngram-links"))
 
-    def labelled(df: DataFrame, ties: DataFrame) -> DataFrame:
-        ties = ties.select(F.col("node").alias("row"), F.col("component").alias("tie"))
-        return df.join(ties, "row", "left").withColumn("comp", F.coalesce("tie", "row")).drop("tie")
+    def labelled(df: DataFrame, key: str, ties: DataFrame) -> DataFrame:
+        ties = ties.select(F.col("node").alias(key), F.col("component").alias("tie"))
+        return df.join(ties, key, "left").withColumn("comp", F.coalesce("tie", key)).drop("tie")
 
-    apart = labelled(rare, tied)
+    # Labels and blocks are joined to documents, before these become a row for each of their rare hashes.
+    where = stored(labelled(rare_first.select("row", "rare").join(homes.where("own").drop("own"), "row"), "row", tied), "ngram-seats")
+    apart = where.select("row", "comp", "home", "block", F.explode("rare").alias("gram"))
     mixed = apart.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("gram")
     apart = stored(apart.join(mixed, "gram"), "ngram-apart")
-    where = homes.where("own").drop("own")
     # Which blocks hold, under the same rare hash, a document of a larger component? Put together for each
     # hash first, then for each document, as near copies share many hashes.
-    seats = apart.select("gram", "row", "comp").join(where, "row").groupBy("gram", "home", "block").agg(F.max("comp").alias("top"))
+    seats = apart.groupBy("gram", "home", "block").agg(F.max("comp").alias("top"))
     seats = seats.groupBy("gram").agg(F.collect_list(F.struct("home", "block", "top")).alias("seats"))
     larger = F.transform(F.filter("seats", lambda s: s["top"] > F.col("comp")), lambda s: F.struct(s["home"].alias("home"), s["block"].alias("block")))
-    asks = apart.join(seats, "gram").select("row", "comp", larger.alias("seats")).where("size(seats) > 0").groupBy("row", "comp").agg(
+    asks = apart.select("gram", "row", "comp").join(seats, "gram").select("row", "comp", larger.alias("seats")).where("size(seats) > 0").groupBy("row", "comp").agg(
         F.array_distinct(F.flatten(F.collect_list("seats"))).alias("seats")
     ).select("row", "comp", F.inline("seats")).select("home", "block", "row", "comp")
     asked = stored(asks, "ngram-asks")
-    seated = labelled(where, tied).join(asked.select("home", "block").distinct(), ["home", "block"], "left_semi")
-    more = _blocks(sets, seated.select("home", "block", "row", "comp"), asked, percent)
-    tied = components(links.union(stored(more, "ngram-links")))
+    # These links are between components, so only those are put together, not all documents again.
+    more = components(stored(_blocks(sets, where.select("home", "block", "row", "comp"), asked, percent), "ngram-links"))
 
-    labels = members.join(tied.withColumnRenamed("node", "first"), "first", "left").select(
-        "row", "doc_id", F.coalesce("component", "first").alias("component")
-    )
+    labels = labelled(labelled(members, "first", tied), "comp", more).select("row", "doc_id", F.col("comp").alias("component"))
     smallest = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = labels.join(smallest, "component").select("row", "component_id", "component")
     return every.join(labels, "row", "left").select(

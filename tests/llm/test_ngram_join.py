@@ -88,3 +88,29 @@ def test_link_threshold_is_exact(docs, words):
     assert got == {1: 1, 2: 1}
     got = {r.doc_id: r.component_id for r in nj.ngram_join(docs((1, " ".join(a)), (2, " ".join(c)))).collect()}
     assert got == {1: 1, 2: 2}
+
+
+def test_tasks_for_each_partition(spark, docs, words, monkeypatch):
+    """Small tables in many partitions cost a task for each partition and exchange, so there must be few exchanges."""
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    monkeypatch.setattr(nj, "BLOCK", 3)
+    rows = []
+    for family in range(3):
+        base = words(80, 1000 * family)
+        rows += [(100 * family + copy, " ".join([*base[:copy], f"new{copy}", *base[copy:]])) for copy in range(12)]
+    sc = spark.sparkContext
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    sc.setJobGroup("few tasks", "few tasks")
+    try:
+        got = nj.ngram_join(docs(*rows)).select("doc_id", "n_shingles", "component_id").collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("few tasks") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    assert 0 < tasks < 50 * 24
